@@ -33,10 +33,10 @@ def shingles(h: np.ndarray, words: int) -> np.ndarray:
     if not len(h):
         return h
     if len(h) < words:
-        out = np.uint64(len(h))
-        for x in h:
-            out = mix(np.array([out * _ODD[0] + x]))[0]
-        return np.array([out])
+        out = np.array([len(h)], np.uint64)
+        for i in range(len(h)):
+            out = mix(out * _ODD[0] + h[i : i + 1])
+        return out
     n = len(h) - words + 1
     out = np.full(n, words, np.uint64)
     for i in range(words):

@@ -75,12 +75,11 @@ def oracle_sql() -> dict[str, str]:
                    sha256(coalesce(text, '')) AS text_sha256
             FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))""",
         "op10_topk_search": """
-            WITH codes AS (
-                SELECT vec_id, list_sum(list_transform(range(1, 65), i -> CASE WHEN embedding[i] > 0 THEN (1::UHUGEINT << (64 - i)::INT) ELSE 0 END))::UHUGEINT AS code
-                FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL),
+            WITH vectors AS (SELECT vec_id, embedding FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL),
             pairs AS (
-                SELECT q.vec_id AS query_id, n.vec_id AS neighbor_id, list_sum(list_transform(range(0, 64), i -> ((xor(q.code, n.code) >> i) & 1)::INT))::INT AS distance
-                FROM codes q JOIN codes n ON q.vec_id % 50 = 0 AND q.vec_id <> n.vec_id)
+                SELECT q.vec_id AS query_id, n.vec_id AS neighbor_id,
+                       list_sum(list_transform(range(1, 65), i -> (coalesce(q.embedding[i] > 0, false) <> coalesce(n.embedding[i] > 0, false))::INT))::INT AS distance
+                FROM vectors q JOIN vectors n ON q.vec_id % 50 = 0 AND q.vec_id <> n.vec_id)
             SELECT query_id, rank::INT AS rank, neighbor_id, distance
             FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, neighbor_id) AS rank FROM pairs) WHERE rank <= 10""",
     }
