@@ -27,9 +27,9 @@ from pyspark.sql import functions as F
 from graphloom.llm.common import join_hot, mix, settle, slices, small, utf8
 
 GRAM = 100
-MOST_CONTEXTS = 2000
+MOST_CONTEXTS = 1000
 #: Bytes of contexts that are sorted at once, and of a text that are scanned at once.
-BLOCK, PIECE = 1 << 21, 1 << 22
+BLOCK, PIECE = 1 << 19, 1 << 22
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 _pow: dict[int, np.ndarray] = {}
@@ -96,10 +96,16 @@ def suffix_array(s: np.ndarray, depth: int) -> np.ndarray:
         who = order[where]
         nxt = who + h
         second = np.where(nxt < n, rank[np.minimum(nxt, n - 1)] + 1, 0)
-        key2 = rank[who].astype(np.uint64) << np.uint64(32) | second.astype(np.uint64)
-        resorted = np.argsort(key2)
-        order[where] = who[resorted]
-        k = key2[resorted]
+        if n < 1 << 21:  # both ranks and the place fit one number, and plain sorting is several times as fast as sorting places
+            packed = rank[who].astype(np.uint64) << np.uint64(42) | second.astype(np.uint64) << np.uint64(21) | who.astype(np.uint64)
+            packed.sort()
+            order[where] = (packed & np.uint64((1 << 21) - 1)).astype(np.int64)
+            k = packed >> np.uint64(21)
+        else:
+            key2 = rank[who].astype(np.uint64) << np.uint64(32) | second.astype(np.uint64)
+            resorted = np.argsort(key2)
+            order[where] = who[resorted]
+            k = key2[resorted]
         fresh = np.concatenate(([True], k[1:] != k[:-1]))
         start[where] = fresh
         at = np.flatnonzero(start)
@@ -110,7 +116,7 @@ def suffix_array(s: np.ndarray, depth: int) -> np.ndarray:
 
 def long_prefixes(s: np.ndarray, order: np.ndarray, length: int) -> np.ndarray:
     """For i in 1..n-1, whether the suffixes order[i-1] and order[i] share `length` symbols or more: by breadth-first backward extension
-    over the transform, which meets common prefixes by increasing value and sets each once."""
+    over the transform, which meets common prefixes by increasing value and sets each once. s ends in a symbol less than all others."""
     n = len(s)
     bwt = s[order - 1].astype(np.uint16)  # order 0 gives the last symbol: the text as a circle
     lf = np.empty(n, np.int64)
@@ -121,26 +127,27 @@ def long_prefixes(s: np.ndarray, order: np.ndarray, length: int) -> np.ndarray:
     same = sorted_[1:] == sorted_[:-1]
     nxt[back[:-1][same]] = back[1:][same]
     prv[back[1:][same]] = back[:-1][same]
+    change = np.flatnonzero(np.concatenate((bwt[1:] != bwt[:-1], [True]))) + 1
+    run_end = np.repeat(change, np.diff(np.concatenate(([0], change))))
     found = np.zeros(n + 1, bool)
     found[0] = found[n] = True
     lo, hi = np.array([0], np.int64), np.array([n], np.int64)
     for _ in range(length):
         if not len(lo):
             break
-        one = hi - lo == 1
-        single = lf[lo[one]]
-        single = single[~found[single + 1]]
-        wide_lo, wide_hi = lo[~one], hi[~one]
-        new_lo, new_hi = [single], [single + 1]
+        even = run_end[lo] >= hi  # one symbol stands before all of it (or it is one suffix): one extension
+        single, end = lf[lo[even]], lf[hi[even] - 1] + 1
+        fresh = ~found[end]
+        wide_lo, wide_hi = lo[~even], hi[~even]
+        new_lo, new_hi = [single[fresh]], [end[fresh]]
         if len(wide_lo):
             size = wide_hi - wide_lo
             p = np.arange(int(size.sum())) + np.repeat(wide_lo - np.concatenate(([0], np.cumsum(size)[:-1])), size)
+            tail = nxt[p] >= np.repeat(wide_hi, size)
+            head = prv[p] < np.repeat(wide_lo, size)
             iv = np.repeat(np.arange(len(size)), size)
-            tail = nxt[p] >= wide_hi[iv]
-            head = prv[p] < wide_lo[iv]
-            key = iv * 512 + bwt[p]
             a, b = p[head], p[tail]
-            a, b = a[np.argsort(key[head])], b[np.argsort(key[tail])]
+            a, b = a[np.argsort(iv[head] * 512 + bwt[a])], b[np.argsort(iv[tail] * 512 + bwt[b])]
             i, j = lf[a], lf[b] + 1
             fresh = ~found[j]
             new_lo.append(i[fresh])
@@ -157,8 +164,9 @@ def long_prefixes(s: np.ndarray, order: np.ndarray, length: int) -> np.ndarray:
 def repeated_windows(contexts: list[bytes], copies: list[int], length: int) -> list[np.ndarray]:
     """For each context, which of its windows occur twice or more among all contexts, each counted with its copies."""
     ends = np.cumsum([len(c) + 1 for c in contexts])
-    s = np.frombuffer(b"\0".join(contexts) + b"\0", np.uint8).astype(np.uint16) + 1
-    s[ends - 1] = 0
+    s = np.frombuffer(b"\0".join(contexts) + b"\0", np.uint8).astype(np.uint16) + 2
+    s[ends - 1] = 1
+    s[-1] = 0  # one least symbol ends the text, so that suffixes are ordered as the transform needs
     order = suffix_array(s, length)
     joined = long_prefixes(s, order, length)
     owner = np.searchsorted(ends, order, side="right")
