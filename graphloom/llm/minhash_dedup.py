@@ -46,35 +46,30 @@ def shingles(h: np.ndarray, words: int) -> np.ndarray:
 
 def signature(s: np.ndarray) -> np.ndarray:
     """BINS minima of a non-empty set: one permutation, bins by the high part, then optimal densification."""
-    x = mix(s + _ODD[1])
-    part = (x >> np.uint64(40)) % np.uint64(BINS)
-    out = np.full(BINS, np.uint64(0xFFFFFFFFFFFFFFFF))
-    np.minimum.at(out, part.astype(np.int64), x)
+    x = np.sort(mix(s + _ODD[1]))[::-1]
+    part = ((x >> np.uint64(40)) % np.uint64(BINS)).astype(np.int64)
+    out = np.zeros(BINS, np.uint64)
     full = np.zeros(BINS, bool)
-    full[part.astype(np.int64)] = True
-    if not full.all():
-        empty = np.flatnonzero(~full)
-        hit = full[_PROBES[empty]]
-        first = hit.argmax(1)
-        source = _PROBES[empty, first]
-        for j in np.flatnonzero(~hit.any(1)):  # a set with so few bins: go on probing
-            k = 64
-            while True:
-                at = int(mix(np.array([(int(empty[j]) << 32) + k + 1], np.uint64))[0] % np.uint64(BINS))
-                if full[at]:
-                    source[j] = at
-                    break
-                k += 1
-        out[empty] = out[source]
+    out[part] = x  # in falling order, so the least of a bin is written last
+    full[part] = True
+    empty = np.flatnonzero(~full)
+    k = 0
+    while len(empty):
+        probes = _PROBES[empty, k : k + 4] if k < 64 else (mix((empty.astype(np.uint64)[:, None] << np.uint64(32)) + np.arange(k + 1, k + 65, dtype=np.uint64)) % np.uint64(BINS)).astype(np.int64)
+        hit = full[probes]
+        some = hit.any(1)
+        out[empty[some]] = out[probes[some, hit[some].argmax(1)]]
+        empty = empty[~some]
+        k += probes.shape[1]
     return out
 
 
-def buckets(sig: np.ndarray) -> np.ndarray:
-    """One 64-bit key per band; the band is part of it."""
-    m = sig.reshape(BANDS, ROWS)
-    out = np.arange(1, BANDS + 1, dtype=np.uint64)
+def buckets(sigs: np.ndarray) -> np.ndarray:
+    """One 64-bit key per signature and band; the band is part of it."""
+    m = sigs.reshape(-1, BANDS, ROWS)
+    out = np.tile(np.arange(1, BANDS + 1, dtype=np.uint64), (len(m), 1))
     for i in range(ROWS):
-        out = mix(out * _ODD[2] + m[:, i])
+        out = mix(out * _ODD[2] + m[:, :, i])
     return out
 
 
@@ -119,11 +114,11 @@ def _class_buckets(docs: DataFrame, text_col: str, words: int) -> DataFrame:
             for s in _sets(b, "text", words):
                 if len(s) and (d := _digest(s)) not in seen:
                     seen.add(d)
-                    keys.append(buckets(signature(s)).view(np.int64))
+                    keys.append(signature(s))
                     s0.append(d[0])
                     s1.append(d[1])
             if keys:
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array(s0, np.int64), BANDS)), pa.array(np.repeat(np.array(s1, np.int64), BANDS)), pa.array(np.concatenate(keys))], names=["s0", "s1", "bucket"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array(s0, np.int64), BANDS)), pa.array(np.repeat(np.array(s1, np.int64), BANDS)), pa.array(buckets(np.stack(keys)).view(np.int64).ravel())], names=["s0", "s1", "bucket"])
 
     return docs.select(F.col(text_col).alias("text")).mapInArrow(run, "s0 long, s1 long, bucket long")
 
@@ -145,18 +140,18 @@ def _full_sets(docs: DataFrame, text_col: str, words: int, wanted: DataFrame) ->
 
 def components(links: DataFrame) -> DataFrame:
     """v, label (least vertex reachable) for links (a, b), by alternating large and small stars until nothing changes."""
-    edges = settle(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), "cc")
+    edges, before = settle(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), "cc"), None
     while True:
         both = edges.union(edges.select("v", "u"))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
         large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         spread = large.join(low, "u")
-        new = settle(spread.select(F.col("v").alias("u"), F.col("m").alias("v")).union(spread.select("u", F.col("m").alias("v"))).filter("u <> v").distinct(), "cc")
-        sums = lambda e: e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if sums(new) == sums(edges):
+        edges = settle(spread.select(F.col("v").alias("u"), F.col("m").alias("v")).union(spread.select("u", F.col("m").alias("v"))).filter("u <> v").distinct(), "cc")
+        now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        if now == before:
             break
-        edges = new
+        before = now
     return edges.select("u", "v").groupBy("u").agg(F.min("v").alias("label")).withColumnRenamed("u", "v")
 
 
@@ -186,7 +181,7 @@ def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def link_classes(docs: DataFrame, classes: DataFrame, text_col: str, words: int, percent: int) -> DataFrame:
     """v, label: components of the classes (c, s0, s1), c being the least id of a class."""
     keyed = _class_buckets(docs, text_col, words)
-    once = keyed.groupBy("bucket", "s0", "s1").agg(F.count(F.lit(1)).alias("copies"))
+    once = settle(keyed.distinct(), "buckets")
     shared = once.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     members = once.join(shared, "bucket").select("bucket", "s0", "s1", "n")
     # buckets with the same members are one
