@@ -1,0 +1,102 @@
+"""Profiles to a typed graph: noise filters, aliases, resolution by one-to-many joins, edges, and node categories."""
+
+from __future__ import annotations
+
+import sys
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from graphloom.functions.scalars import compact, contains_any, ends_with_any, file_module, is_dunder, last_token
+
+HELPERS = ["utils", "helper", "helpers"]
+#: Priorities of categories when scores are equal.
+PRIORITY = {"service": 10, "controller": 9, "model": 8, "data_pipeline": 7, "integration": 6, "sdk": 5, "infrastructure": 4, "utility": 3, "test": 2, "implementation": 1}
+#: Third-party roots whose calls are noise.
+THIRD_PARTY = ["logging", "logger", "json", "os", "sys", "re", "datetime", "pathlib", "typing", "numpy", "np", "pandas", "pd", "requests", "httpx", "pydantic", "sqlalchemy", "pytest", "unittest"]
+
+
+def is_noise(p: DataFrame) -> Column:
+    """Package markers, dunders, and functions that live under or are named after helpers; other files stay."""
+    names = F.concat_ws(" ", F.lower(F.coalesce("function_name", F.lit(""))), F.lower(F.coalesce("class_name", F.lit(""))))
+    some = lambda x: reduce(lambda a, b: a | b, [F.lower(x).contains(h) for h in HELPERS])
+    routine = F.col("kind").isin("function", "method")
+    return F.when(F.col("kind") == "file", F.col("file_path").endswith("__init__.py")).otherwise(F.coalesce(is_dunder(F.col("function_name")), F.lit(False)) | (routine & some(F.col("file_path"))) | some(names))
+
+
+def is_noisy_call(call: Column) -> Column:
+    roots = F.regexp_extract(call, r"^([^.:]+)", 1)
+    more = call.rlike(r"^(super\(|super\(\)\.|super::)") | reduce(lambda a, b: a | b, [F.lower(call).contains(h) for h in ["util", "helper"]])
+    return is_dunder(last_token(call)) | more | (roots.isin(*THIRD_PARTY) & (roots != call))
+
+
+def is_stdlib_call(call: Column) -> Column:
+    return F.regexp_extract(call, r"^([^.:]+)", 1).isin(*sorted(sys.stdlib_module_names))
+
+
+def label(p: DataFrame) -> Column:
+    return F.coalesce(F.when(F.col("class_name").isNotNull() & F.col("function_name").isNotNull(), F.concat_ws(".", "class_name", "function_name")), "function_name", "class_name", "file_path")
+
+
+def category(path: Column, name: Column) -> Column:
+    """Additive keyword scores over lower-cased path parts and name tokens; the best (score, priority) wins. Keywords are substrings, so `latest` counts as test."""
+    p = F.split(F.lower(F.translate(path, "\\", "/")), "/")
+    n = F.lower(F.coalesce(name, F.lit("")))
+    tokens = F.array_union(F.array(n), F.split(n, "_"))
+    root, low = F.get(p, F.lit(0)), F.lower(path)
+    add = lambda *xs: sum((F.when(F.coalesce(c, F.lit(False)), F.lit(v)).otherwise(0) for c, v in xs), F.lit(0))
+    has, either = lambda w: contains_any(p, w), lambda w: contains_any(p, w) | ends_with_any(tokens, w)
+    scores = {
+        "implementation": F.lit(1), "test": add((low.contains("tests/") | low.startswith("tests"), 20), (low.endswith("test.py"), 20), (contains_any(F.concat(p, tokens), ["test"]), 15)),
+        "utility": add((contains_any(F.concat(p, tokens), ["util", "helper", "common"]), 12), (root.isin("sandbox", "scripts"), 6)),
+        "infrastructure": add((has(["infra", "config", "settings", "deploy"]) | contains_any(tokens, ["config", "settings", "provider"]), 10)),
+        "controller": add((root == "api", 12), (either(["controller", "router", "view", "endpoint"]), 10)), "service": add((root.isin("agent", "agentic_reasoning"), 10), (either(["service", "manager"]), 10), (has(["workflow"]), 6)),
+        "model": add((either(["model", "schema", "entity"]), 10)), "data_pipeline": add((has(["pipeline", "etl"]), 6)), "integration": add((either(["integration", "client", "adapter"]), 9)), "sdk": add((root == "sdk", 10), (either(["sdk"]), 8)),
+    }
+    best = F.array_max(F.array(*[F.struct(s.cast("int").alias("s"), F.lit(PRIORITY[k]).alias("p"), F.lit(k).alias("k")) for k, s in scores.items()]))["k"]
+    return F.when(F.coalesce(path, F.lit("")) == "", "implementation").otherwise(best)
+
+
+def aliases() -> Column:
+    """All names by which a profile may be called."""
+    m = file_module(F.col("file_path"))
+    mm = F.regexp_replace(m, r"\.", "::")
+    c, f = F.col("class_name"), F.col("function_name")
+    every = [F.col("id"), F.col("file_path"), m, mm, f, c, *(F.concat(a, F.lit(s), b) for s in (".", "::") for a, b in ((m, c), (c, f), (m, f))), F.concat(m, F.lit("."), c, F.lit("."), f), F.concat(m, F.lit("::"), c, F.lit("::"), f)]
+    return F.array_distinct(F.filter(F.transform(F.array(*every), compact), lambda x: x.isNotNull() & (x != "")))
+
+
+def import_aliases(i: str) -> Column:
+    mod, name = F.col(f"{i}.module"), F.col(f"{i}.name")
+    full = F.when(mod.isNotNull() & name.isNotNull(), F.concat(mod, F.lit("."), name)).otherwise(F.coalesce(mod, name))
+    as_path = F.concat(F.translate(mod, ".", "/"), F.lit(".py"))
+    every = [full, F.regexp_replace(full, r"\.", "::"), mod, F.regexp_replace(mod, r"\.", "::"), as_path, name, F.concat(as_path, F.lit("::"), name)]
+    return F.array_distinct(F.filter(F.transform(F.array(*every), compact), lambda x: x.isNotNull() & (x != "")))
+
+
+def build(profiles: DataFrame, strict: bool = False) -> tuple[DataFrame, DataFrame]:
+    """nodes and edges(source, target, type, resolved, payload). strict: only classes are inherited from, only functions called by name. Edges are unique by (source, target, type); payloads are sorted."""
+    p = profiles.filter(~is_noise(profiles))
+    nodes = p.select("id", "kind", category(F.col("file_path"), F.coalesce("class_name", "function_name")).alias("category"), label(p).alias("label"), "file_path", "function_name", "class_name")
+    index = p.select(F.explode(aliases()).alias("alias"), F.col("id").alias("target"), F.col("kind").alias("target_kind")).distinct()
+    site = lambda df, kind: df.select(F.col("id").alias("source"), "alias", F.lit(kind).alias("want"), "payload")
+    tell = lambda *c: F.to_json(F.struct(*c))
+    imports = p.filter("kind = 'file'").select("id", F.explode("import_sites").alias("i")).select("id", F.explode(import_aliases("i")).alias("alias"), tell("i.module", "i.name", "i.line").alias("payload"))
+    parents = p.filter("kind = 'class'").select("id", F.explode("inheritance").alias("i")).select("id", compact(F.col("i.symbol")).alias("alias"), tell("i.symbol", "i.line").alias("payload"))
+    uses = p.select("id", F.explode("uses").alias("i")).select("id", compact(F.col("i.symbol")).alias("alias"), tell("i.symbol", "i.use_kind", "i.line", "i.detail").alias("payload"))
+    flat = F.when(F.size("call_sites") > 0, F.col("call_sites")).otherwise(F.transform("calls", lambda c: F.struct(c.alias("expression"), F.lit(0).alias("line"))))
+    calls = p.filter(F.col("kind").isin("function", "method")).select("id", F.explode(flat).alias("i")).select("id", compact(F.col("i.expression")).alias("alias"), tell("i.expression", "i.line").alias("payload")).filter(~is_noisy_call(F.col("alias")))
+    sites = site(imports, "IMPORTS").unionByName(site(parents, "INHERITS_FROM")).unionByName(site(uses, "USES")).unionByName(site(calls, "CALLS"))
+    hit = sites.join(index, "alias")
+    if strict:
+        hit = hit.filter((F.col("want") != "INHERITS_FROM") | (F.col("target_kind") == "class"))
+    kind = F.when((F.col("want") == "CALLS") & (F.col("target_kind") == "class"), "USES").otherwise(F.col("want"))
+    resolved = hit.filter((F.col("source") != F.col("target")) | (F.col("want") == "CALLS")).select("source", "target", kind.alias("type"), F.lit(True).alias("resolved"), "payload")
+    lost = site(calls, "CALLS").join(index.select("alias").distinct(), "alias", "left_anti").filter(~is_stdlib_call(F.col("alias")))
+    outside = lost.select("source", F.concat(F.lit("external::"), "alias").alias("target"), F.lit("CALLS").alias("type"), F.lit(False).alias("resolved"), "payload")
+    inner = p.select(F.col("id").alias("source"), F.explode("children").alias("target")).join(p.select(F.col("id").alias("target"), F.struct(F.col("kind").alias("child_kind"), F.col("start_line").alias("line")).alias("x")), "target")
+    contains = inner.select("source", "target", F.lit("CONTAINS").alias("type"), F.lit(True).alias("resolved"), F.to_json("x").alias("payload"))
+    edges = contains.unionByName(resolved).unionByName(outside).groupBy("source", "target", "type", "resolved").agg(F.sort_array(F.collect_set("payload")).alias("payload"))
+    external = outside.select("target").distinct().select(F.col("target").alias("id"), F.lit("external_call").alias("kind"), F.lit("external").alias("category"), F.substring("target", 11, 1 << 20).alias("label"), *(F.lit(None).cast("string").alias(c) for c in ("file_path", "function_name", "class_name")))
+    return nodes.unionByName(external), edges
