@@ -125,7 +125,7 @@ def glob_regex(pattern: str) -> str:
 
 def json_in_text(text: Column) -> Column:
     """The JSON part of a reply: as it is, in a fence, or from the first to the last brace; null if none parses."""
-    tries = [text, F.regexp_extract(text, r"(?s)```(?:json)?\s*(.*?)```", 1), F.regexp_extract(text, r"(?s)(\{.*\})", 1)]
+    tries = [text, F.regexp_extract(text, r"(?s)```(?:json)?\s*(.*?)\s*```", 1), F.regexp_extract(text, r"(?s)(\{.*\})", 1)]
     return F.coalesce(*[F.when(F.try_parse_json(F.trim(t)).isNotNull() & F.trim(t).startswith("{"), F.trim(t)) for t in tries])
 
 
