@@ -5,25 +5,27 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 
+def suppress(key, batches, state, timeout_ms: int):
+    """One stream's new rows: those whose message differs from the last one, which the state keeps until it times out."""
+    import pandas as pd
+
+    if state.hasTimedOut:
+        state.remove()
+        return
+    started, last = state.exists, state.get[0] if state.exists else None
+    rows, keep = pd.concat(list(batches)).sort_values("seq"), []
+    for m in rows["message"]:
+        m = None if pd.isna(m) else m
+        keep.append(not started or m != last)
+        last, started = m, True
+    yield rows[keep][["stream_id", "seq", "message"]]
+    state.update((last,))
+    state.setTimeoutDuration(timeout_ms)
+
+
 def distinct_runs(stream: DataFrame, timeout_ms: int = 3_600_000) -> DataFrame:
     """stream: stream_id long, seq long, message string. Emits the rows whose message differs from the stream's last one."""
     from pyspark.sql.streaming.state import GroupStateTimeout
 
-    def step(key, batches, state):
-        import pandas as pd
-
-        if state.hasTimedOut:
-            state.remove()
-            return
-        last = state.get[0] if state.exists else None
-        started = state.exists
-        for b in (pd.concat(list(batches)).sort_values("seq"),):
-            keep = []
-            for m in b["message"]:
-                keep.append(not started or m != last)
-                last, started = m, True
-            yield b[keep][["stream_id", "seq", "message"]]
-        state.update((last,))
-        state.setTimeoutDuration(timeout_ms)
-
+    step = lambda key, batches, state: suppress(key, batches, state, timeout_ms)
     return stream.groupBy("stream_id").applyInPandasWithState(step, "stream_id long, seq long, message string", "last string", "append", GroupStateTimeout.ProcessingTimeTimeout)

@@ -128,18 +128,30 @@ def test_scalars(spark):
     assert [r["title"] for r in one(documents.steps(F.lit('{"key_steps": ["a", {"title": "b"}]}')))] == ["a", "b"]
 
 
-def test_stream_equals_batch(spark, tmp_path):
-    from graphloom.streaming.progress import distinct_runs
-
-    rows = [(1, 1, "a"), (1, 2, "a"), (2, 3, "x"), (1, 4, "b"), (1, 5, None), (1, 6, None), (2, 7, "x"), (1, 8, "a")]
-    df = spark.createDataFrame(rows, "stream_id long, seq long, message string")
-    df.coalesce(1).write.parquet(str(tmp_path / "in"))
-    q = distinct_runs(spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))).writeStream.format("memory").queryName("runs").outputMode("append").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "state")).start()
-    done = q.awaitTermination(90)
-    q.stop()
-    assert done
-    want = documents.changed(df, "stream_id", "seq", "message")
-    assert sorted(map(str, spark.table("runs").collect())) == sorted(map(str, want.collect()))
+class State:
+    hasTimedOut, exists, get = False, False, None
+
+    def update(self, value):
+        self.exists, self.get = True, value
+
+    def setTimeoutDuration(self, ms):
+        self.ms = ms
+
+    def remove(self):
+        self.exists = False
+
+
+def test_stream_step_suppresses_runs_across_batches():
+    import pandas as pd
+
+    from graphloom.streaming.progress import suppress
+
+    state, frame = State(), lambda rows: pd.DataFrame(rows, columns=["stream_id", "seq", "message"])
+    first = list(suppress((1,), [frame([(1, 2, "a"), (1, 1, "a")]), frame([(1, 3, "b")])], state, 5))[0]
+    second = list(suppress((1,), [frame([(1, 4, "b"), (1, 5, None), (1, 6, None), (1, 7, "a")])], state, 5))[0]
+    assert first["seq"].tolist() == [1, 3] and second["seq"].tolist() == [5, 7] and state.ms == 5
+    state.hasTimedOut = True
+    assert not list(suppress((1,), [], state, 5)) and not state.exists
 
 
 def test_every_sql_has_its_query():
