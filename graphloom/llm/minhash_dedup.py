@@ -4,9 +4,10 @@ A document's set holds its distinct shingles of `words` words (fewer words: the
 nothing). Documents with equal sets are one class. Each class gets BINS one-permutation minima; an empty bin takes the value of
 the bin that its own sequence of keyed probes meets first (optimal densification). BANDS bands of ROWS minima make buckets.
 In a bucket the candidates form a star around a centre, and every candidate link is confirmed on the full sets. Members
-that are still in another component than the centre are tried again around further centres (twice as many each round), until
-each bucket is one component or each of its members has been a centre: so no link between members of a bucket is lost, and a
-bucket of one component costs one star.
+that are still in another component than the centre are tried again around MORE_CENTRES further centres. A bucket that holds
+several components even then is dealt into blocks of bounded size, and each two of its blocks meet in a task of their own,
+which compares full sets of different components and gives only links: so no link between members of a bucket is lost, a
+bucket of one component costs one star, and no pair of a large bucket becomes a row.
 
 At a similarity of 0.85 a link shares no bucket with a chance of 1e-6.
 Defined results: null text is empty; null ids count as one id, smallest of all; repeated rows have equal sets; empty tables give
@@ -23,6 +24,10 @@ from graphloom.llm.common import join_hot, mix, settle, slices, small, utf8, wor
 
 BANDS, ROWS = 36, 7
 BINS = BANDS * ROWS
+#: Centres of a bucket's second round of stars.
+MORE_CENTRES = 7
+#: Mean members and mean bytes of sets in a block of a bucket that stars did not settle.
+BLOCK_SETS, BLOCK_BYTES = 128, 2 << 20
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53)]
 #: Probes of each empty bin that are drawn at once.
 _PROBES = (mix((np.arange(BINS, dtype=np.uint64)[:, None] << np.uint64(32)) + np.arange(64, dtype=np.uint64)[None, :] + np.uint64(1)) % np.uint64(BINS)).astype(np.int64)
@@ -178,6 +183,48 @@ def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(b, "b").join(a, "a").select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
 
 
+def block_links(ids: np.ndarray, labels: np.ndarray, block: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+    """Links that join different components, between two blocks of a bucket or within one. Links that close a circle are left out."""
+    first = block == block.min()
+    rows = np.flatnonzero(first)
+    others = rows if first.all() else np.flatnonzero(~first)
+    value, place = np.unique(np.concatenate(sets), return_inverse=True)
+    size = np.array([len(x) for x in sets])
+    end = np.cumsum(size)
+    places = [place[e - n : e] for e, n in zip(end, size, strict=True)]
+    flat = np.concatenate([places[i] for i in others])
+    starts = np.cumsum(size[others]) - size[others]
+    root, seen, out = np.unique(labels, return_inverse=True)[1], np.zeros(len(value), bool), []
+    for i in rows:
+        if not (root[others] != root[i]).any():
+            continue
+        seen[places[i]] = True
+        both = np.add.reduceat(seen[flat], starts, dtype=np.int64)
+        seen[places[i]] = False
+        for j in others[100 * both >= percent * (size[i] + size[others] - both)]:
+            if root[i] != root[j]:
+                out.append((int(ids[i]), int(ids[j])))
+                root[root == root[j]] = root[i]
+    return out
+
+
+def _links_in_blocks(state: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """a, b: links between the components that share a bucket in state (bucket, c, label)."""
+
+    def run(unit):
+        import pyarrow as pa
+
+        held = [np.frombuffer(x.as_buffer(), np.uint64) for x in unit.column("shingles")]
+        found = block_links(*(unit.column(x).to_numpy() for x in ("c", "label", "own")), held, percent)
+        return pa.table({"a": pa.array([min(x) for x in found], pa.int64()), "b": pa.array([max(x) for x in found], pa.int64())})
+
+    weighed = state.join(small(settle(sets.select("c", F.octet_length("shingles").cast("long").alias("bytes")), "set-sizes")), "c")
+    blocks = weighed.groupBy("bucket").agg(F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK_SETS, F.sum("bytes") / BLOCK_BYTES)).alias("blocks"))
+    own = weighed.join(blocks, "bucket").withColumn("own", F.pmod(F.xxhash64("c"), F.col("blocks")))
+    dealt = own.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).select("bucket", "c", "label", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    return dealt.join(sets, "c").groupBy("bucket", "i", "j").applyInArrow(run, "a long, b long").distinct()
+
+
 def link_classes(docs: DataFrame, classes: DataFrame, text_col: str, words: int, percent: int) -> DataFrame:
     """v, label: components of the classes (c, s0, s1), c being the least id of a class."""
     keyed = _class_buckets(docs, text_col, words)
@@ -193,8 +240,8 @@ def link_classes(docs: DataFrame, classes: DataFrame, text_col: str, words: int,
     spark: SparkSession = docs.sparkSession
     links = spark.createDataFrame([], "a long, b long")
     label = members.select(F.col("c").alias("v"), F.col("c").alias("label")).distinct()
-    state, done, tested, step = members.withColumn("label", F.col("c")), None, None, 1
-    while True:
+    state, done, tested = members.withColumn("label", F.col("c")), None, None
+    for step in (1, MORE_CENTRES):
         # the centres of this round: the next `step` members of each bucket, in the order of a keyed hash
         rank = F.struct(F.xxhash64("c").alias("h"), F.col("c"))
         open_ = state.withColumn("rank", rank)
@@ -212,7 +259,6 @@ def link_classes(docs: DataFrame, classes: DataFrame, text_col: str, words: int,
         if not found.isEmpty():
             links = links.union(found)
             label = settle(components(links), "labels")
-        step *= 2
         done = centres.groupBy("bucket").agg(F.max("rank").alias("last"))
         named = members.join(done, "bucket").join(label.withColumnRenamed("v", "c"), "c", "left").select("bucket", "c", F.coalesce("label", "c").alias("label"), "last")
         # a bucket goes on while it has two components and a member that has not been a centre
@@ -220,6 +266,8 @@ def link_classes(docs: DataFrame, classes: DataFrame, text_col: str, words: int,
         state = settle(named.join(mixed, "bucket", "left_semi").select("bucket", "c", "label"), "state")
         if state.isEmpty():
             return label
+    found = settle(_links_in_blocks(state, sets, percent), "links")
+    return label if found.isEmpty() else settle(components(links.union(found)), "labels")
 
 
 def find_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
