@@ -5,8 +5,8 @@ nothing). Documents with equal sets are one class. Each class gets BINS one-perm
 the bin that its own sequence of keyed probes meets first (optimal densification). BANDS bands of ROWS minima make buckets.
 In a bucket the candidates form a star around a centre, and every candidate link is confirmed on the full sets. Members
 that are still in another component than the centre are tried again around MORE_CENTRES further centres. A bucket that holds
-several components even then is dealt into blocks of bounded size, and each two of its blocks meet in a task of their own,
-which compares full sets of different components and gives only links: so no link between members of a bucket is lost, a
+several components even then is dealt into blocks of bounded size, and each two of its blocks, but for two of its largest component, meet in a unit that
+compares full sets of different components and gives only links: so no link between members of a bucket is lost, a
 bucket of one component costs one star, and no pair of a large bucket becomes a row.
 
 At a similarity of 0.85 a link shares no bucket with a chance of 1e-6.
@@ -218,10 +218,21 @@ def _links_in_blocks(state: DataFrame, sets: DataFrame, percent: int) -> DataFra
         found = block_links(*(unit.column(x).to_numpy() for x in ("c", "label", "own")), held, percent)
         return pa.table({"a": pa.array([min(x) for x in found], pa.int64()), "b": pa.array([max(x) for x in found], pa.int64())})
 
-    weighed = state.join(small(settle(sets.select("c", F.octet_length("shingles").cast("long").alias("bytes")), "set-sizes")), "c")
-    blocks = weighed.groupBy("bucket").agg(F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK_SETS, F.sum("bytes") / BLOCK_BYTES)).alias("blocks"))
-    own = weighed.join(blocks, "bucket").withColumn("own", F.pmod(F.xxhash64("c"), F.col("blocks")))
-    dealt = own.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).select("bucket", "c", "label", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    sizes = settle(sets.select("c", F.octet_length("shingles").cast("long").alias("bytes")), "set-sizes")
+    weighed = settle(state.join(small(sizes), "c"), "weighed")
+
+    def number(n, size):
+        return F.ceil(F.greatest(n / BLOCK_SETS, size / BLOCK_BYTES))
+
+    # the largest component of a bucket has blocks of its own, which need not meet each other
+    parts = weighed.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("size"))
+    whole = parts.groupBy("bucket").agg(F.max(F.struct("n", "size", "label")).alias("most"), F.sum("n").alias("n"), F.sum("size").alias("size"))
+    blocks = settle(whole.select("bucket", "n", F.col("most.label").alias("largest"), number(F.col("most.n"), F.col("most.size")).alias("inner"), number(F.col("n") - F.col("most.n"), F.col("size") - F.col("most.size")).alias("rest")), "blocks")
+    placed, key = join_hot(weighed, blocks, ["bucket"], "n", weighed.count()), F.xxhash64("c")
+    inner = F.col("label") == F.col("largest")
+    own = placed.withColumn("own", F.when(inner, F.col("rest") + F.pmod(key, F.col("inner"))).otherwise(F.pmod(key, F.col("rest"))))
+    last = F.when(inner, F.col("rest")).otherwise(F.col("rest") + F.col("inner")) - 1
+    dealt = own.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), last))).select("bucket", "c", "label", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
     return dealt.join(sets, "c").groupBy("bucket", "i", "j").applyInArrow(run, "a long, b long").distinct()
 
 
