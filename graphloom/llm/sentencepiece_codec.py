@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import heapq
 import re
+from collections.abc import Sequence
 
 import numpy as np
 import xxhash
@@ -25,8 +26,8 @@ from graphloom.llm.common import mix, short_batches, slices, utf8
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 VARIANTS = 4
-#: A worker forgets what it has worked out beyond so many parts.
-KEPT = 300_000
+#: A worker forgets what it has worked out beyond so many parts, variants counted apart.
+KEPT = 400_000
 #: Parts up to so many characters are segmented many at once.
 SHORT = 24
 _PART = re.compile(r" *[^ ]+| +")
@@ -130,7 +131,7 @@ class Merges:
         return np.where(self.pairs[at] == key, self.merged[at], -1)
 
 
-def segment_many(v: Vocabulary, m: Merges, parts: list[str], variants: list[int], dropout: float, seed: int) -> list[bytes]:
+def segment_many(v: Vocabulary, m: Merges, parts: Sequence[str], variants: Sequence[int], dropout: float, seed: int) -> list[bytes]:
     """segment() of many parts of SHORT characters at most, as bytes of 32-bit ids: in each round every part merges its best pair that isn't skipped.
     A pair's skip depends on place and piece alone, so this is the agenda's order."""
     n, limit, last = len(parts), int(dropout * 2**32), 1 << 40
@@ -164,7 +165,7 @@ def segment_many(v: Vocabulary, m: Merges, parts: list[str], variants: list[int]
         grid[active, best] = m.of(grid[active, best], grid[active, best + 1])
         cols = np.arange(width + 1)
         take = np.minimum(cols[None, :] + (cols[None, :] > best[:, None]), width)
-        grid[active] = np.where(take == cols[None, :], grid[active], np.take_along_axis(grid[active], take, 1))
+        grid[active] = np.take_along_axis(grid[active], take, 1)
         place[active] = np.take_along_axis(place[active], take, 1)
         grid[active, width] = -2
         order[active] = np.take_along_axis(np.concatenate((order[active], np.full((len(active), 1), last)), 1), take, 1)[:, :width]
@@ -189,7 +190,7 @@ def segment_many(v: Vocabulary, m: Merges, parts: list[str], variants: list[int]
 class Encoder:
     def __init__(self, v: Vocabulary, dropout: float, seed: int):
         self.v, self.dropout, self.seed, self.merges = v, dropout, seed, Merges(v)
-        self.known: dict[str, list] = {}
+        self.known: list[dict[str, bytes]] = [{} for _ in range(VARIANTS)]
         start = np.concatenate(([0], np.cumsum([len(x) for x in v.raw])))
         self.start, self.length = start[:-1], np.diff(start)
         self.flat = np.frombuffer(b"".join(v.raw), np.uint8)
@@ -199,32 +200,35 @@ class Encoder:
 
     def encode_many(self, keys: list[int], texts: list[str]) -> list[np.ndarray]:
         known, several = self.known, bool(self.dropout)
-        if len(known) >= KEPT:
-            known.clear()
-        cut, draws, new = [], [], {}
-        empty = [None] * (VARIANTS if several else 1)
+        if sum(map(len, known)) >= KEPT:
+            for x in known:
+                x.clear()
+        held, gaps, todo = [], [], {}  # gaps: what a text lacks; todo: by length, what is to be segmented
         for key, text in zip(keys, texts, strict=True):
             parts = _PART.findall(" " + text) if text else []
             draw = (mix(np.arange(len(parts), dtype=np.uint64) + np.uint64(key)) % np.uint64(VARIANTS)).tolist() if several else [0] * len(parts)
-            cut.append(parts)
-            draws.append(draw)
-            for part, i in zip(parts, draw, strict=True):
-                slots = known.get(part)
-                if slots is None:
-                    slots = known[part] = empty.copy()
-                if slots[i] is None:
-                    slots[i] = b""
-                    new[part, i] = slots
-        short = sorted((x for x in new if len(x[0]) <= SHORT), key=lambda x: len(x[0]))
+            found = [known[i].get(part) for part, i in zip(parts, draw, strict=True)]
+            lacks = [at for at, ids in enumerate(found) if not ids]
+            for at in lacks:
+                part, i = parts[at], draw[at]
+                if found[at] is None and part not in known[i]:
+                    known[i][part] = b""  # until it is segmented
+                    todo.setdefault(len(part), []).append((part, i))
+            held.append(found)
+            gaps.append([(at, parts[at], draw[at]) for at in lacks])
+        short = [x for size in sorted(todo) if size <= SHORT for x in todo[size]]
         for at in range(0, len(short), 4000):
             some = short[at : at + 4000]
-            got = segment_many(self.v, self.merges, [x[0] for x in some], [x[1] for x in some], self.dropout, self.seed)
-            for x, ids in zip(some, got, strict=True):
-                new[x][x[1]] = ids
-        for (part, i), slots in new.items():
-            if len(part) > SHORT:
-                slots[i] = np.array(segment(self.v, part, self.dropout, self.seed, i), np.int32).tobytes()
-        return [np.frombuffer(b"".join([known[p][i] for p, i in zip(parts, draw, strict=True)]), np.int32) for parts, draw in zip(cut, draws, strict=True)]
+            for (part, i), ids in zip(some, segment_many(self.v, self.merges, *zip(*some, strict=True), self.dropout, self.seed), strict=True):
+                known[i][part] = ids
+        for size in todo:
+            if size > SHORT:
+                for part, i in todo[size]:
+                    known[i][part] = np.array(segment(self.v, part, self.dropout, self.seed, i), np.int32).tobytes()
+        for found, lacks in zip(held, gaps, strict=True):
+            for at, part, i in lacks:
+                found[at] = known[i][part]
+        return [np.frombuffer(b"".join(found), np.int32) for found in held]
 
     def decode(self, ids: np.ndarray) -> bytes:
         """The UTF-8 bytes of the text."""
