@@ -132,3 +132,18 @@ def test_quality_without_labels_or_rows(spark, tmp_path):
     labels = spark.createDataFrame([(None, 1, 0), (9, 1, None), (1, None, 0)], "doc_id long, quality int, toxic int")
     assert sorted(map(str, quality.drop_bad(docs, labels).collect())) == sorted(map(str, docs.collect()))
     assert quality.drop_bad(docs.limit(0), labels).count() == 0 and quality.drop_bad(docs, labels.limit(0)).count() == 3
+
+
+def _letters(r, letters, n):
+    words = ["".join(r.choice(letters) for _ in range(r.randint(3, 9))) for _ in range(60)]
+    return lambda: " ".join(r.choice(words) for _ in range(n))
+
+
+def test_small_languages_are_judged_by_their_own_trusted_rows(spark):
+    r = random.Random(3)
+    small = _letters(r, "aeioukptzžšč", 60)
+    rows = [(i, _prose(r, 8), "en") for i in range(1500)] + [(2000 + i, small(), ("xx", None)[i % 2]) for i in range(160)] + [(3000 + i, _junk(r, 400), "xx") for i in range(10)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(1500)] + [(2000 + i, 1, 0) for i in range(12)], "doc_id long, quality int, toxic int")
+    kept = {x["id"] for x in quality.judge(docs, labels).collect() if x["kept"]}
+    assert len(kept & set(range(2000, 2160))) >= 155 and len(kept & set(range(1500))) >= 1470 and not kept & set(range(3000, 3010))
