@@ -2,9 +2,10 @@
 
 The vocabulary is read from a model file on the driver and sent to the workers. A text gets one space in front and is cut before each run of
 spaces that follows other characters; no piece spans such a cut (checked when the model is read), so the cut parts are encoded one by one. In a part the
-agenda holds adjacent pairs that form a piece, best score first and leftmost of equals; a pair that comes up is skipped if a keyed hash of (seed, variant,
-part, place, piece) falls below the dropout rate. A part's variant, one of VARIANTS, is drawn by a keyed hash of document and place, so the same
-word is segmented in varied ways, reruns agree, and each worker keeps what it has worked out. Characters outside the vocabulary (the
+agenda holds adjacent pairs that form a piece, best score first and leftmost of equals; a pair that comes up is skipped if a keyed hash of (seed, document,
+the part's number in it, place in the part, piece) falls below the dropout rate. So each occurrence of a word is segmented anew, and reruns agree. What
+does not depend on the occurrence is kept by each worker: a part's pieces without skips, and the merges on the way to them. An occurrence that
+skips none of those merges has those pieces; the others are segmented one by one. Characters outside the vocabulary (the
 space mark itself among them) become byte pieces, so decoding gives back the text byte by byte.
 
 Defined results: null or empty text has no pieces and decodes to ""; equal (id, text) rows are encoded alike; very long texts are encoded part by
@@ -25,8 +26,7 @@ from pyspark.sql import functions as F
 from graphloom.llm.common import mix, short_batches, slices, utf8
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-VARIANTS = 4
-#: A worker forgets what it has worked out beyond so many parts, variants counted apart.
+#: A worker forgets what it has worked out beyond so many parts.
 KEPT = 400_000
 #: Parts up to so many characters are segmented many at once.
 SHORT = 24
@@ -58,8 +58,8 @@ class Vocabulary:
             raise ValueError("the model has no byte pieces")
 
 
-def segment(v: Vocabulary, part: str, dropout: float, seed: int, variant: int) -> list[int]:
-    """Ids of one part by agenda processing; candidate merges are skipped by keyed hash."""
+def segment(v: Vocabulary, part: str, dropout: float, key: int, merges: list[tuple[int, int]] | None = None) -> list[int]:
+    """Ids of one part by agenda processing; candidate merges are skipped by a hash under the occurrence's key. What is merged, as (place, piece), is added to merges."""
     ids, scores = v.ids, v.scores
     if not dropout and part in ids and len(part) == 1:
         return [ids[part]]
@@ -74,13 +74,14 @@ def segment(v: Vocabulary, part: str, dropout: float, seed: int, variant: int) -
             agenda.append((-scores[k], i, i + 1, both))
     heapq.heapify(agenda)
     limit = int(dropout * 2**32)
-    key = xxhash.xxh3_64_intdigest(part, seed * VARIANTS + variant) if limit else 0
     while agenda:
         _, i, j, both = heapq.heappop(agenda)
         if not piece[i] or not piece[j] or right[i] != j or piece[i] + piece[j] != both:
             continue
         if limit and _word(key, i, ids[both]) < limit:
             continue
+        if merges is not None:
+            merges.append((i, ids[both]))
         piece[i], piece[j] = both, ""
         right[i] = right[j]
         if right[j] >= 0:
@@ -131,25 +132,29 @@ class Merges:
         return np.where(self.pairs[at] == key, self.merged[at], -1)
 
 
-def segment_many(v: Vocabulary, m: Merges, parts: Sequence[str], variants: Sequence[int], dropout: float, seed: int) -> list[bytes]:
+def _skipped(key: np.ndarray, place: np.ndarray, piece: np.ndarray, limit: int) -> np.ndarray:
+    """_word() < limit, elementwise."""
+    x = key ^ (place.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) ^ (piece.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
+    x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return ((x ^ (x >> np.uint64(32))) & np.uint64(0xFFFFFFFF)) < np.uint64(limit)
+
+
+def segment_many(v: Vocabulary, m: Merges, parts: Sequence[str], keys: np.ndarray, dropout: float, merges: list[tuple[np.ndarray, np.ndarray, np.ndarray]] | None = None) -> list[bytes]:
     """segment() of many parts of SHORT characters at most, as bytes of 32-bit ids: in each round every part merges its best pair that isn't skipped.
-    A pair's skip depends on place and piece alone, so this is the agenda's order."""
+    A pair's skip depends on place and piece alone, so this is the agenda's order. What a round merges, as (part, place, piece), is added to merges."""
     n, limit, last = len(parts), int(dropout * 2**32), 1 << 40
     size = np.array([len(p) for p in parts])
     width = int(size.max())
     grid = np.full((n, width + 1), -2, np.int64)  # -2: no symbol
     grid[np.arange(width + 1)[None, :] < size[:, None]] = m.letter[np.frombuffer("".join(parts).encode("utf-32-le"), np.uint32)]
     place = np.tile(np.arange(width + 1), (n, 1))
-    key = np.array([xxhash.xxh3_64_intdigest(p, seed * VARIANTS + x) for p, x in zip(parts, variants, strict=True)], np.uint64) if limit else np.zeros(n, np.uint64)
 
     def candidate(rows, a, b, at):
         """The order of a pair: rank, then place; `last` if it forms no piece or is skipped."""
         k = m.of(a, b)
         out = np.where(k >= 0, m.rank[k] * 64 + at, last)
         if limit:
-            x = key[rows] ^ (at.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) ^ (k.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
-            x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-            out[((x ^ (x >> np.uint64(32))) & np.uint64(0xFFFFFFFF)) < np.uint64(limit)] = last
+            out[_skipped(keys[rows], at, k, limit)] = last
         return out
 
     rows = np.repeat(np.arange(n), width)
@@ -163,6 +168,8 @@ def segment_many(v: Vocabulary, m: Merges, parts: Sequence[str], variants: Seque
             break
         # the pair (best, best + 1) becomes one symbol; what follows moves one to the left
         grid[active, best] = m.of(grid[active, best], grid[active, best + 1])
+        if merges is not None:
+            merges.append((active, place[active, best], grid[active, best]))
         cols = np.arange(width + 1)
         take = np.minimum(cols[None, :] + (cols[None, :] > best[:, None]), width)
         grid[active] = np.take_along_axis(grid[active], take, 1)
@@ -187,48 +194,99 @@ def segment_many(v: Vocabulary, m: Merges, parts: Sequence[str], variants: Seque
     return out
 
 
+class Rows:
+    """Arrays of varied length, one after the other, to be gathered many at once."""
+
+    def __init__(self, kind):
+        self.flat, self.start, self.size, self.used, self.n = np.empty(1 << 12, kind), np.empty(1 << 10, np.int64), np.empty(1 << 10, np.int64), 0, 0
+
+    def add(self, flat: np.ndarray, sizes: np.ndarray) -> None:
+        while self.used + len(flat) > len(self.flat):
+            self.flat = np.concatenate((self.flat, np.empty_like(self.flat)))
+        while self.n + len(sizes) > len(self.size):
+            self.start, self.size = (np.concatenate((x, np.empty_like(x))) for x in (self.start, self.size))
+        self.flat[self.used : self.used + len(flat)] = flat
+        self.size[self.n : self.n + len(sizes)] = sizes
+        self.start[self.n : self.n + len(sizes)] = self.used + np.cumsum(sizes) - sizes
+        self.used, self.n = self.used + len(flat), self.n + len(sizes)
+
+    def take(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The rows one after the other, and their sizes."""
+        size = self.size[which]
+        return self.flat[np.arange(int(size.sum())) + np.repeat(self.start[which] - np.cumsum(size) + size, size)], size
+
+
 class Encoder:
     def __init__(self, v: Vocabulary, dropout: float, seed: int):
         self.v, self.dropout, self.seed, self.merges = v, dropout, seed, Merges(v)
-        self.known: list[dict[str, bytes]] = [{} for _ in range(VARIANTS)]
+        self.forget()
         start = np.concatenate(([0], np.cumsum([len(x) for x in v.raw])))
         self.start, self.length = start[:-1], np.diff(start)
         self.flat = np.frombuffer(b"".join(v.raw), np.uint8)
 
+    def forget(self) -> None:
+        """known: number of a part; pieces, places, merged: its pieces without skips, and the merges on the way to them."""
+        self.known: dict[str, int] = {}
+        self.pieces, self.places, self.merged = Rows(np.int32), Rows(np.int32), Rows(np.int32)
+
     def encode(self, key: int, text: str) -> np.ndarray:
         return self.encode_many([key], [text])[0]
 
+    def _learn(self, parts: list[str]) -> None:
+        parts.sort(key=len)
+        short = [x for x in parts if len(x) <= SHORT]
+        for at in range(0, len(short), 4000):
+            some, rounds = short[at : at + 4000], []
+            got = segment_many(self.v, self.merges, some, np.zeros(len(some), np.uint64), 0.0, rounds)
+            part, place, piece = (np.concatenate(x) for x in zip(*rounds, strict=True)) if rounds else np.zeros((3, 0), np.int64)
+            order, sizes = np.argsort(part, kind="stable"), np.bincount(part, minlength=len(some))
+            self._add(some, got, place[order], piece[order], sizes)
+        for part in parts[len(short) :]:
+            merges: list[tuple[int, int]] = []
+            got = np.array(segment(self.v, part, 0.0, 0, merges), np.int32).tobytes()
+            place, piece = np.array(merges, np.int64).reshape(-1, 2).T
+            self._add([part], [got], place, piece, np.array([len(merges)]))
+
+    def _add(self, parts: list[str], got: list[bytes], place: np.ndarray, piece: np.ndarray, sizes: np.ndarray) -> None:
+        self.known.update(zip(parts, range(self.pieces.n, self.pieces.n + len(parts)), strict=True))
+        self.pieces.add(np.frombuffer(b"".join(got), np.int32), np.array([len(x) // 4 for x in got], np.int64))
+        self.places.add(place, sizes)
+        self.merged.add(piece, sizes)
+
     def encode_many(self, keys: list[int], texts: list[str]) -> list[np.ndarray]:
-        known, several = self.known, bool(self.dropout)
-        if sum(map(len, known)) >= KEPT:
-            for x in known:
-                x.clear()
-        held, gaps, todo = [], [], {}  # gaps: what a text lacks; todo: by length, what is to be segmented
-        for key, text in zip(keys, texts, strict=True):
-            parts = _PART.findall(" " + text) if text else []
-            draw = (mix(np.arange(len(parts), dtype=np.uint64) + np.uint64(key)) % np.uint64(VARIANTS)).tolist() if several else [0] * len(parts)
-            found = [known[i].get(part) for part, i in zip(parts, draw, strict=True)]
-            lacks = [at for at, ids in enumerate(found) if not ids]
-            for at in lacks:
-                part, i = parts[at], draw[at]
-                if found[at] is None and part not in known[i]:
-                    known[i][part] = b""  # until it is segmented
-                    todo.setdefault(len(part), []).append((part, i))
-            held.append(found)
-            gaps.append([(at, parts[at], draw[at]) for at in lacks])
-        short = [x for size in sorted(todo) if size <= SHORT for x in todo[size]]
+        if len(self.known) >= KEPT:
+            self.forget()
+        cut = [_PART.findall(" " + text) if text else [] for text in texts]
+        counts = np.array([len(x) for x in cut], np.int64)
+        parts = [x for some in cut for x in some]
+        if not parts:
+            return [np.empty(0, np.int32) for _ in texts]
+        self._learn(list(set(parts) - self.known.keys()))
+        which = np.fromiter(map(self.known.__getitem__, parts), np.int64, len(parts))
+        first = np.cumsum(counts) - counts
+        occurrence = mix(np.arange(len(parts), dtype=np.uint64) - np.repeat(first, counts).astype(np.uint64) + np.repeat(np.array(keys, np.uint64), counts))
+        limit, found = int(self.dropout * 2**32), Rows(np.int32)
+        other = np.zeros(len(parts), bool)
+        for at in range(0, len(parts) if limit else 0, 1 << 15):
+            some = which[at : at + (1 << 15)]
+            place, size = self.places.take(some)
+            row = np.repeat(np.arange(at, at + len(some)), size)
+            other[row[_skipped(occurrence[row], place, self.merged.take(some)[0], limit)]] = True
+        anew = sorted(np.flatnonzero(other).tolist(), key=lambda i: len(parts[i]))
+        short = [i for i in anew if len(parts[i]) <= SHORT]
+        got: list[bytes] = []
         for at in range(0, len(short), 4000):
             some = short[at : at + 4000]
-            for (part, i), ids in zip(some, segment_many(self.v, self.merges, *zip(*some, strict=True), self.dropout, self.seed), strict=True):
-                known[i][part] = ids
-        for size in todo:
-            if size > SHORT:
-                for part, i in todo[size]:
-                    known[i][part] = np.array(segment(self.v, part, self.dropout, self.seed, i), np.int32).tobytes()
-        for found, lacks in zip(held, gaps, strict=True):
-            for at, part, i in lacks:
-                found[at] = known[i][part]
-        return [np.frombuffer(b"".join(found), np.int32) for found in held]
+            got += segment_many(self.v, self.merges, [parts[i] for i in some], occurrence[some], self.dropout)
+        got += [np.array(segment(self.v, parts[i], self.dropout, int(occurrence[i])), np.int32).tobytes() for i in anew[len(short) :]]
+        found.add(*self.pieces.take(which[~other]))
+        found.add(np.frombuffer(b"".join(got), np.int32), np.array([len(x) // 4 for x in got], np.int64))
+        order = np.empty(len(parts), np.int64)
+        order[~other] = np.arange(len(parts) - len(anew))
+        order[anew] = np.arange(len(parts) - len(anew), len(parts))
+        flat, size = found.take(order)
+        ends = np.concatenate(([0], np.cumsum(size)))[np.cumsum(counts)]
+        return np.split(flat, ends[:-1])
 
     def decode(self, ids: np.ndarray) -> bytes:
         """The UTF-8 bytes of the text."""

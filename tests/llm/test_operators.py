@@ -85,6 +85,30 @@ def test_encoding_is_lossless_and_repeatable(docs):
     assert sorted((r["id"] or 0, r["text"]) for r in back) == sorted((a or 0, b or "") for a, b in ROWS)
 
 
+def test_each_occurrence_of_a_word_is_segmented_anew():
+    import random
+
+    import numpy as np
+
+    from graphloom.llm.common import mix
+
+    v, r = sentencepiece_codec.Vocabulary(), random.Random(4)
+    e = sentencepiece_codec.Encoder(v, 0.1, 5)
+    word, n = " international", 2000
+    ways = {tuple(x.tolist()) for x in e.encode_many(list(range(0, 1000 * n, 1000)), [word[1:]] * n)}
+    assert len(ways) > 8 and tuple(sentencepiece_codec.segment(v, word, 0.0, 0)) in ways
+
+    words = ["the", "understanding", "日本語", "naïve", "x\ny", "▁", "", "0123456789" * 4, "wonderful" * 5, "a"]
+    texts = ["", *(" ".join(r.choice(words) for _ in range(r.randint(1, 40))) for _ in range(60))]
+    keys = [r.getrandbits(63) for _ in texts]
+    for again in range(2):  # the second time from what is kept
+        for key, text, got in zip(keys, texts, e.encode_many(keys, texts), strict=True):
+            parts = sentencepiece_codec._PART.findall(" " + text) if text else []
+            own = mix(np.arange(len(parts), dtype=np.uint64) + np.uint64(key)).tolist()
+            assert got.tolist() == [x for part, k in zip(parts, own, strict=True) for x in sentencepiece_codec.segment(v, part, 0.1, k)]
+            assert e.decode(got) == text.encode() if text else not len(got)
+
+
 def test_search_equals_all_pairs(spark):
     import random
 
