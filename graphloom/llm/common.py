@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -10,8 +11,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A side of a join is broadcast only if it has been counted and has no more rows than this.
-BROADCAST_ROWS = 200_000
+#: A side of a join is broadcast only if its files hold no more bytes than this, and, counted, it has no more rows than this.
+BROADCAST_BYTES, BROADCAST_ROWS = 8 << 20, 200_000
 #: A group counts as heavy when it holds more than one row in so many, so there are fewer heavy groups than this.
 HEAVY_ONE_IN = 1000
 #: What counts as a word in all operators here; white space is ASCII only.
@@ -21,9 +22,11 @@ _own_dir: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster shares (spark.checkpoint.dir); a local one of our own only where that is unset."""
+    """The folder that the cluster shares (spark.checkpoint.dir); a local one of our own only where that is unset and all runs in one process."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and the executors share")
         app = spark.sparkContext.applicationId
         named = _own_dir.setdefault(app, "file://" + tempfile.mkdtemp(prefix="graphloom-"))
     return named.rstrip("/")
@@ -47,9 +50,34 @@ def settle(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def input_bytes(df: DataFrame) -> int:
+    """Bytes of the files that a plan reads, before any filter."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    return sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
+
+
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """df (a settled table), marked for broadcast if a count shows it to be small; else as it is, for a shuffled join."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+    """df (a settled table), marked for broadcast if its files and a count show it to be small; else as it is, for a shuffled join."""
+    return F.broadcast(df) if input_bytes(df) <= BROADCAST_BYTES and df.limit(rows + 1).count() <= rows else df
+
+
+def spare(name: str, *frames: DataFrame) -> str:
+    """A column name like `name` that none of the frames has (in any case)."""
+    taken = {c.lower() for f in frames for c in f.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def quoted(name: str) -> str:
+    """A column's name as it is, dots and all."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def drop_rows(docs: DataFrame, gone: DataFrame, id_col: str) -> DataFrame:
+    """docs without the rows whose id is in gone (a settled table of one column, no nulls). Rows without an id stay."""
+    key = spare("_id", docs)
+    return docs.join(small(gone.toDF(key)), F.col(quoted(id_col)).cast("long") == F.col(key), "left_anti")
 
 
 def join_hot(rows: DataFrame, groups: DataFrame, keys: list[str], size: str, total: int) -> DataFrame:

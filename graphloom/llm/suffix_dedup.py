@@ -9,8 +9,9 @@ Deciding. The contexts of an anchor's shard are joined into one text with separa
 transform, and breadth-first backward extension over the transform sets the longest common prefix of neighbouring suffixes by increasing
 value, stopping at `length`: what is then unset is at least that long. The intervals between set places are equal windows; an
 interval is repeated if the multiplicities in it sum to two or more. A shard with one context needs no array, since its
-multiplicity decides. An anchor with more than MOST_CONTEXTS contexts is too large for a task: its windows are counted by a 128-bit hash
-over the whole cluster instead, which gives the same answer.
+multiplicity decides. An anchor with more than MOST_CONTEXTS contexts is too large for a task: its contexts are cut again by anchors that are longer
+by a quarter of `length`, which are shared by fewer texts, and these shards go through arrays in turn. Anchors as long as a window end this, since all their
+contexts are equal.
 
 Defined results: null text is empty; a text shorter than `length` keeps all its bytes; windows never cross documents; equal
 texts (repeated rows, null ids) get equal results; an empty table gives an empty result; further columns are ignored.
@@ -24,12 +25,14 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import join_hot, mix, settle, slices, small, utf8
+from graphloom.llm.common import join_hot, mix, quoted, settle, slices, small, utf8
 
 GRAM = 100
 MOST_CONTEXTS = 1000
 #: Bytes of contexts that are sorted at once, and of a text that are scanned at once.
 BLOCK, PIECE = 1 << 19, 1 << 22
+#: Contexts of a task that makes arrays, about.
+TASK_CONTEXTS = 8000
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 _pow: dict[int, np.ndarray] = {}
@@ -49,7 +52,7 @@ def runs(buf: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarra
     """For a text of `length` bytes or more: the anchors' hashes, and the first and last window of each."""
     value = buf.astype(np.uint64) + np.uint64(1)
     total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(value * _powers(_BASE, len(buf)), dtype=np.uint64)))
-    h = mix((total[gram:] - total[:-gram]) * _powers(_INVERSE, len(buf) - gram + 1))
+    h = mix((total[gram:] - total[:-gram]) * _powers(_INVERSE, len(buf) - gram + 1) + np.uint64(gram))
     w = length - gram + 1
     key = (h & np.uint64(0xFFFFFFFFFF000000)) | np.arange(len(h), dtype=np.uint64)
     padded = np.full(-(-len(key) // w) * w, np.uint64(0xFFFFFFFFFFFFFFFF))
@@ -242,17 +245,21 @@ def _cut(base: DataFrame, owners: DataFrame, length: int) -> DataFrame:
     def run(batches):
         import pyarrow as pa
 
+        schema = pa.schema([("hash", pa.int64()), ("c0", pa.int64()), ("c1", pa.int64()), ("n", pa.int64()), ("ctx", pa.binary())])
         for b in slices(batches):
-            for text, cut in zip(utf8(b.column("text")), b.column("cut").to_pylist(), strict=True):
-                yield pa.RecordBatch.from_pylist([{k: x[k] for k in ("hash", "c0", "c1", "n")} | {"ctx": text[x["ws"] : x["we"] + length]} for x in cut], schema=pa.schema([("hash", pa.int64()), ("c0", pa.int64()), ("c1", pa.int64()), ("n", pa.int64()), ("ctx", pa.binary())]))
+            rows = [{k: x[k] for k in ("hash", "c0", "c1", "n")} | {"ctx": text[x["ws"] : x["we"] + length]} for text, cut in zip(utf8(b.column("text")), b.column("cut").to_pylist(), strict=True) for x in cut]
+            for at in range(0, len(rows), 4000):
+                yield pa.RecordBatch.from_pylist(rows[at : at + 4000], schema=schema)
 
+    # rows that repeat an owner's id and text cut the same contexts
     return joined.mapInArrow(run, _CONTEXT)
 
 
 _RESULT = "hash long, c0 long, c1 long, hits array<int>"
 
 
-def _by_arrays(contexts: DataFrame, length: int) -> DataFrame:
+def _by_arrays(contexts: DataFrame, length: int, contexts_in_all: int) -> DataFrame:
+    """hits (first and last of runs of windows, flat) of the contexts of each anchor, by arrays."""
     def run(batches):
         import pyarrow as pa
 
@@ -279,46 +286,75 @@ def _by_arrays(contexts: DataFrame, length: int) -> DataFrame:
         if held:
             yield done()
 
-    return contexts.repartition("hash").sortWithinPartitions("hash").mapInArrow(run, _RESULT)
+    tasks = max(int(contexts.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-contexts_in_all // TASK_CONTEXTS))
+    return contexts.repartition(tasks, "hash").sortWithinPartitions("hash").mapInArrow(run, _RESULT)
 
 
-def _by_windows(contexts: DataFrame, length: int) -> DataFrame:
-    """For anchors of very many contexts: each window's 128-bit hash is counted over the cluster."""
+def _cut_again(contexts: DataFrame, length: int, gram: int) -> DataFrame:
+    """Contexts cut by longer anchors: hash, c0, c1 of the context, n, at (first window in it), hash2, e0, e1 (digest of the part), ctx (its bytes)."""
 
     def run(batches):
         import pyarrow as pa
 
+        names = ["hash", "c0", "c1", "n", "at", "hash2", "e0", "e1", "ctx"]
         for b in batches:
+            cols = [[] for _ in names]
             for h, c0, c1, n, ctx in zip(*(b.column(i).to_pylist() for i in range(5)), strict=True):
-                got = [_halves(ctx[i : i + length]) for i in range(len(ctx) - length + 1)]
-                k = len(got)
-                yield pa.RecordBatch.from_arrays([pa.array([x] * k, pa.int64()) for x in (h, c0, c1, n)] + [pa.array(x, pa.int64()) for x in (range(k), [g[0] for g in got], [g[1] for g in got])], names=["hash", "c0", "c1", "n", "i", "w0", "w1"])
+                anchors, first, last = runs(np.frombuffer(ctx, np.uint8), length, gram)
+                # equal windows agree in both anchors, so the pair of them is the shard
+                for a, x, y in zip(mix(anchors ^ np.uint64(h & (2**64 - 1))).view(np.int64).tolist(), first.tolist(), last.tolist(), strict=True):
+                    part = ctx[x : y + length]
+                    for col, v in zip(cols, (h, c0, c1, n, x, a, *_halves(part), part if gram < length else b""), strict=True):
+                        col.append(v)
+            yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols[:-1]), pa.array(cols[-1], pa.binary())], names=names)
+
+    return contexts.dropDuplicates(["hash", "c0", "c1"]).mapInArrow(run, "hash long, c0 long, c1 long, n long, at long, hash2 long, e0 long, e1 long, ctx binary")
+
+
+def _by_longer_anchors(contexts: DataFrame, length: int, gram: int, most_contexts: int) -> DataFrame:
+    """hits of the contexts of crowded anchors, by shards of anchors of `gram` bytes; those still crowded by longer ones."""
+    parts = settle(_cut_again(contexts, length, gram), "parts")
+    once = settle(parts.groupBy("hash2", "e0", "e1").agg(F.sum("n").alias("n"), F.min("ctx").alias("ctx")).withColumnsRenamed({"hash2": "hash", "e0": "c0", "e1": "c1"}), "parts-once")
+    if gram == length:  # a part is one window, and its copies decide
+        return _moved(parts, once.filter("n > 1").select("hash", "c0", "c1", F.array(F.lit(0), F.lit(0)).alias("hits")))
+    total = once.count()
+    shards = settle(once.groupBy("hash").agg(F.count(F.lit(1)).alias("k")), "shards")
+    kinds = join_hot(once, shards, ["hash"], "k", total)
+    alone = kinds.filter("k = 1 and n > 1").select("hash", "c0", "c1", F.array(F.lit(0), (F.octet_length("ctx") - length).cast("int")).alias("hits"))
+    results = alone.unionByName(_by_arrays(kinds.filter((F.col("k") > 1) & (F.col("k") <= most_contexts)).select("hash", "c0", "c1", "n", "ctx"), length, total))
+    crowd = settle(kinds.filter(F.col("k") > most_contexts).select("hash", "c0", "c1", "n", "ctx"), "crowd")
+    if not crowd.isEmpty():
+        results = results.unionByName(_by_longer_anchors(crowd, length, min(length, gram + max(1, length // 4)), most_contexts))
+    return _moved(parts, results)
+
 
-    once = contexts.dropDuplicates(["hash", "c0", "c1"])
-    windows = once.mapInArrow(run, "hash long, c0 long, c1 long, n long, i long, w0 long, w1 long")
-    often = settle(windows.groupBy("w0", "w1").agg(F.sum("n").alias("total")).filter("total >= 2").select("w0", "w1"), "often")
-    places = windows.join(often, ["w0", "w1"], "left_semi").groupBy("hash", "c0", "c1").agg(F.sort_array(F.collect_set(F.col("i").cast("int"))).alias("at"))
-    return places.select("hash", "c0", "c1", F.flatten(F.transform("at", lambda x: F.array(x, x))).alias("hits"))
+def _moved(parts: DataFrame, results: DataFrame) -> DataFrame:
+    """hits of contexts from those of their parts."""
+    results = settle(results.withColumnsRenamed({"hash": "hash2", "c0": "e0", "c1": "e1"}), "parts-repeated")
+    moved = F.transform("hits", lambda x: (x + F.col("at")).cast("int"))
+    found = parts.select("hash", "c0", "c1", "at", "hash2", "e0", "e1").join(results, ["hash2", "e0", "e1"])
+    return found.groupBy("hash", "c0", "c1").agg(F.flatten(F.sort_array(F.collect_list(moved))).alias("hits"))
 
 
 def find_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 400, gram: int | None = None, most_contexts: int = MOST_CONTEXTS) -> DataFrame:
     """d0, d1 (digest of a text), starts: array of (first, last) runs of repeated windows. Only texts that have some."""
     gram = gram or min(GRAM, max(1, length // 4))
-    base = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    base = docs.select(F.col(quoted(id_col)).cast("long").alias("id"), F.coalesce(F.col(quoted(text_col)), F.lit("")).alias("text"))
     long_ = base.filter(F.octet_length("text") >= length)
     often = settle(_anchors(long_, length, gram, False).groupBy("hash").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("hash"), "anchors")
     seen = settle(_anchors(long_, length, gram, True).join(small(often, 500_000), "hash", "left_semi"), "seen")
     owner = F.min(F.struct("d0", "d1", "id", "ws", "we"))
     contexts = settle(seen.groupBy("hash", "c0", "c1").agg(F.count(F.lit(1)).alias("n"), owner.alias("o")), "contexts")
     shards = settle(contexts.groupBy("hash").agg(F.count(F.lit(1)).alias("k")), "shards")
-    kinds = join_hot(contexts, shards, ["hash"], "k", contexts.count()).select("hash", "c0", "c1", "n", "k", "o.*")
+    total = contexts.count()
+    kinds = join_hot(contexts, shards, ["hash"], "k", total).select("hash", "c0", "c1", "n", "k", "o.*")
     kinds = settle(kinds, "kinds")
     alone = kinds.filter("k = 1 and n > 1").select("hash", "c0", "c1", F.array(F.lit(0), (F.col("we") - F.col("ws")).cast("int")).alias("hits"))
-    several = _by_arrays(_cut(long_, kinds.filter((F.col("k") > 1) & (F.col("k") <= most_contexts)), length), length)
+    several = _by_arrays(_cut(long_, kinds.filter((F.col("k") > 1) & (F.col("k") <= most_contexts)), length), length, total)
     crowd = kinds.filter(F.col("k") > most_contexts)
     results = alone.unionByName(several)
     if not crowd.isEmpty():
-        results = results.unionByName(_by_windows(_cut(long_, crowd, length), length))
+        results = results.unionByName(_by_longer_anchors(_cut(long_, crowd, length), length, min(length, gram + max(1, length // 4)), most_contexts))
     results = settle(results.join(contexts.select("hash", "c0", "c1", "n"), ["hash", "c0", "c1"]), "repeats")
     placed = join_hot(seen, results, ["hash", "c0", "c1"], "n", seen.count()).filter("hits is not null")
     spans = placed.groupBy("d0", "d1").agg(F.collect_set(F.struct("ws", "hits")).alias("at"))
@@ -339,7 +375,7 @@ def _covered(at: list[dict], length: int) -> list[tuple[int, int]]:
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 400, with_text: bool = False, **more) -> DataFrame:
     """One row per row of docs: id, n_bytes, n_removed, n_spans, kept_sha256; with_text: also kept (bytes)."""
-    base = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    base = docs.select(F.col(quoted(id_col)).cast("long").alias("id"), F.coalesce(F.col(quoted(text_col)), F.lit("")).alias("text"))
     spans = find_repeats(docs, id_col, text_col, length, **more)
     joined = _with_digest(base).join(small(spans), ["d0", "d1"], "left").select("id", "text", "at")
     names = ["id", "n_bytes", "n_removed", "n_spans", "kept_sha256"] + ["kept"] * with_text

@@ -1,3 +1,4 @@
+import hashlib
 import random
 from collections import Counter
 
@@ -47,3 +48,39 @@ def test_anchors_of_equal_windows_are_equal():
                 for w in range(lo, hi + 1):
                     at.setdefault(t[w : w + 100], set()).add(x)
     assert sum(len(v) == 1 for v in at.values()) == len(at)
+
+
+def _brute(rows, length):
+    texts = [(b or "").encode() for _, b in rows]
+    seen = Counter(t[i : i + length] for t in texts for i in range(len(t) - length + 1))
+    out = []
+    for (key, _), t in zip(rows, texts, strict=True):
+        gone = bytearray(len(t))
+        for i in range(len(t) - length + 1):
+            if seen[t[i : i + length]] > 1:
+                gone[i : i + length] = b"\1" * length
+        kept = bytes(c for c, g in zip(t, gone, strict=True) if not g)
+        out.append((key, len(t), sum(gone), sum(b"\0" + gone[i : i + 1] == b"\0\1" if i == 0 else gone[i - 1 : i + 1] == b"\0\1" for i in range(len(gone))), hashlib.sha256(kept).hexdigest()))
+    return sorted(map(str, out))
+
+
+def test_crowded_anchors_go_through_longer_ones(spark):
+    """A passage that all texts share, between others that some share: at every limit of contexts the same as brute force."""
+    r = random.Random(6)
+    word = lambda n: "".join(r.choice("abcdefghij ") for _ in range(n))
+    common, some = word(33), [word(60) for _ in range(4)]
+    rows = [(i, word(r.randint(0, 50)) + (r.choice(some) if i % 3 == 0 else word(9)) + common + (r.choice(some) if i % 4 == 0 else word(30)) + word(r.randint(0, 40))) for i in range(60)]
+    rows += [(100, "xy" * 90), (101, None), (102, ""), (103, common), (104, rows[0][1]), (104, rows[0][1]), (None, rows[3][1])]
+    docs = spark.createDataFrame([(*x, 1) for x in rows], "doc_id long, text string, id int")
+    for most in (1, 3, 1000):
+        got = S.remove_repeats(docs, length=40, most_contexts=most).collect()
+        assert sorted(str(tuple(x)) for x in got) == _brute(rows, 40)
+    assert S.remove_repeats(docs.limit(0)).count() == 0
+
+
+def test_pieces_of_a_long_text_have_the_windows_of_the_whole(monkeypatch):
+    r = random.Random(7)
+    text = bytes(r.choice(b"abc") for _ in range(900))
+    whole = {x: h for hs, a, b in S.text_runs(text, 50, 12) for h, lo, hi in zip(hs.tolist(), a, b, strict=True) for x in range(lo, hi + 1)}
+    monkeypatch.setattr(S, "PIECE", 101)
+    assert {x: h for hs, a, b in S.text_runs(text, 50, 12) for h, lo, hi in zip(hs.tolist(), a, b, strict=True) for x in range(lo, hi + 1)} == whole and set(whole) == set(range(851))
