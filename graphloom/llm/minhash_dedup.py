@@ -9,8 +9,12 @@ several components even then is dealt into blocks of bounded size, and each two
 compares full sets of different components and gives only links: so no link between members of a bucket is lost, a
 bucket of one component costs one star, and no pair of a large bucket becomes a row.
 
-At a similarity of 0.85 a link shares no bucket with a chance of 1e-6.
-Defined results: null text is empty; null ids count as one id, smallest of all; repeated rows have equal sets; empty tables give
+Bands are as narrow as a miss rate under MISS at the least similarity asks for: 36 bands of 7 at 0.85 (a link shares no bucket with a chance of
+1e-6, were bins independent), 42 bands of 6 at 0.80 (3e-6). A test measures it on small and large sets.
+
+Defined results: null text is empty. A class is known by a number of its own, so rows without an id, or ids that repeat on different texts, stay apart; class_id and
+component_id are the least id there is (null if all rows lack one). kept is true where the id equals component_id, and, in a component that has no id at all, for
+every row; a row without an id beside rows with ids isn't kept. Repeated rows have equal sets; empty tables give
 empty results; very long texts are hashed in blocks; further columns are ignored.
 """
 
@@ -20,10 +24,9 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import join_hot, mix, settle, slices, small, utf8, word_hashes
+from graphloom.llm.common import join_hot, mix, quoted, settle, slices, small, utf8, word_hashes
 
-BANDS, ROWS = 36, 7
-BINS = BANDS * ROWS
+BINS, MISS = 252, 5e-6
 #: Centres of a bucket's second round of stars.
 MORE_CENTRES = 7
 #: Mean members and mean bytes of sets in a block of a bucket that stars did not settle.
@@ -33,6 +36,12 @@ _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B
 _PROBES = (mix((np.arange(BINS, dtype=np.uint64)[:, None] << np.uint64(32)) + np.arange(64, dtype=np.uint64)[None, :] + np.uint64(1)) % np.uint64(BINS)).astype(np.int64)
 
 
+def band_rows(percent: int) -> int:
+    """The most minima a band may hold for links of the least similarity to miss all bands with a chance under MISS."""
+    t = percent / 100
+    return max(r for r in range(1, 64) if r == 1 or (BINS % r == 0 and (1 - t**r) ** (BINS // r) < MISS))
+
+
 def shingles(h: np.ndarray, words: int) -> np.ndarray:
     """Sorted distinct hashes of the shingles in a sequence of word hashes."""
     if not len(h):
@@ -69,11 +78,12 @@ def signature(s: np.ndarray) -> np.ndarray:
     return out
 
 
-def buckets(sigs: np.ndarray) -> np.ndarray:
-    """One 64-bit key per signature and band; the band is part of it."""
-    m = sigs.reshape(-1, BANDS, ROWS)
-    out = np.tile(np.arange(1, BANDS + 1, dtype=np.uint64), (len(m), 1))
-    for i in range(ROWS):
+def buckets(sigs: np.ndarray, rows: int) -> np.ndarray:
+    """One 64-bit key per signature and band of `rows` minima; the band is part of it."""
+    bands = BINS // rows
+    m = sigs.reshape(-1, bands, rows)
+    out = np.tile(np.arange(1, bands + 1, dtype=np.uint64), (len(m), 1))
+    for i in range(rows):
         out = mix(out * _ODD[2] + m[:, :, i])
     return out
 
@@ -104,12 +114,14 @@ def set_marks(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataFr
             n, s0, s1 = zip(*rows, strict=True) if rows else ((), (), ())
             yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(n, pa.int64()), pa.array(s0, pa.int64()), pa.array(s1, pa.int64())], names=["id", "n_shingles", "s0", "s1"])
 
-    base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    base = docs.select(F.col(quoted(id_col)).cast("long").alias("id"), F.col(quoted(text_col)).alias("text"))
     return base.mapInArrow(run, "id long, n_shingles long, s0 long, s1 long")
 
 
-def _class_buckets(docs: DataFrame, text_col: str, words: int) -> DataFrame:
+def _class_buckets(docs: DataFrame, text_col: str, words: int, percent: int) -> DataFrame:
     """s0, s1, bucket: of every text, with repeats among copies."""
+    per_band = band_rows(percent)
+    bands = BINS // per_band
 
     def run(batches):
         import pyarrow as pa
@@ -123,9 +135,9 @@ def _class_buckets(docs: DataFrame, text_col: str, words: int) -> DataFrame:
                     s0.append(d[0])
                     s1.append(d[1])
             if keys:
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array(s0, np.int64), BANDS)), pa.array(np.repeat(np.array(s1, np.int64), BANDS)), pa.array(buckets(np.stack(keys)).view(np.int64).ravel())], names=["s0", "s1", "bucket"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array(s0, np.int64), bands)), pa.array(np.repeat(np.array(s1, np.int64), bands)), pa.array(buckets(np.stack(keys), per_band).view(np.int64).ravel())], names=["s0", "s1", "bucket"])
 
-    return docs.select(F.col(text_col).alias("text")).mapInArrow(run, "s0 long, s1 long, bucket long")
+    return docs.select(F.col(quoted(text_col)).alias("text")).mapInArrow(run, "s0 long, s1 long, bucket long")
 
 
 def _full_sets(docs: DataFrame, text_col: str, words: int, wanted: DataFrame) -> DataFrame:
@@ -139,7 +151,7 @@ def _full_sets(docs: DataFrame, text_col: str, words: int, wanted: DataFrame) ->
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in rows], pa.int64()), pa.array([k[1] for k in rows], pa.int64()), pa.array([s.tobytes() for s in rows.values()], pa.binary())], names=["s0", "s1", "shingles"])
 
-    sets = docs.select(F.col(text_col).alias("text")).mapInArrow(run, "s0 long, s1 long, shingles binary")
+    sets = docs.select(F.col(quoted(text_col)).alias("text")).mapInArrow(run, "s0 long, s1 long, shingles binary")
     return sets.join(small(wanted), ["s0", "s1"]).select("c", "shingles").dropDuplicates(["c"])
 
 
@@ -237,8 +249,8 @@ def _links_in_blocks(state: DataFrame, sets: DataFrame, percent: int) -> DataFra
 
 
 def link_classes(docs: DataFrame, classes: DataFrame, text_col: str, words: int, percent: int) -> DataFrame:
-    """v, label: components of the classes (c, s0, s1), c being the least id of a class."""
-    keyed = _class_buckets(docs, text_col, words)
+    """v, label: components of the classes (c, s0, s1), c being the number of a class."""
+    keyed = _class_buckets(docs, text_col, words, percent)
     once = settle(keyed.distinct(), "buckets")
     shared = once.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     members = once.join(shared, "bucket").select("bucket", "s0", "s1", "n")
@@ -285,9 +297,15 @@ def find_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", w
     """One row per row of docs: id, n_shingles, class_id (least id with an equal set), component_id, kept."""
     marks = settle(set_marks(docs, id_col, text_col, words), "sets-of")
     empty = marks.filter("s0 is null")
-    classes = settle(marks.filter("s0 is not null").groupBy("s0", "s1").agg(F.coalesce(F.min("id"), F.lit(-(2**63))).alias("c"), F.count(F.lit(1)).alias("n")), "classes")
+    grouped = marks.filter("s0 is not null").groupBy("s0", "s1").agg(F.min("id").alias("class_id"), F.count(F.lit(1)).alias("n"))
+    classes = settle(grouped.withColumn("c", F.monotonically_increasing_id()), "classes")  # written, so the numbers stay as they are
     label = link_classes(docs, classes.select("c", "s0", "s1"), text_col, words, percent)
-    named = settle(classes.join(label.withColumnRenamed("v", "c"), "c", "left").select("s0", "s1", "n", "c", F.coalesce("label", "c").alias("component_id")), "named")
-    full = join_hot(marks.filter("s0 is not null"), named, ["s0", "s1"], "n", marks.count())
-    out = full.select("id", "n_shingles", F.col("c").alias("class_id"), "component_id").unionByName(empty.select("id", "n_shingles", F.col("id").alias("class_id"), F.col("id").alias("component_id")))
-    return out.withColumn("kept", F.col("id") == F.col("component_id"))
+    named = classes.join(label.withColumnRenamed("v", "c"), "c", "left").withColumn("label", F.coalesce("label", "c"))
+    named = settle(named.select("s0", "s1", "n", "class_id", "label"), "named")
+    # a component of one class is that class; the least id of the others
+    joint = settle(named.groupBy("label").agg(F.min("class_id").alias("component_id"), F.count(F.lit(1)).alias("k")).filter("k > 1").drop("k"), "joint")
+    found = named.join(small(joint.withColumn("_joint", F.lit(True))), "label", "left")
+    found = settle(found.select("s0", "s1", "n", "class_id", F.when(F.col("_joint"), F.col("component_id")).otherwise(F.col("class_id")).alias("component_id")), "components")
+    full = join_hot(marks.filter("s0 is not null"), found, ["s0", "s1"], "n", marks.count())
+    out = full.select("id", "n_shingles", "class_id", "component_id").unionByName(empty.select("id", "n_shingles", F.col("id").alias("class_id"), F.col("id").alias("component_id")))
+    return out.withColumn("kept", F.col("id").eqNullSafe(F.col("component_id")))
