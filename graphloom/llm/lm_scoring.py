@@ -7,7 +7,8 @@ Tokens are words (A-Z lower-cased) and one end per text; a text starts after a b
    meets in one task); shards write sorted pair hashes with counts, and context totals with the numbers of words seen once, twice, more;
 3. continuation counts: shards send how many contexts each word follows, summed by word;
 4. scoring: tasks over all texts look their pairs up in the mapped arrays.
-The arrays lie in the shared folder; where that is no local path, a worker copies a shard to its own folder when it first needs it.
+The arrays lie in the shared folder, in as many shards as the size of the input asks for; where that folder is no local path, a worker copies a shard to an
+unnamed file when it first needs it.
 A word never seen gets the share that unigram smoothing leaves for one more word, so probabilities of all known words and "unknown" sum to 1.
 
 Defined results: null text is an empty text (one token: its end); null ids are training rows; repeated rows count each time; with no
@@ -16,21 +17,22 @@ training rows every probability is 1 (no known word); an empty table gives an em
 
 from __future__ import annotations
 
-import os
-import tempfile
 from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import fresh_path, mix, settle, short_batches, slices, utf8, word_hashes
+from graphloom.llm.arrays import find, get_array, kept_for, put_array
+from graphloom.llm.common import fresh_path, input_bytes, mix, quoted, settle, short_batches, slices, utf8, word_hashes
 
 BEGIN, END = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 #: A task sums its counts whenever it holds so many tokens.
 HELD = 3_000_000
 HEAVY = 50
+#: Bytes of input files to a shard.
+SHARD_BYTES = 10 << 20
 _LONG_COUNT = 255
 
 
@@ -38,60 +40,6 @@ def pair_hash(h: np.ndarray, w: np.ndarray) -> np.ndarray:
     return mix(h * _ODD + w)
 
 
-# ---------------------------------------------------------------- files
-
-
-def _local(uri: str) -> str | None:
-    return uri.removeprefix("file://") if uri.startswith(("file:", "/")) else None
-
-
-def put_array(folder: str, name: str, data: np.ndarray) -> None:
-    """Write once, whole: a repeated task replaces the file by an equal one."""
-    if (path := _local(folder)) is not None:
-        os.makedirs(path, exist_ok=True)
-        part = f"{path}/.{name}.{os.getpid()}"
-        data.tofile(part)
-        os.replace(part, f"{path}/{name}")
-        return
-    from pyarrow import fs
-
-    store, path = fs.FileSystem.from_uri(folder)
-    store.create_dir(path, recursive=True)
-    with store.open_output_stream(f"{path}/{name}") as out:
-        out.write(data.tobytes())
-
-
-_mapped: dict[tuple[str, str], np.ndarray] = {}
-
-
-def get_array(folder: str, name: str, dtype) -> np.ndarray:
-    """A file as an array mapped into memory; empty if it was never written."""
-    key = (folder, name)
-    if key not in _mapped:
-        path = _local(folder)
-        if path is None:
-            from pyarrow import fs
-
-            store, at = fs.FileSystem.from_uri(folder)
-            path = tempfile.mkdtemp()
-            if store.get_file_info(f"{at}/{name}").type == fs.FileType.File:
-                with store.open_input_stream(f"{at}/{name}") as src, open(f"{path}/{name}", "wb") as out:
-                    while block := src.read(1 << 24):
-                        out.write(block)
-        full = f"{path}/{name}"
-        some = os.path.exists(full) and os.path.getsize(full)
-        _mapped[key] = np.memmap(full, dtype, "r") if some else np.empty(0, dtype)
-    return _mapped[key]
-
-
-def find(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each wanted key its place in the sorted keys, and whether it is there."""
-    if not len(keys):
-        return np.zeros(len(wanted), np.int64), np.zeros(len(wanted), bool)
-    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
-    return at, keys[at] == wanted
-
-
 # ---------------------------------------------------------------- counting
 
 
@@ -165,7 +113,7 @@ def _unigram_blobs(base: DataFrame, shards: int) -> DataFrame:
 
 
 def _by_shard(df: DataFrame, shards: int) -> DataFrame:
-    return df.repartition(shards, "shard").sortWithinPartitions("shard")
+    return df.repartitionById(shards, F.col("shard")).sortWithinPartitions("shard")
 
 
 def _grouped(batches):
@@ -310,9 +258,9 @@ class Model:
 def train(texts: DataFrame, text_col: str = "text", shards: int | None = None) -> Model:
     spark: SparkSession = texts.sparkSession
     short_batches(spark)
-    shards = shards or max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    shards = shards or max(8, -(-input_bytes(texts) // SHARD_BYTES))
     folder = fresh_path(spark, "ngrams")
-    base = texts.select(F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    base = texts.select(F.coalesce(F.col(quoted(text_col)), F.lit("")).alias("text"))
     uni = _sum_unigrams(_unigram_blobs(base, shards), shards, folder, "word").collect()  # one row per shard
     hot = sorted(int(np.int64(x).view(np.uint64)) for r in uni for x in r["hot"])
     # HEAVY per shard at most; the begin mark is a context of every text
@@ -349,15 +297,15 @@ def _look(m: Model, name: str, kind: str, dtype, shard: np.ndarray, keys: np.nda
 
 def _hot_totals(m: Model) -> dict[str, np.ndarray]:
     """Totals of the hot contexts, summed over the shards."""
-    key = (m.folder, "hot")
-    if key not in _mapped:
+    kept = kept_for(m.folder)
+    if "hot" not in kept:
         hot = np.array(m.hot, np.uint64)
         sums = np.zeros((4, len(hot)), np.int64)
         for s in range(m.shards):
             got = _look(m, "context", "total,n1,n2,n3", (np.uint64, np.uint32, np.uint32, np.uint32), np.full(len(hot), s), hot)
             sums += np.array(got)
-        _mapped[key] = sums
-    return _mapped[key]
+        kept["hot"] = sums
+    return kept["hot"]
 
 
 def _unique(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -391,7 +339,7 @@ def token_scores(m: Model, h: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", held_out: Column | None = None) -> DataFrame:
     """One row per row of docs: id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10)."""
     short_batches(docs.sparkSession)
-    base = docs.select(F.col(id_col).cast("long").alias("id"), (F.lit(False) if held_out is None else held_out).alias("held_out"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    base = docs.select(F.col(quoted(id_col)).cast("long").alias("id"), (F.lit(False) if held_out is None else held_out).alias("held_out"), F.coalesce(F.col(quoted(text_col)), F.lit("")).alias("text"))
 
     def run(batches):
         import pyarrow as pa

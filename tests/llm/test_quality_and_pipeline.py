@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 import corpus_pipeline
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from graphloom.llm import quality
 
@@ -62,7 +63,8 @@ def test_bits_equal_a_dictionary_version():
     grams, counts = np.unique(np.concatenate([quality.codes(t) for t in texts]), return_counts=True)
     model = quality.build(grams, counts)
     for asked in (_prose(r, 1).encode(), _junk(r, 40).encode(), b"", "日本".encode()):
-        assert quality.bits(model, quality.codes(asked)).tolist() == pytest.approx(_slow_bits(texts, asked))
+        got = quality.probabilities([model, model[:1] + [(np.empty(0, np.uint64), np.empty(0))] * (quality.SHARDS - 1)], quality.codes(asked))
+        assert (-np.log2(got[0])).tolist() == pytest.approx(_slow_bits(texts, asked)) and len(got[1]) == len(got[0])
 
 
 def _corpus(spark, folder):
@@ -147,3 +149,17 @@ def test_small_languages_are_judged_by_their_own_trusted_rows(spark):
     labels = spark.createDataFrame([(i, 1, 0) for i in range(1500)] + [(2000 + i, 1, 0) for i in range(12)], "doc_id long, quality int, toxic int")
     kept = {x["id"] for x in quality.judge(docs, labels).collect() if x["kept"]}
     assert len(kept & set(range(2000, 2160))) >= 155 and len(kept & set(range(1500))) >= 1470 and not kept & set(range(3000, 3010))
+
+
+def test_stages_keep_clashing_and_dotted_columns(spark, tmp_path):
+    """Extra columns named as the stages' own, in any case, and with dots; nulls, equal rows and an empty table."""
+    text, folder = _corpus(spark, tmp_path), f"file://{tmp_path}"
+    names = ["_id", "_sha", "_STAY", "_draw", "id", "kept", "a.b", "_copies", "hash", "c"]
+    docs = spark.read.parquet(f"{folder}/documents.parquet").filter("doc_id < 40 or doc_id > 590")
+    for i, n in enumerate(names):
+        docs = docs.withColumn(n, F.lit(i))
+    for rows in (docs, docs.limit(0)):
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            out = stage(spark, rows, folder)
+            assert out.columns == docs.columns and out.filter("`a.b` <> 6").count() == 0
+        assert corpus_pipeline.STAGES[-1][1](spark, rows, folder).count() == rows.count()
