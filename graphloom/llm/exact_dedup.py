@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from graphloom.llm.common import join_hot, settle, slices, small, utf8
+from graphloom.llm.common import join_hot, quoted, settle, slices, small, spare, utf8
 
 #: Two primes under 2^31, so that sums over a chunk fit 64 bits, and the base of the polynomial.
 MODULI = (2147483629, 2147483587)
@@ -100,14 +100,14 @@ def _huge(df: DataFrame, moduli: tuple[int, int]) -> DataFrame:
 
 def fingerprints(docs: DataFrame, id_col: str, text_col: str, huge_bytes: int = HUGE_BYTES, moduli: tuple[int, int] = MODULI) -> DataFrame:
     """One row per row of docs: id, n_bytes, sha (SHA-256), fp."""
-    base = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("n_bytes", F.octet_length("text").cast("long"))
+    base = docs.select(F.col(quoted(id_col)).alias("id"), F.coalesce(F.col(quoted(text_col)), F.lit("")).alias("text")).withColumn("n_bytes", F.octet_length("text").cast("long"))
     short = _with_fingerprints(base.filter(F.col("n_bytes") <= huge_bytes), "text", moduli).withColumn("sha", F.sha2("text", 256)).drop("text")
     return short.unionByName(_huge(base.filter(F.col("n_bytes") > huge_bytes).withColumn("sha", F.sha2("text", 256)), moduli))
 
 
 def _collisions(docs: DataFrame, id_col: str, text_col: str, groups: DataFrame, moduli: tuple[int, int], huge_bytes: int) -> tuple[DataFrame, DataFrame]:
     """Chunks (fp, n_bytes, i, part) of the texts of groups, each content once with its count; and the groups of unequal texts."""
-    base = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("n_bytes", F.octet_length("text").cast("long")).filter("n_bytes > 0")
+    base = docs.select(F.coalesce(F.col(quoted(text_col)), F.lit("")).alias("text")).withColumn("n_bytes", F.octet_length("text").cast("long")).filter("n_bytes > 0")
     # lengths are compared first: a text whose length no group has needs no hash
     lengths = groups.select("n_bytes").distinct()
     keyed = _with_fingerprints(base.join(F.broadcast(lengths) if _bounded(lengths) else lengths, "n_bytes", "left_semi").select("text", "n_bytes"), "text", moduli)
@@ -123,7 +123,7 @@ def _bounded(lengths: DataFrame) -> bool:
 
 def _split(docs: DataFrame, id_col: str, text_col: str, bad: DataFrame, moduli: tuple[int, int]) -> DataFrame:
     """For groups of unequal texts (none, but for chance): each text's class, the least digests of its contents in order."""
-    base = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("n_bytes", F.octet_length("text").cast("long"))
+    base = docs.select(F.coalesce(F.col(quoted(text_col)), F.lit("")).alias("text")).withColumn("n_bytes", F.octet_length("text").cast("long"))
     keyed = _with_fingerprints(base, "text", moduli).join(small(bad), ["fp", "n_bytes"], "left_semi")
     once = keyed.groupBy("fp", "n_bytes", "text").agg(F.count(F.lit(1)).alias("copies")).withColumn("sha", F.sha2("text", 256))
     at = F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(n_bytes - 1) div {CHUNK}"))).alias("i")
@@ -156,11 +156,12 @@ def find_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs that stay, with all their columns. Rows without a copy go by without a shuffle."""
     found = settle(find_copies(docs, id_col, text_col), "copies")
-    gone = found.filter("not kept").select(F.col("id").alias("_id"), F.col("sha").alias("_sha")).groupBy("_id", "_sha").agg(F.count(F.lit(1)).alias("_gone"))
-    stay = found.filter("kept and group_size > 1").select(F.col("id").alias("_id"), F.col("sha").alias("_sha"), F.lit(1).alias("_stay"))
-    both = settle(gone.join(stay, (gone["_id"].eqNullSafe(stay["_id"])) & (gone["_sha"] == stay["_sha"]), "left").select(gone["_id"], gone["_sha"], F.coalesce("_stay", F.lit(0)).alias("_stay")), "gone")
-    keyed = docs.withColumn("_sha_of", F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256))
-    marked = keyed.join(small(both), keyed[id_col].eqNullSafe(F.col("_id")) & (F.col("_sha_of") == F.col("_sha")), "left")
-    clean = marked.filter("_stay is null")
-    twice = marked.filter("_stay = 1").dropDuplicates([id_col, "_sha_of"])  # the same id and text more than once: one of them
-    return clean.unionByName(twice).select(*(F.col(f"`{c}`") for c in docs.columns))
+    key, sha, stay, own = (spare(x, docs) for x in ("_id", "_sha", "_stay", "_sha_of"))
+    gone = found.filter("not kept").select("id", "sha").distinct()
+    kept = found.filter("kept and group_size > 1").select(F.col("id").alias("i"), F.col("sha").alias("s"), F.lit(1).alias("stay"))
+    both = settle(gone.join(kept, F.col("id").eqNullSafe(F.col("i")) & (F.col("sha") == F.col("s")), "left").select("id", "sha", F.coalesce("stay", F.lit(0))).toDF(key, sha, stay), "gone")
+    keyed = docs.withColumn(own, F.sha2(F.coalesce(F.col(quoted(text_col)), F.lit("")), 256))
+    marked = keyed.join(small(both), F.col(quoted(id_col)).eqNullSafe(F.col(key)) & (F.col(own) == F.col(sha)), "left")
+    clean = marked.filter(F.col(stay).isNull())
+    twice = marked.filter(F.col(stay) == 1).dropDuplicates([id_col, own])  # the same id and text more than once: one of them
+    return clean.unionByName(twice).select(*(F.col(quoted(c)) for c in docs.columns))

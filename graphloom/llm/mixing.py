@@ -17,7 +17,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import WORD, settle
+from graphloom.llm.common import WORD, quoted, settle, small, spare
 
 #: Bins of a histogram of ranks; two levels tell apart BINS**2 ranks.
 BINS = 4096
@@ -45,11 +45,11 @@ def targets(sizes: list[int], weights: Sequence[float], budget: float, most: flo
 
 def sized(docs: DataFrame, id_col: str, text_col: str, source_col: str, seed: int, weight_col: str | None = None) -> DataFrame:
     """id, source, size (words), weight, u in (0, 1)."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    draw = F.xxhash64(F.lit(seed), F.col(id_col), F.xxhash64(text))
+    text = F.coalesce(F.col(quoted(text_col)), F.lit(""))
+    draw = F.xxhash64(F.lit(seed), F.col(quoted(id_col)), F.xxhash64(text))
     return docs.select(
-        F.col(id_col).alias("id"), F.col(source_col).alias("source"), F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"),
-        (F.col(weight_col).cast("double") if weight_col else F.lit(1.0)).alias("weight"), ((F.shiftrightunsigned(draw, 12).cast("double") + 0.5) / float(1 << 52)).alias("u"),
+        F.col(quoted(id_col)).alias("id"), F.col(quoted(source_col)).alias("source"), F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"),
+        (F.col(quoted(weight_col)).cast("double") if weight_col else F.lit(1.0)).alias("weight"), ((F.shiftrightunsigned(draw, 12).cast("double") + 0.5) / float(1 << 52)).alias("u"),
     )
 
 
@@ -99,12 +99,11 @@ def mix(docs: DataFrame, weights: Sequence[float], share: float = 1.5, most: flo
 
 def take_copies(docs: DataFrame, mixed: DataFrame, seed: int, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """docs with each row as often as mix() takes it. Rows are recognised by id and rank, and rows alike in both are alike in copies."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    key = F.xxhash64(F.lit(seed), F.col(id_col), F.xxhash64(text))
+    text = F.coalesce(F.col(quoted(text_col)), F.lit(""))
+    key = F.xxhash64(F.lit(seed), F.col(quoted(id_col)), F.xxhash64(text))
     u = (F.shiftrightunsigned(key, 12).cast("double") + 0.5) / float(1 << 52)
-    from graphloom.llm.common import small
-
-    copies = settle(mixed.select(F.col("id").alias("_id"), F.col("source").alias("_source"), F.col("u").alias("_u"), F.col("copies").alias("_copies")).distinct(), "copies-of")
-    keyed = docs.withColumn("_draw", u)
-    got = keyed.join(small(copies), keyed[id_col].eqNullSafe(F.col("_id")) & (F.col("_draw") == F.col("_u")) & keyed[source_col].eqNullSafe(F.col("_source")))
-    return got.filter("_copies > 0").withColumn("_again", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies")))).select(*docs.columns)
+    draw, i, source, rank, times, again = (spare(x, docs) for x in ("_draw", "_id", "_source", "_u", "_copies", "_again"))
+    copies = settle(mixed.select("id", "source", "u", "copies").distinct().toDF(i, source, rank, times), "copies-of")
+    keyed = docs.withColumn(draw, u)
+    got = keyed.join(small(copies), F.col(quoted(id_col)).eqNullSafe(F.col(i)) & (F.col(draw) == F.col(rank)) & F.col(quoted(source_col)).eqNullSafe(F.col(source)))
+    return got.filter(F.col(times) > 0).withColumn(again, F.explode(F.sequence(F.lit(1).cast("long"), F.col(times)))).select(*(F.col(quoted(c)) for c in docs.columns))
