@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.llm import exact_dedup, minhash_dedup, mixing, quality, sentencepiece_codec
-from graphloom.llm.common import fresh_path, settle, small
+from graphloom.llm.common import drop_rows, fresh_path, settle
 
 SEED = 7
 
@@ -24,8 +24,8 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies (five-word shingles, similarity 0.8): the least doc_id. Documents without an id stay."""
     found = minhash_dedup.find_near(docs, words=5, percent=80)
-    gone = settle(found.filter("not kept").select(F.col("id").alias("_id")).distinct(), "near-copies")
-    return docs.join(small(gone), docs["doc_id"] == F.col("_id"), "left_anti")
+    gone = found.filter("id is not null").groupBy("id").agg(F.max("kept").alias("kept")).filter("not kept").select("id")
+    return drop_rows(docs, settle(gone, "near-copies"), "doc_id")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
