@@ -131,6 +131,61 @@ def test_url_rules(spark):
     assert got[0]["host"] == "a.example.org" and got[3]["path"] == "/en/12" and got[6]["host"] == "" and all(got[i]["verdict"] in ("allow", "block") for i in range(9))
 
 
+def _tree(keys, fanout, z, prior):
+    """The template tree with dictionaries: keys maps (host, segments) to (n, good, bad)."""
+    total = lambda rows: [sum(x) for x in zip(*rows, strict=True)]
+    at, done = {k: () for k in keys}, {}
+    while True:
+        done |= {k: t for k, t in at.items() if len(k[1]) <= len(t)}
+        at = {k: t for k, t in at.items() if k not in done}
+        if not at:
+            break
+        branches, nxt = {}, {}
+        for k, t in at.items():
+            branches.setdefault((k[0], t), {}).setdefault(k[1][len(t)], []).append(k)
+        for (_, t), children in branches.items():
+            n, g, b = total([keys[k] for ks in children.values() for k in ks])
+            rate = (g + 1) / (g + b + 2)
+            for piece, ks in children.items():
+                cn, cg, cb = total([keys[k] for k in ks])
+                off = abs(cg - (cg + cb) * rate) / (max(cg + cb, 1) * rate * (1 - rate)) ** 0.5
+                star = len(children) > fanout and cn * len(children) < 2 * n or len(children) > 1 and cg + cb and off < z
+                for k in ks:
+                    nxt[k] = t + k[1][len(t) :] if sum(map(len, children.values())) == 1 else (*t, "*" if star else piece)
+        at = nxt
+    count = lambda f: total([[0, 0, 0], *(v for k, v in keys.items() if f(k))])[1:]
+    g, b = count(lambda k: True)
+    root, out = (g + 1) / (g + b + 1), {}
+    for key, t in done.items():
+        p = h = root
+        for d in range(len(t) + 1):
+            under = lambda k: done[k][:d] == t[:d] and len(done[k]) >= d  # noqa: B023, E731
+            (pg, pb), (hg, hb) = count(under), count(lambda k: k[0] == key[0] and under(k))  # noqa: B023
+            before, p = p, (pg + prior * p) / (pg + pb + prior) if d else root
+            h = (hg + prior * (min(0.999, max(0.001, p + h - before)) if d else root)) / (hg + hb + prior)
+        out[key] = "/" + "/".join(t), h
+    return out
+
+
+def test_template_tree_equals_dictionaries(spark):
+    import random
+
+    r, keys = random.Random(8), {}
+    for host in ("a.com", "b.com", "c.net", "d.net"):
+        for _ in range(90):
+            segments = tuple(r.choice([f"s{r.randint(0, 30)}", "x", "{n}", "y"]) for _ in range(r.choice([0, 1, 1, 2, 3, 9])))
+            bad = 6 if segments[:1] == ("y",) else r.randint(0, 1)
+            labels = (r.randint(0, 4), bad) if host.endswith("com") else (0, 0)
+            keys[host, segments] = (sum(labels) + r.randint(1, 3), *labels)
+    df = spark.createDataFrame([(h, list(s), *v) for (h, s), v in keys.items()], "host string, segments array<string>, n long, good long, bad long")
+    got = {(x["host"], tuple(x["segments"])): (x["template"], x["purity"]) for x in url_filter.templates(df).collect()}
+    want = _tree(keys, url_filter.FANOUT, url_filter.Z, url_filter.PRIOR)
+    assert {k: v[0] for k, v in got.items()} == {k: v[0] for k, v in want.items()}
+    assert {k: v[1] for k, v in got.items()} == pytest.approx({k: v[1] for k, v in want.items()})
+    assert len({v[1] for k, v in got.items() if k[0] == "c.net"}) > 5 and any("*" in v[0] for v in got.values())
+    assert url_filter.templates(df.limit(0)).count() == 0
+
+
 def test_extraction_on_generated_pages_and_odd_input(spark):
     import random
 
