@@ -1,7 +1,7 @@
 """Main-text extraction: a bidirectional LSTM in numpy labels the leaf blocks of a page.
 
 A page is read into a sequence of leaf blocks (text between block-level tags; inline markup doesn't split a block, scripts, styles and comments
-hold no text). Each block is a vector: its tag path with classes and ids, hashed; its words, hashed; and its length, link share and place. Two LSTMs
+hold no text). Each block is a vector: its tag path with classes and ids, hashed; all its words, hashed; and its length, link share and place. Two LSTMs
 read the whole sequence forwards and backwards, so that each block is labelled in the context of the document; a logistic layer gives the probability of
 main text. The text is the blocks over 0.5, in page order, joined by a line end.
 
@@ -9,7 +9,7 @@ The network is trained on the driver, by Adam on pages that a seeded generator w
 size is fixed (about 40,000 numbers), so it is broadcast. Training takes a few seconds and is kept for the process.
 
 Defined results: null or empty html gives empty text; broken markup is read as far as it goes (unclosed tags end with their parent, an unclosed raw element ends
-with the page); a page of one plain block without tags is text; repeated rows give equal texts; an empty table gives an empty result; further columns are ignored.
+with the page; a quote without its pair is an ordinary character of its tag); a page of many blocks is read in pieces of PIECE blocks that pass their state on; repeated rows give equal texts; an empty table gives an empty result; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -17,18 +17,21 @@ from __future__ import annotations
 import html
 import random
 import re
-from functools import cache
+from functools import cache, lru_cache
 
 import numpy as np
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import short_batches, slices, utf8
+from graphloom.llm.common import quoted, short_batches, slices, utf8, word_hashes
 
 PATH_BITS, WORD_BITS, EXTRA, HIDDEN = 96, 48, 6, 24
 INPUT = PATH_BITS + WORD_BITS + EXTRA
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s>/]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+#: Blocks that the network reads at once.
+PIECE = 4096
+#: A tag's attributes end at the first > outside of quotes; where quotes don't pair, at the first >.
+_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s>/]*)(?:((?:[^>\"']++|\"[^\"]*\"|'[^']*')*+)>|([^>]*)>)", re.S)
 _ATTR = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 #: Fixed values of the HTML standard: elements without content, elements whose content is no markup, and inline elements.
 _VOID = set("area base br col embed hr img input link meta source track wbr".split())
@@ -87,8 +90,9 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], str, float]]:
             continue
         while stack and (stack[-1][0] in _CLOSED_BY_BLOCK or stack[-1][0] in _SAME.get(tag, ())):
             stack.pop()
-        name = " ".join(x or y or z for x, y, z in _ATTR.findall(m[3])).lower() if m[3] else ""
-        if not m[3].rstrip().endswith("/"):
+        attributes = m[3] if m[3] is not None else m[4]
+        name = " ".join(x or y or z for x, y, z in _ATTR.findall(attributes)).lower() if attributes else ""
+        if not attributes.rstrip().endswith("/"):
             stack.append((tag, name))
     if page[at:]:
         held.append(page[at:])
@@ -96,26 +100,22 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], str, float]]:
     return out
 
 
-@cache
+@lru_cache(1 << 14)
 def _path_slots(path: tuple[str, ...]) -> tuple[int, ...]:
     names = [p for x in path for p in re.split(r"[^a-z0-9]+", x) if p]
     last = [f"/{names[-1]}"] if names else []
     return tuple(sorted({xxhash.xxh3_64_intdigest(n) % PATH_BITS for n in [*names, *last]}))
 
 
-@cache
-def _word_slot(word: str) -> int:
-    return xxhash.xxh3_64_intdigest(word, 1) % WORD_BITS
-
-
-def vectors(found: list[tuple[tuple[str, ...], str, float]]) -> np.ndarray:
+def vectors(found: list[tuple[tuple[str, ...], str, float]], first: int = 0, total: int | None = None) -> np.ndarray:
+    """Of blocks `first` and on of a page that has `total`. All words of a block count."""
     x = np.zeros((len(found), INPUT), np.float32)
+    hashes, words = word_hashes([text.encode("utf-8", "surrogatepass") for _, text, _ in found])
+    at = np.repeat(np.arange(len(found)), words) * WORD_BITS + (hashes % np.uint64(WORD_BITS)).astype(np.int64)
+    x[:, PATH_BITS : PATH_BITS + WORD_BITS] = np.bincount(at, minlength=len(found) * WORD_BITS).reshape(-1, WORD_BITS) / np.maximum(words, 1)[:, None]
     for i, (path, text, share) in enumerate(found):
         x[i, list(_path_slots(path))] = 1
-        words = text[:400].lower().split()  # of the label only: the text itself is kept whole
-        for w in words[:30]:
-            x[i, PATH_BITS + (_word_slot(w) if len(w) <= 20 else 0)] += 1.0 / len(words[:30])
-        x[i, -EXTRA:] = (min(1.0, np.log1p(len(text)) / 8), share, min(1.0, len(words) / 40), float(text[-1] in ".!?;:"), i / len(found), 1.0)
+        x[i, -EXTRA:] = (min(1.0, np.log1p(len(text)) / 8), share, min(1.0, words[i] / 40), float(text[-1] in ".!?;:"), (first + i) / (total or len(found)), 1.0)
     return x
 
 
@@ -126,10 +126,10 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
-def _run(w: np.ndarray, u: np.ndarray, b: np.ndarray, x: np.ndarray, mask: np.ndarray, keep: bool) -> tuple[np.ndarray, list]:
-    """An LSTM over x (time, batch, input); padded places leave the state as it is."""
+def _run(w: np.ndarray, u: np.ndarray, b: np.ndarray, x: np.ndarray, mask: np.ndarray, keep: bool, state: list | None = None) -> tuple[np.ndarray, list]:
+    """An LSTM over x (time, batch, input); padded places leave the state as it is. state: where it starts, and then where it ended."""
     t, n, _ = x.shape
-    h = c = np.zeros((n, HIDDEN), np.float32)
+    h, c = state or [np.zeros((n, HIDDEN), np.float32)] * 2
     out, steps = np.zeros((t, n, HIDDEN), np.float32), []
     pre = x @ w + b
     for i in range(t):
@@ -144,6 +144,8 @@ def _run(w: np.ndarray, u: np.ndarray, b: np.ndarray, x: np.ndarray, mask: np.nd
             steps.append((h, c, gi, gf, go, gc, th, m))
         h, c = m * h2 + (1 - m) * h, m * c2 + (1 - m) * c
         out[i] = h
+    if state is not None:
+        state[:] = h, c
     return out, steps
 
 
@@ -186,6 +188,20 @@ def probabilities(model: dict[str, np.ndarray], xs: list[np.ndarray], keep: bool
     return (p, x, mask, both, sa, sb) if keep else [p[: len(q), i] for i, q in enumerate(xs)]
 
 
+def page_probabilities(model: dict[str, np.ndarray], found: list[tuple[tuple[str, ...], str, float]], piece: int = PIECE) -> np.ndarray:
+    """probabilities() of one page of any number of blocks: the pieces are read in order, and from the last one back; only states are kept."""
+    n, out = len(found), []
+    starts = range(0, n, piece)
+    for d, pieces in (("f", starts), ("b", reversed(starts))):
+        state, parts = [], []
+        for at in pieces:
+            x = vectors(found[at : at + piece], at, n)[:, None, :]
+            h, _ = _run(model[f"w{d}"], model[f"u{d}"], model[f"b{d}"], x if d == "f" else x[::-1], np.ones((len(x), 1), np.float32), False, state)
+            parts.append(h[:, 0] if d == "f" else h[::-1, 0])
+        out.append(np.concatenate(parts if d == "f" else parts[::-1]))
+    return _sigmoid(np.concatenate(out, 1) @ model["v"] + model["c"])
+
+
 # ---------------------------------------------------------------- training pages
 
 _SYLLABLES = "the and ion ent ter ing tha ere re on an ou ai en que le tion de la ment eau pas sch ein ung heit lich ber der ver os la ci ar do es que mente".split()
@@ -229,6 +245,12 @@ def training_page(r: random.Random) -> tuple[str, list[bool]]:
             block(side(r.randint(lo, hi)), False, *r.choice([("<p>", "</p>"), ("<h3>", "</h3>"), ("<div>", "</div>")]))
         out.append(f"</{tag}>")
 
+    if r.random() < 0.06:  # a fragment: blocks without any tag are text
+        block(_prose(r, r.choice([1, 3, 12, 60])), True, "", "")
+        if r.random() < 0.6:
+            menu(*r.choice([("nav", ""), ("div", ' class="menu"')]))
+            block(_prose(r, r.randint(3, 30)), True, "", "")
+        return "".join(out), labels
     title = _prose(r, r.randint(2, 9))
     out.append("<!DOCTYPE html><html><head><meta charset='utf-8'>")
     block(title, False, "<title>", "</title>")
@@ -332,15 +354,22 @@ def trained(seed: int = 3, pages: int = 640, epochs: int = 14) -> dict[str, np.n
 
 def texts_of(model: dict[str, np.ndarray], pages: list[str]) -> list[str]:
     found = [blocks(p) for p in pages]
-    order = sorted((i for i, f in enumerate(found) if f), key=lambda i: len(found[i]))
     out = [""] * len(pages)
+
+    def put(i: int, p: np.ndarray) -> None:
+        out[i] = "\n".join(b[1] for b, x in zip(found[i], p, strict=True) if x > 0.5)
+
+    for i, f in enumerate(found):
+        if len(f) > PIECE:
+            put(i, page_probabilities(model, f))
+    order = sorted((i for i, f in enumerate(found) if 0 < len(f) <= PIECE), key=lambda i: len(found[i]))
     at = 0
     while at < len(order):
         some = [order[at]]
         while at + len(some) < len(order) and len(some) < 64 and len(found[order[at + len(some)]]) * (len(some) + 1) <= 8000:
             some.append(order[at + len(some)])
         for i, p in zip(some, probabilities(model, [vectors(found[i]) for i in some]), strict=True):
-            out[i] = "\n".join(b[1] for b, x in zip(found[i], p, strict=True) if x > 0.5 or not b[0])
+            put(i, p)
         at += len(some)
     return out
 
@@ -349,7 +378,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     """One row per row of pages: id, url, text, n_chars."""
     short_batches(pages.sparkSession)
     sent = pages.sparkSession.sparkContext.broadcast(trained())
-    base = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.coalesce(F.col(html_col), F.lit("")).alias("html"))
+    base = pages.select(F.col(quoted(id_col)).cast("long").alias("id"), F.col(quoted(url_col)).alias("url"), F.coalesce(F.col(quoted(html_col)), F.lit("")).alias("html"))
 
     def run(batches):
         import pyarrow as pa
