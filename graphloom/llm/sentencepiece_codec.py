@@ -1,7 +1,8 @@
 """SentencePiece BPE encoding with seeded merge-dropout, and lossless decoding.
 
 The vocabulary is read from a model file on the driver and sent to the workers. A text gets one space in front and is cut before each run of
-spaces that follows other characters; no piece spans such a cut (checked when the model is read), so the cut parts are encoded one by one. In a part the
+spaces that follows other characters; no piece spans such a cut (checked when the model is read), so the cut parts are encoded one by one. A part of over LONG
+characters is cut again between characters that no piece holds side by side. In a part the
 agenda holds adjacent pairs that form a piece, best score first and leftmost of equals; a pair that comes up is skipped if a keyed hash of (seed, document,
 the part's number in it, place in the part, piece) falls below the dropout rate. So each occurrence of a word is segmented anew, and reruns agree. What
 does not depend on the occurrence is kept by each worker: a part's pieces without skips, and the merges on the way to them. An occurrence that
@@ -9,7 +10,7 @@ skips none of those merges has those pieces; the others are segmented one by one
 space mark itself among them) become byte pieces, so decoding gives back the text byte by byte.
 
 Defined results: null or empty text has no pieces and decodes to ""; equal (id, text) rows are encoded alike; very long texts are encoded part by
-part; an empty table gives an empty result; further columns are ignored.
+part (a stretch in which pieces hold every two neighbours is walked as one, in memory proportional to it); an empty table gives an empty result; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,11 +24,13 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import mix, short_batches, slices, utf8
+from graphloom.llm.common import mix, quoted, short_batches, slices, utf8
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: A worker forgets what it has worked out beyond so many parts.
-KEPT = 400_000
+KEPT, KEPT_CHARACTERS = 400_000, 1 << 24
+#: Parts beyond so many characters are cut where no piece can lie.
+LONG = 2048
 #: Parts up to so many characters are segmented many at once.
 SHORT = 24
 _PART = re.compile(r" *[^ ]+| +")
@@ -118,6 +121,7 @@ class Merges:
                     found[a << 20 | b] = k
         pairs = sorted(found)
         self.pairs, self.merged = np.array(pairs, np.int64), np.array([found[p] for p in pairs], np.int64)
+        self.neighbours = np.array(sorted({ord(a) << 21 | ord(b) for text in v.ids for a, b in zip(text, text[1:], strict=False)}), np.int64)
         # rank by score, best first; equal scores share a rank
         scores = -np.array(v.scores)
         self.rank = np.searchsorted(np.unique(scores), scores)
@@ -227,12 +231,28 @@ class Encoder:
     def forget(self) -> None:
         """known: number of a part; pieces, places, merged: its pieces without skips, and the merges on the way to them."""
         self.known: dict[str, int] = {}
+        self.characters = 0
         self.pieces, self.places, self.merged = Rows(np.int32), Rows(np.int32), Rows(np.int32)
 
     def encode(self, key: int, text: str) -> np.ndarray:
         return self.encode_many([key], [text])[0]
 
+    def _parts(self, text: str) -> list[str]:
+        out = _PART.findall(" " + text) if text else []
+        if len(text) <= LONG or max(map(len, out)) <= LONG:
+            return out
+        return [x for part in out for x in (self.cut(part) if len(part) > LONG else [part])]
+
+    def cut(self, part: str) -> list[str]:
+        """A part in pieces that no merge can span: a merge across a cut would need a piece that holds the two characters side by side."""
+        letters = np.frombuffer(part.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+        key = letters[:-1] << 21 | letters[1:]
+        at = np.minimum(np.searchsorted(self.merges.neighbours, key), len(self.merges.neighbours) - 1)
+        ends = [0, *(np.flatnonzero(self.merges.neighbours[at] != key) + 1).tolist(), len(part)]
+        return [part[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
+
     def _learn(self, parts: list[str]) -> None:
+        self.characters += sum(map(len, parts))
         parts.sort(key=len)
         short = [x for x in parts if len(x) <= SHORT]
         for at in range(0, len(short), 4000):
@@ -254,9 +274,9 @@ class Encoder:
         self.merged.add(piece, sizes)
 
     def encode_many(self, keys: list[int], texts: list[str]) -> list[np.ndarray]:
-        if len(self.known) >= KEPT:
+        if len(self.known) >= KEPT or self.characters >= KEPT_CHARACTERS:
             self.forget()
-        cut = [_PART.findall(" " + text) if text else [] for text in texts]
+        cut = [self._parts(text) for text in texts]
         counts = np.array([len(x) for x in cut], np.int64)
         parts = [x for some in cut for x in some]
         if not parts:
@@ -307,7 +327,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mode
     spark: SparkSession = docs.sparkSession
     short_batches(spark, 500)
     sent = spark.sparkContext.broadcast(Vocabulary(model))  # one file's vocabulary
-    base = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    base = docs.select(F.col(quoted(id_col)).cast("long").alias("id"), F.coalesce(F.col(quoted(text_col)), F.lit("")).alias("text"))
     name = f"{model}:{dropout}:{seed}"
 
     def run(batches):

@@ -200,3 +200,52 @@ def test_extraction_on_generated_pages_and_odd_input(spark):
     assert got[1] == got[2] == got[4] == "" and got[3] == "A & b c d\ne"
 
 
+
+
+def test_blocks_are_judged_whole_and_broken_markup_is_read():
+    model = html_extract.trained()
+    head, tail = "Accept all cookies. " * 30, "Read more about the harbour and the market, where the letter was found. " * 40
+    a, b = (html_extract.vectors([(("p", ""), t, 0.0)])[0] for t in (head, head + tail))
+    words = slice(html_extract.PATH_BITS, html_extract.PATH_BITS + html_extract.WORD_BITS)
+    assert a[words].sum() == pytest.approx(1) and b[words].sum() == pytest.approx(1) and abs(a[words] - b[words]).sum() > 0.5
+    page = "<article><p class=\"x>One.</p><p title='it's>Two words.</p><p>Three.</article>" + "<" * 2000
+    assert html_extract.texts_of(model, [page])[0].split("\n")[:3] == ["One.", "Two words.", "Three."]
+    long = html_extract.blocks("<main>" + "".join(f"<p>The harbour {i} and the market.</p>" for i in range(700)) + "</main><footer>Contact</footer>")
+    assert html_extract.page_probabilities(model, long, 64) == pytest.approx(html_extract.probabilities(model, [html_extract.vectors(long)])[0], abs=1e-5)
+    assert html_extract.texts_of(model, [""]) == [""] and html_extract.vectors([]).shape == (0, html_extract.INPUT)
+
+
+def test_other_layouts_than_the_training_pages():
+    model = html_extract.trained()
+    prose = ["The council met on Monday to hear the plan for the new bridge.", "Nobody had expected so many people, and the hall was full.", "A vote will follow in spring."]
+    inner = "".join(f"<p>{x}</p>" for x in prose)
+    menu = "<ul><li><a href=/>Home</a><li><a href=/n>News</a><li><a href=/c>Contact</a></ul>"
+    layouts = [
+        f"<body><nav>{menu}</nav><main><section>{inner}</section></main><footer>&copy; Gazette</footer></body>",
+        f"<html><body><div id=top class='header menu'>{menu}</div><div class='content'><div class='text'>{inner}</div></div><div class='sidebar'><h3>Popular</h3>{menu}</div></body></html>",
+        f"<article>{inner}</article><div class='comments'><h3>Comments</h3><p>Great read, thanks!</p><p>I disagree.</p></div><form><label>Search</label></form>",
+    ]
+    assert html_extract.texts_of(model, layouts) == ["\n".join(prose)] * 3
+
+
+def test_segments_equal_the_library_and_each_other():
+    import random
+
+    import numpy as np
+    import sentencepiece
+
+    v, r = sentencepiece_codec.Vocabulary(), random.Random(9)
+    m, sp = sentencepiece_codec.Merges(v), sentencepiece.SentencePieceProcessor(model_file=sentencepiece_codec.MODEL)
+    words = ["harbour", "internationalisation", "the", "of", "x1y2", "Überraschung", "señor", "don't", "日本", "a", "zzzz"]
+    plain = sentencepiece_codec.Encoder(v, 0.0, 0)
+    for _ in range(80):
+        text = " ".join(r.choice(words) for _ in range(r.randint(1, 30)))
+        assert plain.encode(0, text).tolist() == sp.encode(text)
+    parts = [" " + "".join(r.choice("abcdeinrst ñ日") for _ in range(r.randint(1, 20))).replace(" ", "") for _ in range(400)]
+    keys = np.array([r.getrandbits(63) for _ in parts], np.uint64)
+    for dropout in (0.0, 0.1, 0.6):
+        got = sentencepiece_codec.segment_many(v, m, parts, keys, dropout)
+        assert [np.frombuffer(x, np.int32).tolist() for x in got] == [sentencepiece_codec.segment(v, p, dropout, int(k)) for p, k in zip(parts, keys, strict=True)]
+    long = "".join(r.choice(words) + r.choice(["", "qx", "日"]) for _ in range(900))
+    assert len(plain.cut(long)) > 50 and plain.encode(0, long).tolist() == sentencepiece_codec.segment(v, " " + long, 0.0, 0)
+    assert plain.decode(plain.encode(0, long)) == long.encode()
