@@ -318,7 +318,7 @@ def token_scores(m: Model, h: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np
     shard = (words % np.uint64(m.shards)).astype(np.int64)
     (known,) = _look(m, "word", "counts", (np.uint64,), shard, words)
     (follows,) = _look(m, "follows", "counts", (np.uint64,), shard, words)
-    low = (_less(follows, m.word_discounts) / m.continuations if m.continuations else 0.0) + m.word_rest / (m.words + 1)
+    low = _less(follows, m.word_discounts) / max(1, m.continuations) + m.word_rest / (m.words + 1)
     hot = np.array(m.hot, np.uint64)
     contexts, c_at = _unique(h)
     totals = np.array(_look(m, "context", "total,n1,n2,n3", (np.uint64, np.uint32, np.uint32, np.uint32), (contexts % np.uint64(m.shards)).astype(np.int64), contexts))
