@@ -25,7 +25,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import join_hot, mix, quoted, settle, slices, small, utf8
+from graphloom.llm.common import join_hot, mix, quoted, settle, slices, utf8
 
 GRAM = 100
 MOST_CONTEXTS = 1000
@@ -239,7 +239,7 @@ def _cut(base: DataFrame, owners: DataFrame, length: int) -> DataFrame:
     """The bytes of contexts, each cut from the text that owns it."""
     wanted = settle(owners.groupBy("d0", "d1", "id").agg(F.collect_list(F.struct("hash", "c0", "c1", "n", "ws", "we")).alias("cut")), "owners")
     texts = _with_digest(base)
-    right = small(wanted).withColumnRenamed("id", "_id")
+    right = wanted.withColumnRenamed("id", "_id")  # grows with the input: never broadcast
     joined = texts.join(right, (texts["d0"] == right["d0"]) & (texts["d1"] == right["d1"]) & texts["id"].eqNullSafe(right["_id"])).select("text", "cut")
 
     def run(batches):
@@ -341,8 +341,9 @@ def find_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     gram = gram or min(GRAM, max(1, length // 4))
     base = docs.select(F.col(quoted(id_col)).cast("long").alias("id"), F.coalesce(F.col(quoted(text_col)), F.lit("")).alias("text"))
     long_ = base.filter(F.octet_length("text") >= length)
-    often = settle(_anchors(long_, length, gram, False).groupBy("hash").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("hash"), "anchors")
-    seen = settle(_anchors(long_, length, gram, True).join(small(often, 500_000), "hash", "left_semi"), "seen")
+    often = settle(_anchors(long_, length, gram, False).groupBy("hash").agg(F.count(F.lit(1)).alias("often")).filter("often > 1"), "anchors")
+    total = int(often.agg(F.coalesce(F.sum("often"), F.lit(0))).first()[0])
+    seen = settle(join_hot(_anchors(long_, length, gram, True), often, ["hash"], "often", total).filter("often is not null").drop("often"), "seen")
     owner = F.min(F.struct("d0", "d1", "id", "ws", "we"))
     contexts = settle(seen.groupBy("hash", "c0", "c1").agg(F.count(F.lit(1)).alias("n"), owner.alias("o")), "contexts")
     shards = settle(contexts.groupBy("hash").agg(F.count(F.lit(1)).alias("k")), "shards")
@@ -377,7 +378,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """One row per row of docs: id, n_bytes, n_removed, n_spans, kept_sha256; with_text: also kept (bytes)."""
     base = docs.select(F.col(quoted(id_col)).cast("long").alias("id"), F.coalesce(F.col(quoted(text_col)), F.lit("")).alias("text"))
     spans = find_repeats(docs, id_col, text_col, length, **more)
-    joined = _with_digest(base).join(small(spans), ["d0", "d1"], "left").select("id", "text", "at")
+    # spans grow with the input: never broadcast; texts of very many copies are split by adaptive execution
+    joined = _with_digest(base).join(spans, ["d0", "d1"], "left").select("id", "text", "at")
     names = ["id", "n_bytes", "n_removed", "n_spans", "kept_sha256"] + ["kept"] * with_text
 
     def run(batches):
