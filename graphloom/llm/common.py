@@ -103,7 +103,7 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-_BLOCK = 1 << 21
+_BLOCK = 1 << 20
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -143,7 +143,7 @@ def _hash_block(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the words (A-Z lower-cased) of some texts, in order, and how many words each text has.
-    Works in blocks of about 2 MB cut at white space, so temporary memory is bounded by a block or the longest word."""
+    Works in blocks of about 1 MB cut at white space, so temporary memory is bounded by a block or the longest word."""
     hashes: list[np.ndarray] = []
     counts = np.zeros(len(texts), np.int64)
     group: list[int] = []
@@ -191,7 +191,7 @@ def utf8(column) -> list[bytes]:
     return [b"" if x is None else x for x in column.cast(pa.binary()).to_pylist()]
 
 
-def slices(batches: Iterator, column: str = "text", most: int = 4 << 20) -> Iterator:
+def slices(batches: Iterator, column: str = "text", most: int = 2 << 20) -> Iterator:
     """The record batches cut into pieces of about `most` bytes of text (one row at least)."""
     import pyarrow as pa
 

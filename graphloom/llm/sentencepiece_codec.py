@@ -28,7 +28,7 @@ from graphloom.llm.common import mix, quoted, short_batches, slices, utf8
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: A worker forgets what it has worked out beyond so many parts.
-KEPT, KEPT_CHARACTERS = 400_000, 1 << 24
+KEPT, KEPT_CHARACTERS = 200_000, 1 << 23
 #: Parts beyond so many characters are cut where no piece can lie.
 LONG = 2048
 #: Parts up to so many characters are segmented many at once.
@@ -336,7 +336,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mode
         if name not in _encoders:
             _encoders[name] = Encoder(sent.value, dropout, seed)
         e = _encoders[name]
-        for b in slices(batches):
+        for b in slices(batches, most=1 << 20):
             texts = utf8(b.column("text"))
             keys = [xxhash.xxh3_64_intdigest(str(key), seed) >> 1 for key in b.column("id").to_pylist()]
             ids = e.encode_many(keys, [t.decode("utf-8") for t in texts])
