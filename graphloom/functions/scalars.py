@@ -82,7 +82,7 @@ def breadcrumb_key(keys: Column) -> Column:
 
 
 def size_text(n: Column) -> Column:
-    return F.when(n < 1024 * 1024, F.concat(F.format_string("%.1f", n / 1024.0), F.lit("KB"))).otherwise(F.concat(F.format_string("%.1f", n / 1048576.0), F.lit("MB")))
+    return F.when(n < 1024 * 1024, F.concat(F.format_string("%.1f", F.bround(n / 1024.0, 1)), F.lit(" KB"))).otherwise(F.concat(F.format_string("%.1f", F.bround(n / 1048576.0, 1)), F.lit(" MB")))
 
 
 def token_estimate(text: Column) -> Column:
@@ -103,7 +103,7 @@ def enum_or_null(x: Column, domain: list[str]) -> Column:
 
 
 def comma_list(x: Column) -> Column:
-    return F.filter(F.transform(F.split(x, ","), F.trim), lambda v: v != "")
+    return F.filter(F.transform(F.split(x, ","), lambda v: F.trim(v)), lambda v: v != "")
 
 
 def glob_regex(pattern: str) -> str:
@@ -140,3 +140,66 @@ def github_parts(url: Column) -> Column:
     rules = [(r"^https?://github\.com/([^/]+)/([^/]+)/tree/(.+)$", True), (r"^https?://github\.com/([^/]+)/([^/]+)$", False), (r"^git@github\.com:([^/]+)/([^/]+)$", False), (r"^([A-Za-z0-9_.-]+)/([A-Za-z0-9_.-]+)$", False)]
     pick = lambda g: F.coalesce(*[F.when(u.rlike(r), F.regexp_extract(u, r, g)) for r, b in rules if g < 3 or b])
     return F.struct(pick(1).alias("owner"), F.regexp_replace(pick(2), r"\.git$", "").alias("repo"), pick(3).alias("branch"))
+
+
+def repaired_id(node: Column) -> Column:
+    """`python::` ids as models write them, mended: a type marker before a dotted path, or dots for slashes in the file part."""
+    rest = F.substring(node, 9, 1 << 20)
+    dotted = F.split(F.regexp_extract(rest, r"^(?:class|method|function)::(.*)$", 1), r"\.")
+    # the last piece that starts with a capital begins the class
+    at = F.aggregate(F.transform(dotted, lambda x, i: F.when(x.rlike(r"^\p{Lu}"), i).otherwise(-1)), F.lit(-1), lambda a, x: F.greatest(a, x))
+    marked = F.when(rest.rlike(r"^(class|method|function)::") & (at > 0), F.concat(F.lit("python::"), F.array_join(F.slice(dotted, F.lit(1), at), "/"), F.lit(".py::"), F.array_join(F.slice(dotted, at + 1, F.size(dotted)), ".")))
+    parts = F.split(rest, "::")
+    file = F.get(parts, F.lit(0))
+    slashed = F.when((F.size(parts) >= 2) & file.contains(".") & ~file.contains("/") & ~file.endswith(".py"), F.concat(F.lit("python::"), F.translate(file, ".", "/"), F.lit(".py::"), F.get(parts, F.lit(1))))
+    return F.when(node.startswith("python::"), F.coalesce(marked, slashed, node)).otherwise(node)
+
+
+def id_problem(path: Column, symbol: Column) -> Column:
+    """Why node_id() gives none: exactly one part is there."""
+    return F.when(path.isNull() & symbol.isNotNull(), "path is missing").when(path.isNotNull() & symbol.isNull(), "symbol is missing")
+
+
+def shown_log(log: Column) -> Column:
+    """What a user sees of an agent's log line; null if nothing."""
+    tool = lambda kind, text: F.when(log.rlike(rf"^\[tool:{kind}\] \w+"), F.format_string(text, F.regexp_extract(log, rf"^\[tool:{kind}\] (\w+)", 1)))
+    return (
+        F.when(log.startswith("[tool:start]"), tool("start", "Calling %s...")).when(log.startswith("[tool:end]"), tool("end", "Got results from %s")).when(log.startswith("[llm:output]"), "Analyzing results...")
+        .when(log.startswith("[orchestration]"), F.when(log.contains("Starting"), "Starting analysis...").when(log.contains("completed"), "Finalizing components..."))
+        .when(log.startswith("[structured_output]"), F.when(log.contains("success"), "Finalizing navigation nodes...").otherwise("Generating structured response..."))
+        .when(log.startswith("[llm:input]"), "Processing context...")
+    )
+
+
+def findings_text(classes: Column, public: Column, private: Column, dependencies: Column, inheritance: Column, implements: Column, attributes: Column) -> Column:
+    """A line per kind that has some; five dependencies and attributes at most."""
+    line = lambda name, xs: F.when(F.size(xs) > 0, F.concat(F.lit(f"{name}: "), F.array_join(xs, ", ")))
+    return F.concat_ws(
+        "\n", line("Classes", classes), line("Public methods", public), line("Private methods", private), line("Dependencies", F.slice(dependencies, 1, 5)),
+        F.when(F.coalesce(inheritance, F.lit("")) != "", F.concat(F.lit("Inheritance: "), inheritance)), line("Implements", implements), line("Key attributes", F.slice(attributes, 1, 5)),
+    )
+
+
+def first_given(*values: Column) -> Column:
+    """The first that is neither null nor empty."""
+    return F.coalesce(*[F.nullif(v, F.lit("")) for v in values])
+
+
+def last_symbol(node: Column) -> Column:
+    return F.element_at(F.split(node, "::"), -1)
+
+
+def prompt_name(phase: Column, focus: Column, pattern: Column) -> Column:
+    """Which system prompt a phase takes."""
+    drill = F.when(focus.isin("class", "function", "method", "module"), "class_drill").when(pattern.isin("A", "B", "C"), F.concat(F.lit("drill_"), F.lower(pattern))).otherwise("drill_generic")
+    return F.when(phase == "drill", drill).when(focus == "class", "class_inspector").otherwise("scout")
+
+
+def short_or_inferred(docstring: Column, kind: Column, class_name: Column, function_name: Column, parameters: Column, path: Column, start: Column) -> Column:
+    """A docstring of 300 characters at most, or what names, parameters and path say."""
+    doc = F.trim(docstring)
+    name = F.when(class_name.isNotNull() & function_name.isNotNull(), F.concat_ws(".", class_name, function_name)).otherwise(F.coalesce(function_name, F.concat(F.lit("class "), class_name)))
+    some = F.filter(F.split(slashes(path), "/"), lambda x: (x != "") & ~x.startswith("."))
+    where = F.when(F.size(some) > 0, F.concat(F.lit("in "), F.array_join(F.slice(some, F.greatest(F.size(some) - 2, F.lit(1)), F.lit(3)), "/")))
+    inferred = F.concat_ws(" | ", name, F.when(F.size(parameters) > 0, F.concat(F.lit("params: "), F.array_join(F.slice(parameters, 1, 5), ", "))), where)
+    return F.when(F.coalesce(doc, F.lit("")) != "", shorten(doc, 300, "...")).when(inferred != "", inferred).otherwise(F.concat(kind, F.lit(" at line "), start))

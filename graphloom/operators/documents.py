@@ -11,6 +11,8 @@ COLUMNS, STEP_X, STEP_Y, GAP = 3, 320, 180, 80
 
 def group_by_layer(components: DataFrame, order: list[str]) -> DataFrame:
     """layer, rank, components: layers in their order; what is in none comes last, as Other."""
+    if not order:
+        return components.groupBy(F.lit("Components").alias("layer"), F.lit(0).alias("rank")).agg(F.array_join(F.sort_array(F.collect_list("component")), ",").alias("components"), F.count(F.lit(1)).alias("n"))
     ranks = components.sparkSession.createDataFrame(list(enumerate(order)), "rank int, name string")
     got = components.join(F.broadcast(ranks), components["layer"] == ranks["name"], "left")
     return got.groupBy(F.coalesce("name", F.lit("Other")).alias("layer"), F.coalesce("rank", F.lit(len(order))).alias("rank")).agg(F.array_join(F.sort_array(F.collect_list("component")), ",").alias("components"), F.count(F.lit(1)).alias("n"))
@@ -54,3 +56,37 @@ def usage_totals(calls: DataFrame, key: str, prompt: str, completion: str) -> Da
 
     got = calls.groupBy(key).agg(F.sum(prompt).alias("prompt"), F.sum(completion).alias("completion"))
     return got.select(key, "prompt", "completion", (F.col("prompt") + F.col("completion")).alias("total"), token_cost(F.col("prompt"), F.col("completion")).alias("cost"))
+
+
+def vertical(nodes: DataFrame, key: str, sequential: bool) -> DataFrame:
+    """y of each node (key, position, description) of a column: under the estimated heights of those before, from 60."""
+    height = 90 + F.greatest(F.lit(0), F.ceil(F.length("description") / 54) - 1) * 20 + 12
+    before = Window.partitionBy(key).orderBy("position").rowsBetween(Window.unboundedPreceding, -1)
+    return nodes.withColumn("y", (F.lit(60) + F.coalesce(F.sum(height + (90 if sequential else 70)).over(before), F.lit(0))).cast("long"))
+
+
+def next_edges(nodes: DataFrame, key: str, node: str = "node_key") -> DataFrame:
+    """source, target: from each node of a sequence to the one after it; nodes without a position are left out."""
+    w = Window.partitionBy(key).orderBy("position")
+    return nodes.filter("position is not null").select(F.col(node).alias("source"), F.lead(node).over(w).alias("target")).filter("target is not null")
+
+
+def layer_colors(components: DataFrame, colors: int = 8) -> DataFrame:
+    """layer, color: by first appearance (the least position), in turn."""
+    first = components.groupBy(F.coalesce(F.nullif("layer", F.lit("")), F.lit("other")).alias("layer")).agg(F.min("position").alias("first"))
+    return first.select("layer", ((F.row_number().over(Window.orderBy("first")) - 1) % colors).cast("int").alias("color"))  # one row per layer
+
+
+def flow_edges(edges: DataFrame, components: DataFrame) -> DataFrame:
+    """Edges (source, target, position) whose ends both exist, with their offset: spread around the middle where a source or a target has several."""
+    ids = components.select(F.col("component").alias("_id")).distinct()
+    good = edges.join(ids, F.col("source") == F.col("_id"), "left_semi").join(ids, F.col("target") == F.col("_id"), "left_semi")
+    s, t = Window.partitionBy("source"), Window.partitionBy("target")
+    n, m = F.count(F.lit(1)).over(s), F.count(F.lit(1)).over(t)
+    i = F.row_number().over(s.orderBy("position", "target")) - 1
+    return good.withColumn("offset", F.when((n > 1) | (m > 1), (i - (n - 1) / 2) * 20).otherwise(0.0).cast("double"))
+
+
+def usage_since(calls: DataFrame, key: str, order: str, tokens: str, checkpoint: Column) -> DataFrame:
+    """key, current, session: tokens since the checkpoint and in all."""
+    return calls.groupBy(key).agg(F.coalesce(F.sum(F.when(F.col(order) >= checkpoint, F.col(tokens))), F.lit(0)).alias("current"), F.sum(tokens).alias("session"))

@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 from graphloom.functions.scalars import glob_regex, size_text
 
 #: Folders that are never scanned, and what counts as text.
-IGNORED = [".git", ".hg", ".svn", ".venv", "venv", "env", "__pycache__", "node_modules", "dist", "build", ".mypy_cache", ".pytest_cache", ".idea"]
-TEXT_SUFFIXES = [".py", ".txt", ".md", ".rst", ".json", ".yaml", ".yml", ".toml", ".cfg", ".ini", ".sh", ".js", ".ts", ".tsx", ".jsx", ".html", ".css", ".sql"]
-TEXT_NAMES = ["Dockerfile", "Makefile", "README", "LICENSE"]
+IGNORED = [".git", "__pycache__", "node_modules", "venv", ".venv", ".idea", "dist", "build", ".egg-info", ".tox", ".pytest_cache", ".mypy_cache", ".ruff_cache"]
+TEXT_SUFFIXES = [".py", ".md", ".yaml", ".yml", ".json", ".txt", ".sh", ".ini", ".toml", ".js", ".ts", ".tsx", ".jsx", ".css", ".html", ".xml", ".cfg", ".conf", ".env", ".dockerfile"]
+TEXT_NAMES = ["Dockerfile", "Makefile", "README", "LICENSE", "CHANGELOG", ".gitignore", ".dockerignore", ".env"]
 
 
 def visible(files: DataFrame) -> DataFrame:
@@ -20,7 +20,7 @@ def visible(files: DataFrame) -> DataFrame:
 
 
 def is_text(path):
-    return F.regexp_extract(path, r"([^/]+)$", 1).isin(*TEXT_NAMES) | F.lower(F.regexp_extract(path, r"(\.[^./]+)$", 1)).isin(*TEXT_SUFFIXES)
+    return F.regexp_extract(path, r"([^/]+)$", 1).isin(*TEXT_NAMES) | F.lower(F.regexp_extract(path, r"[^/](\.[^./]+)$", 1)).isin(*TEXT_SUFFIXES)
 
 
 def scan(files: DataFrame, patterns: list[str], limit: int = 50) -> DataFrame:

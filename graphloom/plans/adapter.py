@@ -50,6 +50,16 @@ def files(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select(F.concat_ws("/", "source", "lang", F.concat(F.col("doc_id"), F.lit(".txt"))).alias("path"), F.col("text").alias("content"))
 
 
+def profiles(spark: SparkSession, d: str) -> DataFrame:
+    """Profiles of parts: a third lacks a class, half has a docstring (some longer than summaries may be)."""
+    p, name = table(spark, d, "part"), F.translate("p_name", " ", "_")
+    return p.select(
+        F.concat(F.lit("part::"), "p_partkey").alias("id"), F.lit("function").alias("kind"), F.concat_ws("/", F.lit("src/parts"), "p_brand", F.concat(name, F.lit(".py"))).alias("file_path"),
+        F.when(F.col("p_partkey") % 5 != 0, name).alias("function_name"), F.when(F.col("p_size") % 3 != 0, F.col("p_brand")).alias("class_name"), F.col("p_size").alias("start_line"), (F.col("p_size") + 10).alias("end_line"),
+        F.repeat(F.concat("p_name", F.lit("\n")), 60).alias("source_code"), F.when(F.col("p_size") % 2 == 0, F.repeat(F.concat("p_type", F.lit(". ")), F.col("p_size") % 30)).alias("docstring"), F.split("p_type", " ").alias("parameters"),
+    )
+
+
 #: The same relations for DuckDB, as common table expressions.
 SQL = """
 place AS (SELECT n_nationkey, r_name || '/' || n_name AS place FROM nation JOIN region ON n_regionkey = r_regionkey),
@@ -67,5 +77,7 @@ edges AS (
     FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey GROUP BY o_custkey, l_partkey, p_size
   UNION ALL SELECT DISTINCT 'part::' || l_partkey, 'supplier::' || l_suppkey, 'USES', 1.0 FROM lineitem JOIN part ON l_partkey = p_partkey WHERE p_size <= 40
   UNION ALL SELECT 'part::' || p_partkey, 'brand::' || p_brand, 'INHERITS_FROM', 1.0 FROM part WHERE p_size <= 40),
+profiles AS (SELECT 'part::' || p_partkey AS id, 'function' AS kind, 'src/parts/' || p_brand || '/' || replace(p_name, ' ', '_') || '.py' AS file_path, CASE WHEN p_partkey % 5 <> 0 THEN replace(p_name, ' ', '_') END AS function_name,
+  CASE WHEN p_size % 3 <> 0 THEN p_brand END AS class_name, p_size AS start_line, p_size + 10 AS end_line, repeat(p_name || chr(10), 60) AS source_code, CASE WHEN p_size % 2 = 0 THEN repeat(p_type || '. ', p_size % 30) END AS docstring, string_split(p_type, ' ') AS parameters FROM part),
 files AS (SELECT source || '/' || lang || '/' || doc_id || '.txt' AS path, text AS content FROM documents)
 """

@@ -128,7 +128,7 @@ def node_snapshot(spark, d):
     return n.select("id", "kind", S.category(F.col("category"), F.col("kind")).alias("category"))
 
 
-@query("WITH x AS (SELECT 1) SELECT path, CASE WHEN path LIKE '%/en/%' THEN '**/en/*.txt' ELSE 'src1/**' END AS pattern, printf('%.1f', strlen(content) / 1024.0) || 'KB' AS size FROM files WHERE regexp_matches(path, '^(?:.*/)?en/[^/]*\\.txt$') OR regexp_matches(path, '^src1/.*$') ORDER BY path LIMIT 200")
+@query("WITH x AS (SELECT 1) SELECT path, CASE WHEN path LIKE '%/en/%' THEN '**/en/*.txt' ELSE 'src1/**' END AS pattern, printf('%.1f', strlen(content) / 1024.0) || ' KB' AS size FROM files WHERE regexp_matches(path, '^(?:.*/)?en/[^/]*\\.txt$') OR regexp_matches(path, '^src1/.*$') ORDER BY path LIMIT 200")
 def scan_files(spark, d):
     return text.scan(A.files(spark, d), ["**/en/*.txt", "src1/**"], 200)
 
@@ -261,23 +261,32 @@ def _sources(spark, d) -> DataFrame:
     return one.groupBy("m").agg(F.array_join(F.sort_array(F.collect_set("b")), "\n\n").alias("content")).select(F.concat(F.lit("api/"), "m", F.lit(".py")).alias("path"), "content")
 
 
-@query("SELECT kind, count(*) AS n FROM (SELECT DISTINCT p_brand, p_size, unnest(['class', 'method', 'function']) AS kind FROM part UNION ALL SELECT DISTINCT p_brand, 0, 'file' FROM part) GROUP BY kind")
+@query("""WITH m AS (SELECT DISTINCT p_size AS k, 'api/' || lower(regexp_replace(p_brand, '[^A-Za-z0-9]', '_', 'g')) || '.py' AS f FROM part)
+SELECT 'python::file::' || f AS id, 'file' AS kind, NULL AS parent_id, '' AS parameters, count(*) * 2 AS children FROM m GROUP BY f
+UNION ALL SELECT 'python::' || f || '::Size' || k, 'class', 'python::file::' || f, '', 1 FROM m
+UNION ALL SELECT 'python::' || f || '::Size' || k || '::run', 'method', 'python::' || f || '::Size' || k, 'self,x', 0 FROM m
+UNION ALL SELECT 'python::' || f || '::load_' || k, 'function', 'python::file::' || f, 'x', 0 FROM m""")
 def extract_profiles(spark, d):
-    return _profiles(spark, d).groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
+    return _profiles(spark, d).select("id", "kind", "parent_id", F.coalesce(F.array_join("parameters", ","), F.lit("")).alias("parameters"), F.size("children").cast("long").alias("children"))
 
 
-@query("""SELECT type, resolved, count(*) AS n FROM (
-  SELECT DISTINCT p_brand, p_size, unnest(['c1', 'c2', 'c3']) AS k, 'CONTAINS' AS type, true AS resolved FROM part
-  UNION ALL SELECT DISTINCT p.p_brand, p.p_size, q.p_brand, 'CALLS', true FROM part p JOIN part q ON p.p_size = q.p_size
-  UNION ALL SELECT DISTINCT p.p_brand, p.p_size, q.p_brand || 'u', 'USES', true FROM part p JOIN part q ON p.p_size = q.p_size
-  UNION ALL SELECT DISTINCT p.p_brand, p.p_size, q.p_brand || 'm', 'CALLS', true FROM part p JOIN part q ON p.p_size = q.p_size
-  UNION ALL SELECT DISTINCT p_brand, p_size, 'e' || unnest(['fetch.rows']), 'CALLS', false FROM part) GROUP BY type, resolved""")
+_FILES = "m AS (SELECT DISTINCT p_size AS k, 'api/' || lower(regexp_replace(p_brand, '[^A-Za-z0-9]', '_', 'g')) || '.py' AS f FROM part)"
+
+
+@query(f"""WITH {_FILES}, pairs AS (SELECT a.f, a.k, b.f AS g FROM m a JOIN m b USING (k))
+SELECT 'python::file::' || f AS source, 'python::' || f || '::Size' || k AS target, 'CONTAINS' AS type, true AS resolved FROM m
+UNION ALL SELECT 'python::file::' || f, 'python::' || f || '::load_' || k, 'CONTAINS', true FROM m
+UNION ALL SELECT 'python::' || f || '::Size' || k, 'python::' || f || '::Size' || k || '::run', 'CONTAINS', true FROM m
+UNION ALL SELECT 'python::' || f || '::Size' || k || '::run', 'python::' || g || '::load_' || k, 'CALLS', true FROM pairs
+UNION ALL SELECT 'python::' || f || '::load_' || k, 'python::' || g || '::Size' || k, 'USES', true FROM pairs
+UNION ALL SELECT 'python::' || f || '::load_' || k, 'python::' || g || '::Size' || k || '::run', 'CALLS', true FROM pairs
+UNION ALL SELECT 'python::' || f || '::load_' || k, 'external::fetch.rows', 'CALLS', false FROM m""")
 def link_graph(spark, d):
-    e = link.build(_profiles(spark, d))[1].filter(~F.col("target").contains(".run") | F.col("resolved"))
-    return e.groupBy("type", "resolved").agg(F.count(F.lit(1)).alias("n"))
+    return link.build(_profiles(spark, d))[1].select("source", "target", "type", "resolved")
 
 
-@query()
+@query("""WITH t AS (SELECT DISTINCT target FROM edges WHERE source = 'customer::1' AND type = 'CALLS')
+SELECT 0::BIGINT AS position, 'customer::1' AS id UNION ALL SELECT row_number() OVER (ORDER BY target)::BIGINT, target FROM t""")
 def trace_workflow(spark, d):
     return graph.trace(A.edges(spark, d), "customer::1", 3)
 
@@ -289,6 +298,9 @@ def core_models(spark, d):
     return models(_profiles(spark, d), ("api",), 100)
 
 
+from graphloom import document_queries  # noqa: E402, F401 - its queries are added to these
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_QUERIES)
 
