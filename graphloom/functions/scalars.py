@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from functools import reduce
+import re
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -20,13 +20,18 @@ def slashes(path: Column) -> Column:
     return F.translate(path, "\\", "/")
 
 
+def one_of(words: list[str]) -> str:
+    """A regular expression for any of some words: one literal in a plan, however many there are."""
+    return "(" + "|".join(re.escape(w) for w in words) + ")"
+
+
 def contains_any(parts: Column, words: list[str]) -> Column:
     """Whether a part contains one of the words as a substring."""
-    return F.exists(parts, lambda p: reduce(lambda a, b: a | b, [p.contains(w) for w in words]))
+    return F.exists(parts, lambda p: p.rlike(one_of(words)))
 
 
 def ends_with_any(parts: Column, words: list[str]) -> Column:
-    return F.exists(parts, lambda p: reduce(lambda a, b: a | b, [p.endswith(w) for w in words]))
+    return F.exists(parts, lambda p: p.rlike(one_of(words) + "$"))
 
 
 def last_token(call: Column) -> Column:

@@ -26,7 +26,7 @@ def weighted(edges: DataFrame) -> DataFrame:
 def pagerank(nodes: DataFrame, edges: DataFrame, damping: float = 0.85, most: int = 100, tolerance: float = 1e-6, fixed: int | None = None) -> DataFrame:
     """id, score. Jacobi steps from 1/N; the mass of nodes without outgoing weight is spread evenly; stops when the summed change is
     under the tolerance, or after `fixed` steps. Each step is written, which cuts its lineage and gives the change for free."""
-    e = weighted(edges)
+    e = settle(weighted(edges))
     ids = settle(nodes.select("id").union(e.select(F.col("source").alias("id"))).union(e.select(F.col("target").alias("id"))).distinct())
     n = ids.count()
     if not n:
@@ -34,11 +34,13 @@ def pagerank(nodes: DataFrame, edges: DataFrame, damping: float = 0.85, most: in
     out = e.groupBy("source").agg(F.sum("weight").alias("total")).filter("total > 0")
     step = settle(e.join(out, "source").select("source", "target", (F.col("weight") / F.col("total")).alias("p")))
     rank = settle(ids.join(out.select(F.col("source").alias("id"), F.lit(False).alias("d")), "id", "left").select("id", F.coalesce("d", F.lit(True)).alias("dangling"), F.lit(1.0 / n).alias("score"), F.lit(0.0).alias("change")))
-    for i in range(fixed or most):
-        loose = rank.filter("dangling").agg(F.coalesce(F.sum("score"), F.lit(0.0))).first()[0]
-        got = step.join(rank, step["source"] == rank["id"]).groupBy("target").agg(F.sum(F.col("p") * F.col("score")).alias("got"))
-        new = F.lit((1 - damping) / n + damping * loose / n) + damping * F.coalesce("got", F.lit(0.0))
-        rank = settle(rank.join(got, rank["id"] == got["target"], "left").select("id", "dangling", new.alias("score"), F.abs(new - F.col("score")).alias("change")))
+    for _ in range(fixed or most):
+        # what dangles is one number, joined within the step's own job; shares and old scores meet in one aggregate
+        loose = rank.agg(F.coalesce(F.sum(F.when(F.col("dangling"), F.col("score"))), F.lit(0.0)).alias("loose"))
+        shares = step.join(rank.select("id", "score"), F.col("source") == F.col("id")).select(F.col("target").alias("id"), (F.col("p") * F.col("score")).alias("got"), F.lit(None).cast("double").alias("old"), F.lit(None).cast("boolean").alias("dangling"))
+        both = shares.union(rank.select("id", F.lit(0.0), "score", "dangling")).groupBy("id").agg(F.sum("got").alias("got"), F.max("old").alias("old"), F.max("dangling").alias("dangling"))
+        new = F.lit((1 - damping) / n) + damping * F.col("loose") / n + damping * F.col("got")
+        rank = settle(both.crossJoin(F.broadcast(loose)).select("id", "dangling", new.alias("score"), F.abs(new - F.col("old")).alias("change")))  # one row
         if not fixed and rank.agg(F.sum("change")).first()[0] < tolerance:
             break
     return rank.select("id", "score")
@@ -73,6 +75,12 @@ def edge_bundles(edges: DataFrame, node: str, direction: str = "out", types: tup
     return got.agg(F.sort_array(F.collect_set(F.upper("type"))).alias("types"), F.sum(F.greatest(F.coalesce(F.expr("try_cast(weight AS DOUBLE)"), F.lit(0.0)), F.lit(0.0))).alias("weight"))
 
 
+def missing_starts(nodes: DataFrame, start: list[str]) -> DataFrame:
+    """start, error: the starts of a path search that the graph lacks."""
+    asked = nodes.sparkSession.createDataFrame([(x,) for x in start], "start string")
+    return asked.join(nodes.select(F.col("id").alias("start")), "start", "left_anti").select("start", F.concat(F.lit("not in the graph: "), "start").alias("error"))
+
+
 def find_paths(edges: DataFrame, start: list[str], end: list[str], types: tuple[str, ...] = PATH_TYPES, max_depth: int = 8, max_paths: int = 25) -> DataFrame:
     """start, end, depth, path, types: simple outgoing paths, at most max_paths per start, shortest first, then by path. A path goes on past a target.
     Only nodes that reach a target within the depth are walked."""
@@ -83,7 +91,7 @@ def find_paths(edges: DataFrame, start: list[str], end: list[str], types: tuple[
     goals = spark.createDataFrame([(x,) for x in end], "node string")
     reach, front = goals, goals
     for _ in range(max_depth):
-        front = settle(e.join(F.broadcast(front), e["target"] == front["node"]).select(F.col("source").alias("node")).distinct().join(reach, "node", "left_anti"))
+        front = settle(e.join(front, e["target"] == front["node"]).select(F.col("source").alias("node")).distinct().join(reach, "node", "left_anti"))
         if front.isEmpty():
             break
         reach = settle(reach.union(front))
@@ -135,19 +143,26 @@ def dominant_base(nodes: DataFrame, edges: DataFrame, scope: str = "", kind: str
     return top.select("id", F.col("children").alias("inheritance_depth"), F.when(F.col("children") >= 2, "Plugin Architecture").otherwise("Class Hierarchy").alias("pattern"))
 
 
-def trace(edges: DataFrame, start: str, max_depth: int = 5, most: int = 100_000) -> DataFrame:
-    """position, id: pre-order walk over CALLS with one visited set. The bounded part of the graph is gathered level by level and walked on the driver; beyond
-    `most` nodes the order is by level."""
+def trace(edges: DataFrame, start: str, max_depth: int = 5, most: int = 1_000_000) -> DataFrame:
+    """position, id: pre-order walk over CALLS with one visited set, targets by id. The part of the graph within the depth is found level by level in tables, and walked on
+    the driver; if that part has over `most` edges, this raises instead of leaving some out."""
     calls = of_types(edges, ("CALLS",)).select("source", "target").distinct()
-    seen, front, out = {start}, [start], {}
+    spark = calls.sparkSession
+    seen = front = spark.createDataFrame([(start,)], "node string")
+    found = []
     for _ in range(max_depth - 1):
-        got = calls.join(F.broadcast(calls.sparkSession.createDataFrame([(x,) for x in front], "source string")), "source").limit(most + 1).collect()
-        for r in sorted(got):
-            out.setdefault(r["source"], []).append(r["target"])
-        front = sorted({r["target"] for r in got} - seen)
-        seen |= set(front)
-        if not front or len(seen) > most:
+        level = settle(calls.join(front, calls["source"] == front["node"], "left_semi"))
+        found.append(level)
+        front = settle(level.select(F.col("target").alias("node")).distinct().join(seen, "node", "left_anti"))
+        if front.isEmpty():
             break
+        seen = seen.unionByName(front)
+    out: dict[str, list[str]] = {}
+    if sum(level.count() for level in found) > most:
+        raise ValueError(f"the trace has over {most} edges: lower max_depth")
+    for level in found:
+        for r in sorted(level.collect()):
+            out.setdefault(r["source"], []).append(r["target"])
     order, visited, stack = [], set(), [(start, 1)]
     while stack:
         x, d = stack.pop()
@@ -157,14 +172,14 @@ def trace(edges: DataFrame, start: str, max_depth: int = 5, most: int = 100_000)
         order.append(x)
         if d < max_depth:
             stack.extend((y, d + 1) for y in reversed(out.get(x, [])))
-    return calls.sparkSession.createDataFrame(list(enumerate(order)), "position long, id string")
+    return spark.createDataFrame(list(enumerate(order)), "position long, id string")
 
 
 def common_prefix(nodes: DataFrame) -> int:
     """How many leading folders all paths share."""
     parts = nodes.filter(F.col("file_path").isNotNull()).select(F.slice(F.split("file_path", "/"), 1, F.greatest(F.size(F.split("file_path", "/")) - 1, F.lit(0))).alias("p"))
     total = parts.count()
-    got = parts.select(F.posexplode("p")).groupBy("pos").agg(F.count(F.lit(1)).alias("n"), F.min("col").alias("lo"), F.max("col").alias("hi")).filter((F.col("n") == total) & (F.col("lo") == F.col("hi"))).select("pos").orderBy("pos").limit(100).collect()
+    got = parts.select(F.posexplode("p")).groupBy("pos").agg(F.count(F.lit(1)).alias("n"), F.min("col").alias("lo"), F.max("col").alias("hi")).filter((F.col("n") == total) & (F.col("lo") == F.col("hi"))).select("pos").orderBy("pos").collect()  # at most as many as one path has folders
     n = 0
     while n < len(got) and got[n]["pos"] == n:
         n += 1

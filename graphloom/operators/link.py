@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.functions.scalars import compact, contains_any, ends_with_any, is_dunder, last_token, slashes
+from graphloom.functions.scalars import compact, contains_any, ends_with_any, is_dunder, last_token, one_of, slashes
 
 # ---- Fixed values: what a root folder says of a node's category.
 ROOT_CATEGORY = {
@@ -93,8 +93,8 @@ def category(path: Column, class_name: Column, function_name: Column) -> Column:
     parts, tokens = path_parts(path), name_tokens(class_name, function_name)
     root, joined = F.get(parts, F.lit(0)), F.array_join(parts, "/")
     holds = {
-        "path": lambda w: contains_any(parts, w), "name": lambda w: contains_any(tokens, w), "end": lambda w: ends_with_any(tokens, w), "root": lambda w: root.isin(*w),
-        "joined": lambda w: _any([joined.contains(x) for x in w]), "starts": lambda w: _any([joined.startswith(x) for x in w]), "ends": lambda w: _any([joined.endswith(x) for x in w]),
+        "path": lambda w: contains_any(parts, w), "name": lambda w: contains_any(tokens, w), "end": lambda w: ends_with_any(tokens, w), "root": lambda w: F.coalesce(root.rlike(f"^{one_of(w)}$"), F.lit(False)),
+        "joined": lambda w: joined.rlike(one_of(w)), "starts": lambda w: joined.rlike("^" + one_of(w)), "ends": lambda w: joined.rlike(one_of(w) + "$"),
     }
     scores = {"implementation": F.lit(1)}
     for kind, points, conditions in RULES:
@@ -106,7 +106,7 @@ def category(path: Column, class_name: Column, function_name: Column) -> Column:
 def is_noise(p: DataFrame) -> Column:
     """Everything in package markers, dunders, functions that live under or are named after helpers, and classes so named; other files stay."""
     f, c = F.coalesce("function_name", F.lit("")), F.coalesce("class_name", F.lit(""))
-    some = lambda x: _any([F.lower(x).contains(h) for h in NOISE])
+    some = lambda x: F.lower(x).rlike(one_of(NOISE))
     routine = F.col("kind").isin("function", "method")
     other = is_dunder(f) | (routine & some(F.col("file_path"))) | some(f) | some(c)
     return F.col("file_path").endswith("__init__.py") | ((F.col("kind") != "file") & other)
@@ -114,12 +114,12 @@ def is_noise(p: DataFrame) -> Column:
 
 def is_noisy_call(call: Column) -> Column:
     low = F.lower(call)
-    third = F.regexp_extract(low, r"^([^.:]+)(\.|::)", 1).isin(*THIRD_PARTY)
-    return is_dunder(last_token(call)) | low.startswith("super(") | low.startswith("super::") | _any([low.contains(h) for h in NOISE]) | third
+    third = low.rlike(rf"^{one_of(THIRD_PARTY)}(\.|::)")
+    return is_dunder(last_token(call)) | low.startswith("super(") | low.startswith("super::") | low.rlike(one_of(NOISE)) | third
 
 
 def is_stdlib_call(call: Column) -> Column:
-    return F.split(F.split(call, r"\.")[0], "::")[0].isin(*sorted(sys.stdlib_module_names))
+    return F.split(F.split(call, r"\.")[0], "::")[0].rlike(f"^{one_of(sorted(sys.stdlib_module_names))}$")
 
 
 def is_noisy_external_call(call: Column) -> Column:

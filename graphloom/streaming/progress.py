@@ -29,3 +29,16 @@ def distinct_runs(stream: DataFrame, timeout_ms: int = 3_600_000) -> DataFrame:
 
     step = lambda key, batches, state: suppress(key, batches, state, timeout_ms)
     return stream.groupBy("stream_id").applyInPandasWithState(step, "stream_id long, seq long, message string", "last string", "append", GroupStateTimeout.ProcessingTimeTimeout)
+
+
+def drain(rows: DataFrame, path: str, checkpoint: str) -> None:
+    """Write what a streaming query has now as Parquet, and end. State with a timeout by the clock asks for one more empty batch for ever, so a query over
+    what is available never ended; without empty batches it does, and state times out in the next run that has data."""
+    spark = rows.sparkSession
+    name = "spark.sql.streaming.noDataMicroBatches.enabled"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "false")
+    try:
+        rows.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    finally:
+        spark.conf.set(name, before)

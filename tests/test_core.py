@@ -124,7 +124,8 @@ def test_scalars(spark):
     assert tuple(one(S.github_parts(F.lit("https://github.com/o/r/tree/dev/x")))) == ("o", "r", "dev/x")
     assert one(S.json_in_text(F.lit('so: ```json\n{"a": {"b": 1}}\n``` end'))) == '{"a": {"b": 1}}' and one(S.json_in_text(F.lit("none"))) is None
     assert one(S.last_token(F.lit("a.b::c"))) == "c" and one(S.title_case(F.lit("data-PIPE"))) == "Data Pipe"
-    assert one(link.category(F.lit("latest/x.py"), F.lit("f"))) == "test" and one(link.category(F.lit("api/x.py"), F.lit("get"))) == "controller"
+    assert one(link.category(F.lit("latest/x.py"), F.lit(None), F.lit("f"))) == "test" and one(link.category(F.lit("api/x.py"), F.lit(None), F.lit("get"))) == "controller"
+    assert one(S.size_text(F.lit(256))) == "0.2 KB" and one(S.size_text(F.lit(1572864))) == "1.5 MB" and one(S.comma_list(F.lit(" a , ,b"))) == ["a", "b"]
     assert [r["title"] for r in one(documents.steps(F.lit('{"key_steps": ["a", {"title": "b"}]}')))] == ["a", "b"]
 
 
@@ -156,3 +157,40 @@ def test_stream_step_suppresses_runs_across_batches():
 
 def test_every_sql_has_its_query():
     assert set(registry.oracle_sql()) <= set(registry.queries()) and len(registry.queries()) > 30
+
+
+def test_stream_of_two_batches_equals_one_batch(spark, tmp_path):
+    from graphloom.streaming.progress import distinct_runs, drain
+
+    kinds, rows = "stream_id long, seq long, message string", [(1, 1, "a"), (1, 2, "a"), (2, 1, "x"), (1, 3, "b"), (1, 4, "b"), (2, 2, "y"), (2, 3, "y")]
+    stream = lambda: distinct_runs(spark.readStream.schema(kinds).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in"))
+    for part in (rows[:3], rows[3:]):
+        spark.createDataFrame(part, kinds).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        drain(stream(), f"{tmp_path}/out", f"{tmp_path}/state")
+    got = sorted(tuple(r) for r in spark.read.parquet(f"{tmp_path}/out").collect())
+    assert got == [(1, 1, "a"), (1, 3, "b"), (2, 1, "x"), (2, 2, "y")]
+
+
+def test_subgraph_falls_back_to_the_method_and_its_class(spark):
+    from graphloom.operators import lookup
+
+    src = "class Foo:\n    def run(self, x):\n        return Foo()\n"
+    p = P.extract(spark.createDataFrame([("m.py", src)], "path string, content string"))
+    n, e = link.build(p)
+    without = n.filter("id <> 'python::m.py::Foo::run'")
+    rows, _, note = lookup.subgraph(without, e, p, "python::m.py::Foo::run", include_source=True)
+    one = rows.collect()
+    assert len(one) == 1 and one[0]["label"] == "run" and one[0]["summary"] == "Foo.run | params: self, x | in m.py" and one[0]["line_range"] == "2-3" and "profile" in note
+    rows, _, note = lookup.subgraph(without, e, p.filter("kind <> 'method'"), "python::m.py::Foo::run")
+    assert {r["id"]: r["is_anchor"] for r in rows.collect()}["python::m.py::Foo"] and "class 'Foo'" in note
+    with pytest.raises(ValueError):
+        lookup.subgraph(n, e, p, "python::m.py::Gone")
+    assert lookup.source_code(p, "python::none").first()["error"] == "not found: python::none"
+
+
+def test_trace_raises_beyond_its_bound_and_missing_starts_are_named(spark):
+    e = edges(spark, [("a", f"n{i}", "CALLS", None) for i in range(20)])
+    assert graph.trace(e, "a", 2).count() == 21
+    with pytest.raises(ValueError):
+        graph.trace(e, "a", 2, most=10)
+    assert [tuple(r) for r in graph.missing_starts(nodes(spark, [("a", "file", "", "a", "a")]), ["a", "z"]).collect()] == [("z", "not in the graph: z")]
