@@ -56,6 +56,12 @@ def input_bytes(df: DataFrame) -> int:
     return sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
 
 
+def text_bytes(df: DataFrame, column: str) -> int:
+    """Bytes of the files that a plan reads; where a source doesn't know its size, the characters of the column, counted."""
+    known = input_bytes(df)
+    return known if known < 1 << 60 else int(df.agg(F.coalesce(F.sum(F.length(column)), F.lit(0))).first()[0])
+
+
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """df (a settled table), marked for broadcast if its files and a count show it to be small; else as it is, for a shuffled join."""
     return F.broadcast(df) if input_bytes(df) <= BROADCAST_BYTES and df.limit(rows + 1).count() <= rows else df
