@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -10,12 +11,19 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, or a folder of our own where that is unset."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or "file://" + tempfile.gettempdir()).rstrip("/")
+    """The folder that the cluster shares (spark.checkpoint.dir); a local one only where that is unset and all runs in one process."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not named and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and the executors share")
+    return (named or "file://" + tempfile.gettempdir()).rstrip("/")
+
+
+def new_folder(spark: SparkSession, label: str) -> str:
+    return f"{shared_dir(spark)}/graphloom-core/{label}-{uuid.uuid4().hex}"
 
 
 def settle(df: DataFrame) -> DataFrame:
-    path = f"{shared_dir(df.sparkSession)}/graphloom-core/{uuid.uuid4().hex}"
+    path = new_folder(df.sparkSession, "table")
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
