@@ -324,11 +324,3 @@ def cached_responses(spark, d):
     key = S.breadcrumb_key(F.array(F.when(F.col("user_id") % 3 == 0, "a").otherwise("b"), F.lit("c")))
     cache = e.select(F.col("event_type").alias("component_id"), key.alias("key"), F.col("ts").alias("saved"), F.col("event_id").alias("body"))
     return catalog.swept(catalog.cached(cache, "view", F.array(F.lit("a"), F.lit("c")), now), now).select("body")
-
-
-@query("SELECT 'breadcrumbs_' || substr(md5(event_id || '→' || event_type || '→' || 'next'), 1, 12) AS cache_id, event_type || '>next' AS crumbs FROM events WHERE ts >= (SELECT max(ts) FROM events) - INTERVAL 3600 SECONDS")
-def pushed_breadcrumbs(spark, d):
-    e = A.table(spark, d, "events")
-    now = F.lit(e.agg(F.max("ts")).first()[0])
-    rows = e.select(F.col("event_id").cast("string").alias("cache_id"), F.array("event_type").alias("crumbs"), F.col("ts").alias("saved"))
-    return catalog.pushed(rows, F.lit("next"), now).select("cache_id", F.array_join("crumbs", ">").alias("crumbs"))
