@@ -181,11 +181,11 @@ def workflow_documents(spark, d):
     return A.table(spark, d, "part").select("p_partkey", doc["workflow_name"].alias("name"), steps.alias("steps"))
 
 
-@query("SELECT p_partkey, CASE p_size % 4 WHEN 0 THEN '{\"a\":1}' WHEN 1 THEN '{\"b\":2}' WHEN 2 THEN '{\"c\":3}' END AS hints, CASE p_size % 4 WHEN 0 THEN 'own' WHEN 1 THEN 'deep' ELSE '{\"summaries\":{\"level_1\":{\"workflow_hints\":{\"c\":3}}}}' END AS summary FROM part WHERE p_size % 4 <> 3")
+@query("SELECT p_partkey, CASE p_size % 4 WHEN 0 THEN '{\"a\":1}' WHEN 1 THEN '{\"b\":2}' WHEN 2 THEN '{\"c\":3}' END AS hints, CASE p_size % 4 WHEN 0 THEN 'own' WHEN 1 THEN 'deep' WHEN 2 THEN '{\"summaries\":{\"level_1\":{\"workflow_hints\":{\"c\":3}}}}' ELSE '{\"none\":1}' END AS summary FROM part")
 def workflow_hints(spark, d):
     n = F.col("p_size") % 4
-    doc = F.when(n == 0, '{"workflow_hints":{"a":1},"summary":"own"}').when(n == 1, '{"summaries":{"workflow_hints":{"b":2}},"level_1":{"text":"deep"}}').otherwise('{"summaries":{"level_1":{"workflow_hints":{"c":3}}}}')
-    return A.table(spark, d, "part").filter(n != 3).select("p_partkey", workflows.hints(doc).alias("hints"), workflows.summary(doc).alias("summary"))
+    doc = F.when(n == 0, '{"workflow_hints":{"a":1},"summary":"own"}').when(n == 1, '{"summaries":{"workflow_hints":{"b":2}},"level_1":{"text":"deep"}}').when(n == 2, '{"summaries":{"level_1":{"workflow_hints":{"c":3}}}}').otherwise('{"none":1}')
+    return A.table(spark, d, "part").select("p_partkey", workflows.hints(doc).alias("hints"), workflows.summary(doc).alias("summary"))
 
 
 @query("SELECT p_partkey, CASE WHEN p_size % 4 < 3 AND p_size <= 40 THEN ['A', 'B', 'C'][p_size % 4 + 1] END AS pattern, CASE WHEN p_size % 4 < 3 AND p_size <= 40 THEN p_size / 40.0::DOUBLE END AS confidence FROM part")

@@ -1,9 +1,10 @@
-"""Column functions: names, paths, ids, texts, numbers, JSON. All are built-in expressions."""
+"""Column functions: names, paths, ids, texts, numbers, JSON. All are built-in expressions but the scan for balanced braces, which goes over batches."""
 
 from __future__ import annotations
 
 import re
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -129,22 +130,60 @@ def glob_regex(pattern: str) -> str:
 
 
 def json_in_text(text: Column) -> Column:
-    """The JSON part of a reply: as it is, in a fence, or from the first to the last brace; null if none parses."""
+    """The JSON object of a reply: as it is, in a fence, or from the first to the last brace; null if none parses."""
     tries = [text, F.regexp_extract(text, r"(?s)```(?:json)?\s*(.*?)\s*```", 1), F.regexp_extract(text, r"(?s)(\{.*\})", 1)]
     return F.coalesce(*[F.when(F.try_parse_json(F.trim(t)).isNotNull() & F.trim(t).startswith("{"), F.trim(t)) for t in tries])
 
 
+_BRACES = re.compile(r"\\.|\"(?:\\.|[^\"\\])*\"|[{}\"]", re.S)
+
+
+def first_balanced(text: str | None) -> str | None:
+    """From the first brace to the one that closes it. Braces in strings don't count, nor what a backslash escapes; null if it isn't closed."""
+    start = -1 if text is None else text.find("{")
+    depth = 0
+    for m in _BRACES.finditer(text, start) if start >= 0 else ():
+        if m[0] == '"':  # a string without an end
+            return None
+        depth += (m[0] == "{") - (m[0] == "}")
+        if depth == 0 and m[0] == "}":
+            return text[start : m.end()]
+    return None
+
+
+def balanced_object(text: Column) -> Column:
+    """first_balanced() over batches of texts."""
+
+    @F.pandas_udf("string")
+    def run(texts: pd.Series) -> pd.Series:
+        return texts.map(first_balanced)
+
+    return run(text)
+
+
 def action_valid(node_type: Column, action: Column) -> Column:
     """Drillable types go with component_drilldown, all others with inspect_source."""
     return action == F.when(node_type.isin(*DRILLABLE), "component_drilldown").otherwise("inspect_source")
 
 
+# ---- Fixed values: references to repositories: page, page of a branch, ssh, shorthand; owner, repository and branch in order.
+GITHUB = [
+    r"^https?://github\.com/([^/]+)/([^/]+?)(?:\.git)?/?$",
+    r"^https?://github\.com/([^/]+)/([^/]+)/tree/([^/]+)",
+    r"^git@github\.com:([^/]+)/([^/]+?)(?:\.git)?$",
+    r"^([^/]+)/([^/]+)$",
+]
+
+
 def github_parts(url: Column) -> Column:
-    """owner, repo, branch of a https, tree, ssh or shorthand reference."""
-    u = F.regexp_replace(F.trim(url), r"/+$", "")
-    rules = [(r"^https?://github\.com/([^/]+)/([^/]+)/tree/(.+)$", True), (r"^https?://github\.com/([^/]+)/([^/]+)$", False), (r"^git@github\.com:([^/]+)/([^/]+)$", False), (r"^([A-Za-z0-9_.-]+)/([A-Za-z0-9_.-]+)$", False)]
-    pick = lambda g: F.coalesce(*[F.when(u.rlike(r), F.regexp_extract(u, r, g)) for r, b in rules if g < 3 or b])
-    return F.struct(pick(1).alias("owner"), F.regexp_replace(pick(2), r"\.git$", "").alias("repo"), pick(3).alias("branch"))
+    """owner, repo, branch of a reference to a repository; all null if it is none. The first form that fits holds."""
+    u = F.regexp_replace(url, r"(?U)^\s+|\s+$", "")
+    part = lambda i, form: F.regexp_extract(u, form, i)
+    found = F.lit(None).cast("struct<owner:string,repo:string,branch:string>")
+    for form in reversed(GITHUB):
+        branch = part(3, form) if "/tree/" in form else F.lit(None).cast("string")
+        found = F.when(u.rlike(form), F.struct(part(1, form).alias("owner"), F.regexp_replace(part(2, form), r"\.git$", "").alias("repo"), branch.alias("branch"))).otherwise(found)
+    return F.struct(*(found[c].alias(c) for c in ("owner", "repo", "branch")))
 
 
 def repaired_id(node: Column) -> Column:

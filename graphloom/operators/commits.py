@@ -30,8 +30,6 @@ def put_once(spark: SparkSession, path: str, text: str) -> bool:
             return False
         finally:
             os.unlink(part)
-    from py4j.protocol import Py4JJavaError
-
     jvm = spark._jvm
     at = jvm.org.apache.hadoop.fs.Path(path)
     part = jvm.org.apache.hadoop.fs.Path(f"{path}.{uuid.uuid4().hex}.part")
@@ -43,9 +41,9 @@ def put_once(spark: SparkSession, path: str, text: str) -> bool:
     try:
         context.rename(part, at, spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 0))
         return True
-    except Py4JJavaError as e:
+    except Exception as e:  # which class it comes as depends on the store
         store.delete(part, False)
-        if "AlreadyExists" in str(e.java_exception.getClass().getName()):
+        if "AlreadyExists" in str(e):
             return False
         raise
 

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Constants of the grid.
-COLUMNS, STEP_X, STEP_Y, GAP = 3, 320, 180, 80
+# ---- Fixed values: the grid's columns, node width and height, gaps between nodes and layers, left margin, height of a layer's label.
+COLUMNS = 3
+NODE_W, NODE_H, GAP_X, GAP_Y, LAYER_GAP = 260, 120, 140, 100, 180
+START_X, LABEL_H = 40, 60
 
 
 def group_by_layer(components: DataFrame, order: list[str]) -> DataFrame:
@@ -19,12 +21,14 @@ def group_by_layer(components: DataFrame, order: list[str]) -> DataFrame:
 
 
 def grid(components: DataFrame) -> DataFrame:
-    """x and y of each component: three a row, layers one under the other."""
+    """x and y of each component (component, rank): three a row under their layer's label, layers one under the other."""
     i = F.row_number().over(Window.partitionBy("rank").orderBy("component")) - 1
     placed = components.withColumn("i", i)
-    rows = placed.groupBy("rank").agg((F.floor(F.max("i") / COLUMNS) + 1).alias("rows"))
-    top = rows.withColumn("top", F.coalesce(F.sum(F.col("rows") * STEP_Y + GAP).over(Window.orderBy("rank").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))  # one row per layer
-    return placed.join(F.broadcast(top), "rank").select("component", "rank", (F.col("i") % COLUMNS * STEP_X).cast("long").alias("x"), (F.col("top") + F.floor(F.col("i") / COLUMNS) * STEP_Y).cast("long").alias("y"))
+    height = LABEL_H + F.ceil(F.count(F.lit(1)) / COLUMNS) * (NODE_H + GAP_Y) + LAYER_GAP
+    layers = placed.groupBy("rank").agg(height.alias("height"))
+    top = layers.withColumn("top", F.coalesce(F.sum("height").over(Window.orderBy("rank").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))  # one row per layer
+    x, y = START_X + F.col("i") % COLUMNS * (NODE_W + GAP_X), F.col("top") + LABEL_H + F.floor(F.col("i") / COLUMNS) * (NODE_H + GAP_Y)
+    return placed.join(F.broadcast(top), "rank").select("component", "rank", x.cast("long").alias("x"), y.cast("long").alias("y"))
 
 
 def edge_offsets(edges: DataFrame) -> DataFrame:

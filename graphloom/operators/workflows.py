@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -54,7 +57,7 @@ def summary(doc: Column) -> Column:
 
 def pattern(reply: Column) -> Column:
     """The pattern that a reply names: type A, B or C, confidence 0 to 1, reasoning, and at least one tool; null if any is missing. The JSON starts at the first brace."""
-    text = F.when(F.length(reply) >= 50, S.json_in_text(reply))
+    text = F.when(F.length(reply) >= 50, F.coalesce(S.json_in_text(reply), S.balanced_object(reply)))
     whole = F.coalesce(F.get_json_object(text, "$.scout_pattern_identification"), F.when(F.get_json_object(text, "$.pattern_type").isNotNull(), text))
     kind, sure = F.get_json_object(whole, "$.pattern_type"), F.get_json_object(whole, "$.confidence").try_cast("double")
     tools = F.from_json(F.get_json_object(whole, "$.tools_called"), "array<string>")
@@ -69,14 +72,46 @@ def tool_summary(messages: DataFrame, key: str, order: str, found: Column | None
     return every.select(key, F.coalesce(found if found is not None else F.lit(None).cast("string"), F.lit("pending_analysis")).alias("pattern"), F.to_json(F.coalesce("results", F.array().cast("array<struct<tool:string,result:string>>"))).alias("results"))
 
 
+def _narrative(payload):
+    """What tells of a step: the first level's summary or text, else the document's own summary, else all of it."""
+    if isinstance(payload, dict):
+        first = payload.get("level_1")
+        told = (first.get("summary") or first.get("text")) if isinstance(first, dict) else None
+        return told or payload.get("summary", payload)
+    return payload
+
+
+def step_document(data: Column) -> Column:
+    """The narrative and the hints of a step as a JSON document with indentation; data is a profile's document as JSON text, or null."""
+
+    @F.pandas_udf("string")
+    def run(documents: pd.Series, hinted: pd.Series) -> pd.Series:
+        out = []
+        for text, hint in zip(documents, hinted, strict=True):
+            doc = json.loads(text) if text else {}
+            told = doc.get("summary") if doc.get("summary") is not None else doc.get("summaries")
+            out.append(json.dumps({"summary": _narrative(told), "workflow_hints": json.loads(hint) if hint else None}, indent=2))
+        return pd.Series(out, dtype=object)
+
+    return run(data, hints(data))
+
+
 def llm_context(trace: DataFrame, profiles: DataFrame) -> DataFrame:
-    """One row: the entry's source and the numbered summaries of a trace (position, id)."""
-    name = S.first_given(F.col("function_name"), F.col("class_name"), F.col("id"))
-    got = trace.join(profiles.select("id", "file_path", name.alias("name"), "source_code", F.coalesce("docstring", F.lit("")).alias("about")), "id")
-    numbered = got.withColumn("n", F.row_number().over(Window.orderBy("position")) - 1)  # the profiles of one bounded trace
-    head = F.concat(F.lit("### WORKFLOW ENTRY POINT: SOURCE CODE\nFile: "), F.col("file_path"), F.lit("\nName: "), F.col("name"), F.lit("\n```python\n"), F.col("source_code"), F.lit("\n```\n\n### KEY STEPS IN THE CALL CHAIN: SUMMARIES\n"))
-    text = F.when(F.col("position") == 0, head).otherwise(F.concat(F.lit("--- Step "), F.col("n"), F.lit(": "), F.col("name"), F.lit(" ---\n"), F.col("about"), F.lit("\n")))
-    return numbered.agg(F.trim(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("position", text.alias("t")))), lambda x: x["t"]), "")).alias("context"))
+    """entry, context: for each trace (entry, position, id; or one trace without the column entry) the entry's source and the numbered steps, each with its summary and hints as JSON. Profiles may have a column `data`, a document
+    with summaries and hints; where it has none, both are null. Ids without a profile and repeats of the entry are left out, steps are numbered without gaps."""
+    trace = trace if "entry" in trace.columns else trace.crossJoin(F.broadcast(trace.filter("position = 0").select(F.col("id").alias("entry")).limit(1)))  # one row
+    data = F.col("data") if "data" in profiles.columns else F.lit(None).cast("string")
+    name = S.first_given(F.col("function_name"), F.col("class_name"), F.get_json_object(data, "$.name"), F.col("id"))
+    known = profiles.select("id", "file_path", name.alias("name"), "source_code", data.alias("data"))
+    got = trace.join(known, "id").filter((F.col("position") == 0) | (F.col("id") != F.col("entry")))
+    got = got.withColumn("about", step_document(F.col("data")))
+    numbered = got.withColumn("n", F.sum(F.when(F.col("position") > 0, 1).otherwise(0)).over(Window.partitionBy("entry").orderBy("position")))
+    head = F.concat(F.lit("### WORKFLOW ENTRY POINT: SOURCE CODE\nFile: "), F.coalesce("file_path", F.lit("")), F.lit("\nName: "), F.col("name"), F.lit("\n```python\n"), F.coalesce("source_code", F.lit("")), F.lit("\n```\n"))
+    step = F.concat(F.lit("--- Step "), F.col("n"), F.lit(": "), F.col("name"), F.lit(" ---\n"), F.col("about"), F.lit("\n"))
+    lines = numbered.select("entry", "position", F.when(F.col("position") == 0, head).alias("head"), F.when(F.col("position") > 0, step).alias("step"))
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("step").isNotNull(), F.struct("position", "step")))), lambda x: x["step"]), "")
+    whole = F.concat(F.coalesce(F.max("head"), F.lit("")), F.lit("\n### KEY STEPS IN THE CALL CHAIN: SUMMARIES\n"), joined)
+    return lines.groupBy("entry").agg(F.regexp_replace(whole, r"^\s+|\s+$", "").alias("context"))
 
 
 def synthesize(contexts: DataFrame, provider, key: str = "entry") -> DataFrame:
@@ -102,7 +137,6 @@ def synthesize(contexts: DataFrame, provider, key: str = "entry") -> DataFrame:
 
 def stub_provider(context: str) -> str:
     """An answer without a model: the steps that the context names."""
-    import json
     import re
 
     steps = re.findall(r"^--- Step \d+: (.*) ---$", context, re.M)

@@ -133,9 +133,11 @@ def scan_files(spark, d):
     return text.scan(A.files(spark, d), ["**/en/*.txt", "src1/**"], 200)
 
 
-@query("WITH l AS (SELECT path, string_split(content, chr(10)) AS a FROM files), x AS (SELECT path, unnest(range(1, len(a) + 1)) AS line, unnest(a) AS text FROM l) SELECT path, line::INT AS line, text FROM x WHERE regexp_matches(text, 'idiot|moron[s]?') ORDER BY path, line LIMIT 30")
+@query("""WITH s AS (SELECT path, regexp_split_to_array(content, '\\r\\n?|\\n') AS a FROM files), l AS (SELECT path, CASE WHEN a[-1] = '' THEN a[:-2] ELSE a END AS a FROM s), x AS (SELECT path, a, unnest(range(1, len(a) + 1))::INT AS line, unnest(a) AS text FROM l)
+SELECT path, line::INT AS line, text, array_to_string(list_transform(range(greatest(1, line - 2), least(len(a), line + 2) + 1), lambda j: lpad(j::VARCHAR, greatest(4, length(j::VARCHAR))::INT, ' ') || CASE WHEN j = line THEN ' >>> ' ELSE '     ' END || regexp_replace(a[j], '\\s+$', '')), chr(10)) AS context
+FROM x WHERE regexp_matches(text, 'idiot|moron[s]?') ORDER BY path, line LIMIT 30""")
 def search_codebase(spark, d):
-    return text.search(A.files(spark, d), "idiot|moron[s]?").select("path", "line", "text")
+    return text.search(A.files(spark, d), "idiot|moron[s]?")
 
 
 @query("""WITH p AS (SELECT p_partkey, string_split(p_name, ' ') AS l FROM part) SELECT p_partkey, list_transform(l, lambda w: upper(w[1]) || lower(w[2:]))::VARCHAR AS words FROM p""")
@@ -177,10 +179,10 @@ def live_entries(spark, d):
     return e.crossJoin(F.broadcast(now)).filter(~S.expired(F.col("ts"), F.col("now"))).select("event_id")
 
 
-@query("SELECT conv_id, sum(CASE WHEN role = 'user' THEN length(text) // 4 ELSE 0 END)::BIGINT AS prompt, sum(CASE WHEN role <> 'user' THEN length(text) // 4 ELSE 0 END)::BIGINT AS completion, sum(length(text) // 4)::BIGINT AS total, round((sum(CASE WHEN role = 'user' THEN length(text) // 4 ELSE 0 END) * 0.075::DOUBLE + sum(CASE WHEN role <> 'user' THEN length(text) // 4 ELSE 0 END) * 0.30::DOUBLE) / 1e6, 6)::DOUBLE AS cost FROM conversations WHERE role IS NOT NULL AND text IS NOT NULL GROUP BY conv_id")
+@query("WITH x AS (SELECT 1), c AS (SELECT conv_id, coalesce(role, '') = 'user' AS mine, coalesce(length(text) // 4, 0) AS n FROM conversations) SELECT conv_id, sum(CASE WHEN mine THEN n ELSE 0 END)::BIGINT AS prompt, sum(CASE WHEN mine THEN 0 ELSE n END)::BIGINT AS completion, sum(n)::BIGINT AS total, round((sum(CASE WHEN mine THEN n ELSE 0 END) * 0.075::DOUBLE + sum(CASE WHEN mine THEN 0 ELSE n END) * 0.30::DOUBLE) / 1e6, 6)::DOUBLE AS cost FROM c GROUP BY conv_id")
 def token_usage(spark, d):
-    c = A.table(spark, d, "conversations").filter("role is not null and text is not null").withColumn("n", S.token_estimate(F.col("text")))
-    c = c.withColumn("p", F.when(F.col("role") == "user", F.col("n")).otherwise(0)).withColumn("c", F.when(F.col("role") != "user", F.col("n")).otherwise(0))
+    c = A.table(spark, d, "conversations").withColumns({"n": F.coalesce(S.token_estimate(F.col("text")), F.lit(0)), "mine": F.coalesce(F.col("role") == "user", F.lit(False))})
+    c = c.withColumns({"p": F.when(F.col("mine"), F.col("n")).otherwise(0), "c": F.when(F.col("mine"), 0).otherwise(F.col("n"))})
     return documents.usage_totals(c, "conv_id", "p", "c")
 
 
@@ -210,7 +212,7 @@ def group_by_layer(spark, d):
     return documents.group_by_layer(_components(spark, d), _LAYERS)
 
 
-@query("WITH c AS (SELECT c_name AS component, CASE c_mktsegment WHEN 'BUILDING' THEN 0 WHEN 'AUTOMOBILE' THEN 1 WHEN 'MACHINERY' THEN 2 ELSE 3 END AS rank FROM customer), p AS (SELECT *, row_number() OVER (PARTITION BY rank ORDER BY component) - 1 AS i FROM c), t AS (SELECT rank, coalesce(sum((max(i) // 3 + 1) * 180 + 80) OVER (ORDER BY rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS top FROM p GROUP BY rank) SELECT component, rank, (i % 3 * 320)::BIGINT AS x, (top + i // 3 * 180)::BIGINT AS y FROM p JOIN t USING (rank)")
+@query("WITH c AS (SELECT c_name AS component, CASE c_mktsegment WHEN 'BUILDING' THEN 0 WHEN 'AUTOMOBILE' THEN 1 WHEN 'MACHINERY' THEN 2 ELSE 3 END AS rank FROM customer), p AS (SELECT *, row_number() OVER (PARTITION BY rank ORDER BY component) - 1 AS i FROM c), t AS (SELECT rank, coalesce(sum(60 + (max(i) // 3 + 1) * 220 + 180) OVER (ORDER BY rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS top FROM p GROUP BY rank) SELECT component, rank, (40 + i % 3 * 400)::BIGINT AS x, (top + 60 + i // 3 * 220)::BIGINT AS y FROM p JOIN t USING (rank)")
 def grid_layout(spark, d):
     rank = F.array_position(F.array(*[F.lit(x) for x in _LAYERS]), F.col("layer"))
     return documents.grid(_components(spark, d).select("component", F.when(rank > 0, rank - 1).otherwise(3).cast("int").alias("rank")))
@@ -298,7 +300,7 @@ def core_models(spark, d):
     return models(_profiles(spark, d), ("api",), 100)
 
 
-from graphloom import document_queries, state_queries  # noqa: E402, F401 - their queries are added to these
+from graphloom import document_queries, source_queries, state_queries  # noqa: E402, F401 - their queries are added to these
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import ast
+import keyword
+import re
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 PROFILE = "id string, kind string, file_path string, function_name string, class_name string, start_line int, end_line int, source_code string, parent_id string, docstring string, parameters array<string>, calls array<string>, call_sites array<struct<expression:string,line:int>>, import_sites array<struct<module:string,name:string,alias:string,line:int,level:int>>, inheritance array<struct<symbol:string,line:int>>, uses array<struct<symbol:string,use_kind:string,line:int,detail:string>>, children array<string>, error string"
@@ -13,14 +15,6 @@ ROUTES = VERBS | {"route", "api_route", "websocket"}
 _DEFS = (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef)
 
 
-def read_files(spark: SparkSession, root: str, suffix: str = ".py", ignored: tuple[str, ...] = (".git", ".venv", "venv", "__pycache__", "node_modules", "build", "dist")) -> DataFrame:
-    """path (relative to root), content (bytes). Ignored folders are pruned by exact name."""
-    base = root.rstrip("/")
-    got = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", f"*{suffix}").load(base).select("path", "content")
-    rel = F.expr(f"regexp_replace(path, '^.*?{base.split(':')[-1].replace('.', '[.]')}/', '')")
-    return got.select(rel.alias("path"), "content").filter(~F.arrays_overlap(F.split("path", "/"), F.array(*[F.lit(x) for x in ignored])))
-
-
 def name_of(node: ast.AST | None) -> str | None:
     """A name, or a dotted attribute that is rooted in a name; subscripts and calls are unwrapped; other expressions as text without white space."""
     while isinstance(node, (ast.Subscript, ast.Call)):
@@ -83,15 +77,17 @@ def _imports(tree: ast.Module, path: str) -> list[dict]:
 
 
 def profiles_of(path: str, content: bytes) -> list[dict]:
-    """Profiles of one file. What can't be decoded or parsed gives one file row with the error."""
+    """Profiles of one file. What can't be decoded gives one file row with the error; what can't be parsed, a file row with the error and what outline_of() finds."""
     blank = dict.fromkeys([c.split()[0] for c in PROFILE.split(", ")])
     me = blank | {"id": f"python::file::{path}", "kind": "file", "file_path": path, "start_line": 1, "children": []}
     try:
         text = bytes(content).decode("utf-8")
         me |= {"source_code": text, "end_line": text.count("\n") + 1}
         tree = ast.parse(text)
-    except (UnicodeDecodeError, SyntaxError, ValueError) as e:
+    except UnicodeDecodeError as e:
         return [me | {"error": f"{type(e).__name__}: {e}"}]
+    except (SyntaxError, ValueError) as e:
+        return outline_of(path, text, me | {"error": f"{type(e).__name__}: {e}"}, blank)
     lines, out = text.split("\n"), {}
     me |= {"import_sites": _imports(tree, path), "docstring": ast.get_docstring(tree)}
     out[me["id"]] = me
@@ -120,6 +116,42 @@ def profiles_of(path: str, content: bytes) -> list[dict]:
     return list(out.values())
 
 
+_HEAD = re.compile(r"([ \t]*)(?:async[ \t]+def|def|class)[ \t]+(\w+)")
+_QUIET = re.compile(r"\"\"\".*?(?:\"\"\"|\Z)|\'\'\'.*?(?:\'\'\'|\Z)|\"(?:\\.|[^\"\\\n])*\"?|\'(?:\\.|[^\'\\\n])*\'?|\#[^\n]*", re.S)
+_CALL = re.compile(r"(?<![\w.])([A-Za-z_]\w*(?:\s*\.\s*[A-Za-z_]\w*)*)\s*\(")
+
+
+def outline_of(path: str, text: str, me: dict, blank: dict) -> list[dict]:
+    """Profiles of a file that doesn't parse: classes and functions by their first lines and indentation, with the names that are called in them. Strings and comments are blanked
+    first; a function ends before the next line that is indented no deeper; what functions hold is theirs."""
+    bare = _QUIET.sub(lambda m: re.sub(r"[^\n]", " ", m[0]), text)
+    lines, quiet = text.split("\n"), bare.split("\n")
+    depth = [len(q.expandtabs()) - len(q.expandtabs().lstrip()) if q.strip() else None for q in quiet]
+    out, open_ = [me], [(-1, True, [], me)]
+    for i, q in enumerate(quiet):
+        if depth[i] is None:
+            continue
+        while open_[-1][0] >= depth[i]:
+            open_.pop()
+        head = _HEAD.match(q)
+        if not head or not open_[-1][1]:
+            continue
+        _, _, classes, parent = open_[-1]
+        is_class, name = "class" in head[0].split(), head[2]
+        end = next((j for j in range(i + 1, len(quiet)) if depth[j] is not None and depth[j] <= depth[i] and not quiet[j].lstrip().startswith((")", "]"))), len(quiet))
+        while end > i + 1 and depth[end - 1] is None:
+            end -= 1
+        key = "::".join(["python", path, *classes, name])
+        row = blank | {"id": key, "kind": "class" if is_class else "method" if classes else "function", "file_path": path, "function_name": None if is_class else name, "class_name": ".".join([*classes, name] if is_class else classes) or None, "start_line": i + 1, "end_line": end, "source_code": "\n".join(lines[i:end]), "parent_id": parent["id"], "children": []}
+        if not is_class:
+            body = "\n".join([q[head.end() :].partition(")")[2], *quiet[i + 1 : end]])
+            row["calls"] = list(dict.fromkeys(c for m in _CALL.finditer(body) if not keyword.iskeyword(c := "".join(m[1].split())) and not _HEAD.search(body, body.rfind("\n", 0, m.start()) + 1, m.end())))
+        parent["children"].append(key)
+        out.append(row)
+        open_.append((depth[i], is_class, [*classes, name], row))
+    return out
+
+
 def extract(files: DataFrame) -> DataFrame:
     """profiles of files(path, content)."""
 

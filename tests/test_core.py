@@ -111,7 +111,7 @@ def test_entry_points_and_models(spark):
 def test_search_context_and_literals(spark):
     f = spark.createDataFrame([("a.py", "one\ntwo(\nthree"), ("venv/b.py", "two("), ("c.bin", "two(")], "path string, content string")
     got = text.search(f, "two(", 1).collect()
-    assert [(r["path"], r["line"]) for r in got] == [("a.py", 2)] and got[0]["context"] == "       1: one\n>>>    2: two(\n       3: three"
+    assert [(r["path"], r["line"]) for r in got] == [("a.py", 2)] and got[0]["context"] == "   1     one\n   2 >>> two(\n   3     three"
     assert [r["path"] for r in text.scan(f, ["*.py"]).collect()] == ["a.py"]
 
 
@@ -121,7 +121,7 @@ def test_scalars(spark):
     assert tuple(one(S.parse_id(F.lit("python::file::a.py")))) == ("a.py", None, None)
     assert one(S.breadcrumb_key(F.array().cast("array<string>"))) == "root"
     assert tuple(one(S.github_parts(F.lit("https://github.com/o-w/r.git")))) == ("o-w", "r", None)
-    assert tuple(one(S.github_parts(F.lit("https://github.com/o/r/tree/dev/x")))) == ("o", "r", "dev/x")
+    assert tuple(one(S.github_parts(F.lit("https://github.com/o/r/tree/dev/x")))) == ("o", "r", "dev")
     assert one(S.json_in_text(F.lit('so: ```json\n{"a": {"b": 1}}\n``` end'))) == '{"a": {"b": 1}}' and one(S.json_in_text(F.lit("none"))) is None
     assert one(S.last_token(F.lit("a.b::c"))) == "c" and one(S.title_case(F.lit("data-PIPE"))) == "Data Pipe"
     assert one(link.category(F.lit("latest/x.py"), F.lit(None), F.lit("f"))) == "test" and one(link.category(F.lit("api/x.py"), F.lit(None), F.lit("get"))) == "controller"
