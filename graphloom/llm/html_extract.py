@@ -8,7 +8,7 @@ main text. The text is the blocks over 0.5, in page order, joined by a line end.
 The network is trained on the driver, by Adam on pages that a seeded generator writes with known labels (layouts, tag names, classes and languages vary); its
 size is fixed (about 40,000 numbers), so it is broadcast. Training takes a few seconds and is kept for the process.
 
-Defined results: null or empty html gives empty text; broken markup is read as far as it goes (unclosed tags end with their parent, an unclosed raw element ends
+Defined results: null or empty html gives empty text; what scripts, styles, text areas, templates, frames, drawings and noscript elements hold is no text of the page; broken markup is read as far as it goes (unclosed tags end with their parent, an unclosed raw element ends
 with the page; a quote without its pair is an ordinary character of its tag); a page of many blocks is read in pieces of PIECE blocks that pass their state on; repeated rows give equal texts; an empty table gives an empty result; further columns are ignored.
 """
 
@@ -17,7 +17,9 @@ from __future__ import annotations
 import html
 import random
 import re
+from collections import Counter
 from functools import cache, lru_cache
+from typing import NamedTuple
 
 import numpy as np
 import xxhash
@@ -42,25 +44,55 @@ _CLOSED_BY_BLOCK = {"p"}
 _SAME = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 
 
-def blocks(page: str) -> list[tuple[tuple[str, ...], str, float]]:
-    """(path of tags and their classes, text, share of its characters in links) of each leaf block."""
-    out: list[tuple[tuple[str, ...], str, float]] = []
-    stack: list[tuple[str, str]] = []
+class _Open(NamedTuple):
+    """An open element: its tag, the slots of all words of its path as one number, and the last of them."""
+
+    tag: str
+    slots: int
+    last: str
+
+
+@lru_cache(1 << 14)
+def _slot(word: str) -> int:
+    return 1 << xxhash.xxh3_64_intdigest(word) % PATH_BITS
+
+
+def _opened(tag: str, name: str, within: _Open) -> _Open:
+    slots, last = within.slots, within.last
+    for word in re.split(r"[^a-z0-9]+", f"{tag} {name}"):
+        if word:
+            slots, last = slots | _slot(word), word
+    return _Open(tag, slots, last)
+
+
+def blocks(page: str) -> list[tuple[int, str, float]]:
+    """(slots of the path, text, share of its characters in links) of each leaf block. An open element holds what its block needs, so work grows with the page's length, however
+    deep it nests."""
+    out: list[tuple[int, str, float]] = []
+    stack = [_Open("", 0, "")]
+    open_: Counter[str] = Counter()
     held: list[str] = []
     links = 0
     in_link = 0
     at = 0
+    # no tag begins where no > follows
+    limit = page.rfind(">") + 1
 
     def flush() -> None:
         nonlocal links
         text = " ".join(html.unescape("".join(held)).split())
         if text:
-            path = tuple(x for tag, name in stack for x in ((tag, name) if name else (tag,)))
-            out.append((path, text, min(1.0, links / max(1, len(text)))))
+            top = stack[-1]
+            out.append((top.slots | (_slot(f"/{top.last}") if top.last else 0), text, min(1.0, links / max(1, len(text)))))
         held.clear()
         links = 0
 
-    for m in iter(lambda: _TAG.search(page, at), None):
+    def close() -> str:
+        tag = stack.pop().tag
+        open_[tag] -= 1
+        return tag
+
+    for m in iter(lambda: _TAG.search(page, at, limit), None):
         text = page[at : m.start()]
         if text:
             held.append(text)
@@ -68,6 +100,8 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], str, float]]:
         at = m.end()
         tag = (m[2] or "").lower()
         if not tag:
+            if m[0].startswith("<!--") and not m[0].endswith("-->"):
+                at = len(page)
             continue
         if tag in _INLINE:
             if tag == "br":
@@ -77,9 +111,9 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], str, float]]:
             continue
         flush()
         if m[1]:
-            names = [s[0] for s in stack]
-            if tag in names:
-                del stack[len(names) - 1 - names[::-1].index(tag) :]
+            if open_[tag] > 0:
+                while close() != tag:
+                    pass
                 in_link = 0
             continue
         if tag in _RAW:
@@ -88,33 +122,29 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], str, float]]:
             continue
         if tag in _VOID:
             continue
-        while stack and (stack[-1][0] in _CLOSED_BY_BLOCK or stack[-1][0] in _SAME.get(tag, ())):
-            stack.pop()
+        while stack[-1].tag in _CLOSED_BY_BLOCK or stack[-1].tag in _SAME.get(tag, ()):
+            close()
         attributes = m[3] if m[3] is not None else m[4]
         name = " ".join(x or y or z for x, y, z in _ATTR.findall(attributes)).lower() if attributes else ""
         if not attributes.rstrip().endswith("/"):
-            stack.append((tag, name))
-    if page[at:]:
-        held.append(page[at:])
+            stack.append(_opened(tag, name, stack[-1]))
+            open_[tag] += 1
+    rest = page[at:].partition("<!--")[0]
+    if rest:
+        held.append(rest)
     flush()
     return out
 
 
-@lru_cache(1 << 14)
-def _path_slots(path: tuple[str, ...]) -> tuple[int, ...]:
-    names = [p for x in path for p in re.split(r"[^a-z0-9]+", x) if p]
-    last = [f"/{names[-1]}"] if names else []
-    return tuple(sorted({xxhash.xxh3_64_intdigest(n) % PATH_BITS for n in [*names, *last]}))
-
-
-def vectors(found: list[tuple[tuple[str, ...], str, float]], first: int = 0, total: int | None = None) -> np.ndarray:
+def vectors(found: list[tuple[int, str, float]], first: int = 0, total: int | None = None) -> np.ndarray:
     """Of blocks `first` and on of a page that has `total`. All words of a block count."""
     x = np.zeros((len(found), INPUT), np.float32)
     hashes, words = word_hashes([text.encode("utf-8", "surrogatepass") for _, text, _ in found])
     at = np.repeat(np.arange(len(found)), words) * WORD_BITS + (hashes % np.uint64(WORD_BITS)).astype(np.int64)
     x[:, PATH_BITS : PATH_BITS + WORD_BITS] = np.bincount(at, minlength=len(found) * WORD_BITS).reshape(-1, WORD_BITS) / np.maximum(words, 1)[:, None]
-    for i, (path, text, share) in enumerate(found):
-        x[i, list(_path_slots(path))] = 1
+    paths = np.frombuffer(b"".join(slots.to_bytes(PATH_BITS // 8, "little") for slots, _, _ in found), np.uint8).reshape(-1, PATH_BITS // 8)
+    x[:, :PATH_BITS] = np.unpackbits(paths, axis=1, bitorder="little")
+    for i, (_, text, share) in enumerate(found):
         x[i, -EXTRA:] = (min(1.0, np.log1p(len(text)) / 8), share, min(1.0, words[i] / 40), float(text[-1] in ".!?;:"), (first + i) / (total or len(found)), 1.0)
     return x
 
@@ -188,7 +218,7 @@ def probabilities(model: dict[str, np.ndarray], xs: list[np.ndarray], keep: bool
     return (p, x, mask, both, sa, sb) if keep else [p[: len(q), i] for i, q in enumerate(xs)]
 
 
-def page_probabilities(model: dict[str, np.ndarray], found: list[tuple[tuple[str, ...], str, float]], piece: int = PIECE) -> np.ndarray:
+def page_probabilities(model: dict[str, np.ndarray], found: list[tuple[int, str, float]], piece: int = PIECE) -> np.ndarray:
     """probabilities() of one page of any number of blocks: the pieces are read in order, and from the last one back; only states are kept."""
     n, out = len(found), []
     starts = range(0, n, piece)

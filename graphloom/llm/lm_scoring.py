@@ -23,16 +23,16 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm.arrays import find, get_array, kept_for, put_array
-from graphloom.llm.common import fresh_path, input_bytes, mix, quoted, settle, short_batches, slices, utf8, word_hashes
+from graphloom.llm.arrays import find, get_array, put_array
+from graphloom.llm.common import fresh_path, mix, quoted, settle, short_batches, slices, text_bytes, utf8, word_hashes
 
 BEGIN, END = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 #: A task sums its counts whenever it holds so many tokens.
 HELD = 3_000_000
 HEAVY = 50
-#: Bytes of input files to a shard.
-SHARD_BYTES = 10 << 20
+#: Bytes of input to a shard, and the bounds of their number; shards grow beyond.
+SHARD_BYTES, LEAST_SHARDS, MOST_SHARDS = 10 << 20, 8, 20_000
 _LONG_COUNT = 255
 
 
@@ -63,13 +63,12 @@ def _contexts(tokens: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return out
 
 
-def _dealt(shard: np.ndarray, shards: int):
+def _dealt(shard: np.ndarray):
     """(shard, places) for each shard that has some."""
     order = np.argsort(shard, kind="stable")
-    ends = np.cumsum(np.bincount(shard, minlength=shards))
-    for i, (a, b) in enumerate(zip(np.concatenate(([0], ends[:-1])), ends, strict=True)):
-        if b > a:
-            yield i, order[a:b]
+    there, first = np.unique(shard[order], return_index=True)
+    for i, a, b in zip(there.tolist(), first.tolist(), [*first[1:].tolist(), len(order)], strict=True):
+        yield i, order[a:b]
 
 
 def _rows(rows: list[tuple[int, bytes]]):
@@ -97,7 +96,7 @@ def _unigram_blobs(base: DataFrame, shards: int) -> DataFrame:
         def flush():
             w, n = _summed(np.concatenate(held))
             held.clear()
-            return _rows([(i, _pack(w[at], n[at])) for i, at in _dealt((w % np.uint64(shards)).astype(np.int64), shards)])
+            return _rows([(i, _pack(w[at], n[at])) for i, at in _dealt((w % np.uint64(shards)).astype(np.int64))])
 
         for b in slices(batches):
             t, _ = _tokens(b)
@@ -168,7 +167,7 @@ def _pair_blobs(base: DataFrame, shards: int, hot: np.ndarray) -> DataFrame:
             crowded = find(hot, h)[1]
             shard = (np.where(crowded, w, h) % np.uint64(shards)).astype(np.int64)
             out = []
-            for i, at in _dealt(shard, shards):
+            for i, at in _dealt(shard):
                 hs = h[at]
                 start = np.flatnonzero(np.concatenate(([True], hs[1:] != hs[:-1])))
                 runs = np.diff(np.concatenate((start, [len(hs)]))).astype(np.uint32)
@@ -197,9 +196,9 @@ def _pairs_of(data) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.repeat(h, runs), w, np.frombuffer(data, np.uint32, n, 8 + 12 * k + 8 * n)
 
 
-def _sum_pairs(blobs: DataFrame, shards: int, folder: str) -> DataFrame:
+def _sum_pairs(blobs: DataFrame, shards: int, folder: str, hot: np.ndarray) -> DataFrame:
     """Write each shard's pairs and contexts; rows: how many contexts each word follows, by the word's shard, and (shard -1) the numbers
-    of pairs counted 1, 2, 3, 4 times."""
+    of pairs counted 1, 2, 3, 4 times, then for each hot context the total and the numbers of words seen once, twice, more."""
 
     def run(batches):
         for shard, data in _grouped(batches):
@@ -220,12 +219,13 @@ def _sum_pairs(blobs: DataFrame, shards: int, folder: str) -> DataFrame:
             put_array(folder, f"many-{shard}.counts", n[big].astype(np.uint64))
             start = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
             put_array(folder, f"context-{shard}.keys", h[start])
-            put_array(folder, f"context-{shard}.total", np.add.reduceat(n, start).astype(np.uint64))
-            for k, seen in ((1, n == 1), (2, n == 2), (3, n > 2)):
-                put_array(folder, f"context-{shard}.n{k}", np.add.reduceat(seen.astype(np.int64), start).astype(np.uint32))
-            often = np.array([(n == k).sum() for k in (1, 2, 3, 4)], np.int64)
+            sums = [np.add.reduceat(n, start).astype(np.uint64), *(np.add.reduceat(seen.astype(np.int64), start).astype(np.uint32) for seen in (n == 1, n == 2, n > 2))]
+            for name, x in zip(("total", "n1", "n2", "n3"), sums, strict=True):
+                put_array(folder, f"context-{shard}.{name}", x)
+            place, there = find(h[start], hot)
+            often = np.concatenate(([(n == k).sum() for k in (1, 2, 3, 4)], *(np.where(there, x[place].astype(np.int64), 0) for x in sums))).astype(np.int64)
             words, follows = _summed(w)
-            yield _rows([(-1, often.tobytes())] + [(i, _pack(words[at], follows[at])) for i, at in _dealt((words % np.uint64(shards)).astype(np.int64), shards)])
+            yield _rows([(-1, often.tobytes())] + [(i, _pack(words[at], follows[at])) for i, at in _dealt((words % np.uint64(shards)).astype(np.int64))])
 
     return _by_shard(blobs, shards).mapInArrow(run, _BLOBS)
 
@@ -252,27 +252,30 @@ class Model:
     pair_discounts: tuple[float, float, float]
     word_discounts: tuple[float, float, float]
     word_rest: float
-    hot: tuple[int, ...]
+    hot: np.ndarray
+    hot_totals: np.ndarray
 
 
 def train(texts: DataFrame, text_col: str = "text", shards: int | None = None) -> Model:
     spark: SparkSession = texts.sparkSession
     short_batches(spark)
-    shards = shards or max(8, -(-input_bytes(texts) // SHARD_BYTES))
     folder = fresh_path(spark, "ngrams")
     base = texts.select(F.coalesce(F.col(quoted(text_col)), F.lit("")).alias("text"))
+    shards = shards or min(MOST_SHARDS, max(LEAST_SHARDS, -(-text_bytes(base, "text") // SHARD_BYTES)))
     uni = _sum_unigrams(_unigram_blobs(base, shards), shards, folder, "word").collect()  # one row per shard
     hot = sorted(int(np.int64(x).view(np.uint64)) for r in uni for x in r["hot"])
     # HEAVY per shard at most; the begin mark is a context of every text
     hot = np.unique(np.array([*hot, int(BEGIN)], np.uint64))
-    pairs = settle(_sum_pairs(_pair_blobs(base, shards, hot), shards, folder), "follows")
-    often = [np.frombuffer(r["data"], np.int64) for r in pairs.filter("shard < 0").collect()]
+    pairs = settle(_sum_pairs(_pair_blobs(base, shards, hot), shards, folder, hot), "follows")
+    often = np.zeros(4 + 4 * len(hot), np.int64)
+    for r in pairs.filter("shard < 0").toLocalIterator():  # one row per shard
+        often += np.frombuffer(r["data"], np.int64)
     cont = _sum_unigrams(pairs.filter("shard >= 0"), shards, folder, "follows").collect()
     met = [sum(r["often"][i] for r in cont) for i in range(4)]
     follows, words = sum(r["total"] for r in cont), sum(r["words"] for r in cont)
     d = discounts(met)
     rest = (d[0] * met[0] + d[1] * met[1] + d[2] * (words - met[0] - met[1])) / follows if follows else 1.0
-    return Model(folder, shards, sum(r["total"] for r in uni), sum(r["words"] for r in uni), follows, discounts(np.sum(often, 0) if often else (0, 0, 0, 0)), d, rest, tuple(int(x) for x in hot))
+    return Model(folder, shards, sum(r["total"] for r in uni), sum(r["words"] for r in uni), follows, discounts(often[:4]), d, rest, hot, often[4:].reshape(4, -1))
 
 
 # ---------------------------------------------------------------- scoring
@@ -287,7 +290,7 @@ def _look(m: Model, name: str, kind: str, dtype, shard: np.ndarray, keys: np.nda
     """Values of keys in the arrays of their shards; 0 where they lack."""
     kinds = kind.split(",")
     out = [np.zeros(len(keys), np.int64) for _ in kinds]
-    for s, at in _dealt(shard, m.shards):
+    for s, at in _dealt(shard):
         place, there = find(get_array(m.folder, f"{name}-{s}.keys", np.uint64), keys[at])
         if there.any():
             for o, k, t in zip(out, kinds, dtype, strict=True):
@@ -295,19 +298,6 @@ def _look(m: Model, name: str, kind: str, dtype, shard: np.ndarray, keys: np.nda
     return tuple(out)
 
 
-def _hot_totals(m: Model) -> dict[str, np.ndarray]:
-    """Totals of the hot contexts, summed over the shards."""
-    kept = kept_for(m.folder)
-    if "hot" not in kept:
-        hot = np.array(m.hot, np.uint64)
-        sums = np.zeros((4, len(hot)), np.int64)
-        for s in range(m.shards):
-            got = _look(m, "context", "total,n1,n2,n3", (np.uint64, np.uint32, np.uint32, np.uint32), np.full(len(hot), s), hot)
-            sums += np.array(got)
-        kept["hot"] = sums
-    return kept["hot"]
-
-
 def _unique(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.unique(keys, return_inverse=True)
 
@@ -319,11 +309,11 @@ def token_scores(m: Model, h: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np
     (known,) = _look(m, "word", "counts", (np.uint64,), shard, words)
     (follows,) = _look(m, "follows", "counts", (np.uint64,), shard, words)
     low = _less(follows, m.word_discounts) / max(1, m.continuations) + m.word_rest / (m.words + 1)
-    hot = np.array(m.hot, np.uint64)
+    hot = m.hot
     contexts, c_at = _unique(h)
     totals = np.array(_look(m, "context", "total,n1,n2,n3", (np.uint64, np.uint32, np.uint32, np.uint32), (contexts % np.uint64(m.shards)).astype(np.int64), contexts))
     place, is_hot = find(hot, contexts)
-    totals[:, is_hot] = _hot_totals(m)[:, place[is_hot]]
+    totals[:, is_hot] = m.hot_totals[:, place[is_hot]]
     total = np.maximum(totals[0], 1)
     d = m.pair_discounts
     back = np.where(totals[0] > 0, (d[0] * totals[1] + d[1] * totals[2] + d[2] * totals[3]) / total, 1.0)

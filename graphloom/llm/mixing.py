@@ -59,18 +59,26 @@ def _cut(ranked: DataFrame, wanted: DataFrame) -> DataFrame:
     two = F.floor((F.col("t") * BINS - F.floor(F.col("t") * BINS)) * BINS).cast("int")
 
     def crossing(hist: DataFrame, goal: DataFrame) -> DataFrame:
-        """The bin in which the running sum reaches the goal, and what lies before it. A source has BINS bins at most."""
+        """The bin in which the running sum reaches the goal, what is still wanted there, and what the bin holds. A source has BINS bins at most."""
         bins = hist.groupBy("k").agg(F.array_sort(F.collect_list(F.struct("bin", "words"))).alias("bins"))
-        zero = F.struct(F.lit(0).cast("long").alias("sum"), F.lit(BINS).alias("bin"), F.lit(0).cast("long").alias("before"))
-        walk = F.aggregate("bins", zero, lambda a, x: F.struct((a["sum"] + x["words"]).alias("sum"), F.when((a["bin"] == BINS) & (a["sum"] + x["words"] >= F.col("goal")), x["bin"]).otherwise(a["bin"]).alias("bin"), F.when((a["bin"] == BINS) & (a["sum"] + x["words"] < F.col("goal")), a["sum"] + x["words"]).otherwise(a["before"]).alias("before")))
-        return bins.join(goal, "k").select("k", "goal", walk.alias("w")).select("k", F.col("w.bin").alias("at"), (F.col("goal") - F.col("w.before")).alias("goal"))
+        none = F.lit(0).cast("long")
+        start = F.struct(none.alias("sum"), F.lit(BINS).alias("bin"), none.alias("before"), none.alias("holds"))
+
+        def step(a, x):
+            open_, reached = a["bin"] == BINS, a["sum"] + x["words"] >= F.col("goal")
+            here = open_ & reached
+            return F.struct((a["sum"] + x["words"]).alias("sum"), F.when(here, x["bin"]).otherwise(a["bin"]).alias("bin"), F.when(open_ & ~reached, a["sum"] + x["words"]).otherwise(a["before"]).alias("before"), F.when(here, x["words"]).otherwise(a["holds"]).alias("holds"))
+
+        walk = F.aggregate("bins", start, step)
+        return bins.join(goal, "k").select("k", "goal", walk.alias("w")).select("k", F.col("w.bin").alias("at"), (F.col("goal") - F.col("w.before")).alias("goal"), F.col("w.holds").alias("holds"))
 
     first = settle(crossing(ranked.groupBy("k", one.alias("bin")).agg(F.sum("size").alias("words")), wanted), "cut")
-    inside = ranked.join(F.broadcast(first), "k").filter(one == F.col("at"))  # one row per source: bounded by MOST_SOURCES
+    inside = ranked.join(F.broadcast(first.drop("holds")), "k").filter(one == F.col("at"))  # one row per source: bounded by MOST_SOURCES
     second = crossing(inside.groupBy("k", two.alias("bin")).agg(F.sum("size").alias("words")), first.select("k", "goal"))
-    cut = first.select("k", F.col("at").alias("a"), F.col("goal").alias("rest")).join(second.select("k", F.col("at").alias("b")), "k", "left")
-    # no bin crosses: all are wanted
-    whole = (F.col("a").cast("double") + (F.coalesce(F.col("b"), F.lit(0)) + F.when(F.col("rest") > 0, 1).otherwise(0)) / F.lit(float(BINS))) / BINS
+    cut = first.select("k", F.col("at").alias("a")).join(second.select("k", F.col("at").alias("b"), F.col("goal").alias("rest"), "holds"), "k", "left")
+    # the bin that crosses is taken if that ends nearer to the goal; no bin crosses: all are wanted
+    taken = F.when((F.col("rest") > 0) & (2 * F.col("rest") >= F.col("holds")), 1).otherwise(0)
+    whole = (F.col("a").cast("double") + (F.coalesce(F.col("b"), F.lit(0)) + taken) / F.lit(float(BINS))) / BINS
     return cut.select("k", F.when(F.col("a") >= BINS, F.lit(2.0)).otherwise(whole).alias("cut"))
 
 

@@ -90,7 +90,7 @@ def oracle_sql() -> dict[str, str]:
             WITH vectors AS (SELECT vec_id, embedding FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL),
             pairs AS (
                 SELECT q.vec_id AS query_id, n.vec_id AS neighbor_id,
-                       list_sum(list_transform(range(1, 65), lambda i: (coalesce(q.embedding[i] > 0, false) <> coalesce(n.embedding[i] > 0, false))::INT))::INT AS distance
+                       list_sum(list_transform(range(1, 1 + (SELECT max(len(embedding)) FROM vectors)), lambda i: (coalesce(q.embedding[i] > 0, false) <> coalesce(n.embedding[i] > 0, false))::INT))::INT AS distance
                 FROM vectors q JOIN vectors n ON q.vec_id % 50 = 0 AND q.vec_id <> n.vec_id)
             SELECT query_id, rank::INT AS rank, neighbor_id, distance
             FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, neighbor_id) AS rank FROM pairs) WHERE rank <= 10""",

@@ -9,7 +9,7 @@ radius r in segments 0..j, and r - 1 in the others, every code within r * segmen
 its (k + 1)-th verified distance is at most that. Where a radius has more values than the segment has different ones, the segment's own values are
 gone through instead of the radius: the same codes are met.
 
-Defined results: a null vector, and a row with a null id, is neither indexed nor a query; missing and null elements count as 0; a query is not its own neighbour, but
+Defined results: a null vector, and a row with a null id, is neither indexed nor a query; all elements count, and a shorter vector's missing ones and null ones count as 0; a query is not its own neighbour, but
 equal vectors are; ties go to the least id; ids that repeat with one vector count once; fewer than k rows give as many neighbours as there are; further columns are ignored.
 """
 
@@ -116,9 +116,10 @@ class Index:
         return at[keep], d[keep]
 
 
-def search(rows: DataFrame, queries: Column, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", dims: int = 64, block: int = BLOCK) -> DataFrame:
-    """query_id, rank, neighbor_id, distance for every row for which `queries` is true."""
+def search(rows: DataFrame, queries: Column, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", block: int = BLOCK) -> DataFrame:
+    """query_id, rank, neighbor_id, distance for every row for which `queries` is true. Codes are as long as the longest vector."""
     short_batches(rows.sparkSession, 10_000)
+    dims = max(1, rows.filter(F.col(id_col).isNotNull()).agg(F.max(F.size(vector_col))).first()[0] or 1)
     words = -(-dims // 64)
     c = [f"c{w}" for w in range(words)]
     coded = rows.filter(F.col(id_col).isNotNull() & F.col(vector_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.coalesce(queries, F.lit(False)).alias("is_query"), *(x.alias(n) for x, n in zip(code_words(F.col(vector_col), dims), c, strict=True)))

@@ -124,6 +124,22 @@ def test_search_equals_all_pairs(spark):
         assert [(d, n) for _, d, n in sorted(got[q])] == want
 
 
+def test_topk_takes_all_elements(spark):
+    import random
+
+    r = random.Random(4)
+    rows = [(i, [r.gauss(0, 1) for _ in range(100 if i % 3 else 97)]) for i in range(151)]
+    df = spark.createDataFrame([(i, v, 1) for i, v in rows], "vec_id long, embedding array<float>, c0 int")
+    code = {i: [x > 0 for x in v] + [False] * (100 - len(v)) for i, v in rows}
+    got = {}
+    for x in topk_search.search(df, F.col("vec_id") % 50 == 0, k=7, block=64).collect():
+        got.setdefault(x["query_id"], []).append((x["rank"], x["distance"], x["neighbor_id"]))
+    assert sorted(got) == [0, 50, 100, 150]
+    for q, found in got.items():
+        assert [(d, n) for _, d, n in sorted(found)] == sorted((sum(a != b for a, b in zip(code[q], c, strict=True)), i) for i, c in code.items() if i != q)[:7]
+    assert topk_search.search(df.limit(0), F.col("vec_id") % 50 == 0).count() == 0
+
+
 def test_url_rules(spark):
     urls = ["http://A.Example.org/es/1", "https://x.org", "https://x.org/", "http://example.org/en/12?q", "https://b.com/fr/1#x", "https://b.com/de/", None, "no scheme", "http://badorg/"]
     got = {r["id"]: r for r in url_filter.judge(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")).collect()}
@@ -205,7 +221,7 @@ def test_extraction_on_generated_pages_and_odd_input(spark):
 def test_blocks_are_judged_whole_and_broken_markup_is_read():
     model = html_extract.trained()
     head, tail = "Accept all cookies. " * 30, "Read more about the harbour and the market, where the letter was found. " * 40
-    a, b = (html_extract.vectors([(("p", ""), t, 0.0)])[0] for t in (head, head + tail))
+    a, b = (html_extract.vectors([(0, t, 0.0)])[0] for t in (head, head + tail))
     words = slice(html_extract.PATH_BITS, html_extract.PATH_BITS + html_extract.WORD_BITS)
     assert a[words].sum() == pytest.approx(1) and b[words].sum() == pytest.approx(1) and abs(a[words] - b[words]).sum() > 0.5
     page = "<article><p class=\"x>One.</p><p title='it's>Two words.</p><p>Three.</article>" + "<" * 2000
@@ -215,6 +231,24 @@ def test_blocks_are_judged_whole_and_broken_markup_is_read():
     assert html_extract.texts_of(model, [""]) == [""] and html_extract.vectors([]).shape == (0, html_extract.INPUT)
 
 
+def test_deep_pages_take_time_in_proportion():
+    import time
+
+    model = html_extract.trained()
+    flat, deep = ("".join(f"{tag}a{i}" for i in range(20_000)) for tag in ("<hr>", "<div class=x>"))
+    took = []
+    for page in (flat, deep, deep + "</div>" * 20_000, "<p>" * 9 + "</b></i></div>" * 20_000, "<a" * 200_000, "<!" * 200_000, "> <a " * 3 + "<a" * 100_000):
+        began = time.time()
+        html_extract.texts_of(model, [page])
+        took.append(time.time() - began)
+    assert max(took) < 4 * took[0] + 5
+    big = "<div>a" * 170_000
+    found = html_extract.blocks(big)
+    assert len(found) == 170_000 and found[-1][0] == found[5][0]
+    kept = html_extract.blocks("<div id=a><p>x<span>y</span></div>z<!-- <p>no")
+    assert [t for _, t, _ in kept] == ["xy", "z"] and kept[1][0] == 0 and kept[0][0]
+
+
 def test_other_layouts_than_the_training_pages():
     model = html_extract.trained()
     prose = ["The council met on Monday to hear the plan for the new bridge.", "Nobody had expected so many people, and the hall was full.", "A vote will follow in spring."]

@@ -54,6 +54,7 @@ def test_scores_equal_a_dictionary_version(spark):
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 1, F.lit(False))
     out = [(i, t) for i, t in rows if i is not None and zlib.crc32(str(i).encode()) % 5 == 1]
     train = [t for i, t in rows if (i, t) not in out]
+    assert 1 <= lm_scoring.train(docs.filter(~held)).shards <= lm_scoring.MOST_SHARDS  # a table in memory doesn't know its size
     model = lm_scoring.train(docs.filter(~held), shards=3)
     got = lm_scoring.score(docs, model, held_out=held).collect()
     assert len(got) == len(rows)
@@ -107,5 +108,5 @@ def test_pareto_order_takes_the_least_ranks(spark):
             rank = lambda x: (x["u"] / (1 - x["u"])) / (p / (1 - p))  # noqa: B023, E731
             more = [rank(x) for x in mine if x["copies"] > sure]
             assert max(more) <= min(rank(x) for x in mine if x["copies"] == sure)
-        assert abs(sum(x["taken"] for x in mine) - mine[0]["target"]) <= 60
+        assert abs(sum(x["taken"] for x in mine) - mine[0]["target"]) <= 31  # the crossing document goes to the nearer side
     assert mixing.mix(docs.limit(0), (3, 1, 2)).count() == 0
