@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
+from graphloom.functions.scalars import category
 from graphloom.operators.storage import settle
 
 #: What a category multiplies a rank by.
@@ -25,23 +26,27 @@ def weighted(edges: DataFrame) -> DataFrame:
 
 def pagerank(nodes: DataFrame, edges: DataFrame, damping: float = 0.85, most: int = 100, tolerance: float = 1e-6, fixed: int | None = None) -> DataFrame:
     """id, score. Jacobi steps from 1/N; the mass of nodes without outgoing weight is spread evenly; stops when the summed change is
-    under the tolerance, or after `fixed` steps. Each step is written, which cuts its lineage and gives the change for free."""
+    under the tolerance, or after `fixed` steps. Each step is one job that writes its ranks, which cuts lineage; the change and the mass to spread are observed while it writes."""
     e = settle(weighted(edges))
-    ids = settle(nodes.select("id").union(e.select(F.col("source").alias("id"))).union(e.select(F.col("target").alias("id"))).distinct())
-    n = ids.count()
-    if not n:
-        return ids.withColumn("score", F.lit(0.0))
     out = e.groupBy("source").agg(F.sum("weight").alias("total")).filter("total > 0")
     step = settle(e.join(out, "source").select("source", "target", (F.col("weight") / F.col("total")).alias("p")))
-    rank = settle(ids.join(out.select(F.col("source").alias("id"), F.lit(False).alias("d")), "id", "left").select("id", F.coalesce("d", F.lit(True)).alias("dangling"), F.lit(1.0 / n).alias("score"), F.lit(0.0).alias("change")))
+    ids = nodes.select("id").union(e.select(F.explode(F.array("source", "target")))).distinct()
+    rank = settle(ids.join(out.select(F.col("source").alias("id"), F.lit(False).alias("d")), "id", "left").select("id", F.coalesce("d", F.lit(True)).alias("dangling")))
+    n, dangling = rank.agg(F.count(F.lit(1)), F.count_if("dangling")).first()
+    if not n:
+        return rank.select("id", F.lit(0.0).alias("score"))
+    loose = dangling / n
+    rank = rank.select("id", "dangling", F.lit(1.0 / n).alias("score"))
     for _ in range(fixed or most):
-        # what dangles is one number, joined within the step's own job; shares and old scores meet in one aggregate
-        loose = rank.agg(F.coalesce(F.sum(F.when(F.col("dangling"), F.col("score"))), F.lit(0.0)).alias("loose"))
+        # shares and old scores meet in one aggregate
         shares = step.join(rank.select("id", "score"), F.col("source") == F.col("id")).select(F.col("target").alias("id"), (F.col("p") * F.col("score")).alias("got"), F.lit(None).cast("double").alias("old"), F.lit(None).cast("boolean").alias("dangling"))
         both = shares.union(rank.select("id", F.lit(0.0), "score", "dangling")).groupBy("id").agg(F.sum("got").alias("got"), F.max("old").alias("old"), F.max("dangling").alias("dangling"))
-        new = F.lit((1 - damping) / n) + damping * F.col("loose") / n + damping * F.col("got")
-        rank = settle(both.crossJoin(F.broadcast(loose)).select("id", "dangling", new.alias("score"), F.abs(new - F.col("old")).alias("change")))  # one row
-        if not fixed and rank.agg(F.sum("change")).first()[0] < tolerance:
+        new = both.select("id", "dangling", (F.lit((1 - damping) / n + damping * loose / n) + damping * F.col("got")).alias("score"), "old")
+        seen = Observation()
+        watched = new.observe(seen, F.sum(F.abs(F.col("score") - F.col("old"))).alias("change"), F.coalesce(F.sum(F.when(F.col("dangling"), F.col("score"))), F.lit(0.0)).alias("loose"))
+        rank = settle(watched).drop("old")
+        loose = seen.get["loose"]
+        if not fixed and seen.get["change"] < tolerance:
             break
     return rank.select("id", "score")
 
@@ -75,36 +80,114 @@ def edge_bundles(edges: DataFrame, node: str, direction: str = "out", types: tup
     return got.agg(F.sort_array(F.collect_set(F.upper("type"))).alias("types"), F.sum(F.greatest(F.coalesce(F.expr("try_cast(weight AS DOUBLE)"), F.lit(0.0)), F.lit(0.0))).alias("weight"))
 
 
-def missing_starts(nodes: DataFrame, start: list[str]) -> DataFrame:
-    """start, error: the starts of a path search that the graph lacks."""
-    asked = nodes.sparkSession.createDataFrame([(x,) for x in start], "start string")
-    return asked.join(nodes.select(F.col("id").alias("start")), "start", "left_anti").select("start", F.concat(F.lit("not in the graph: "), "start").alias("error"))
+#: Paths of a level that are walked at once.
+LEVEL = 200_000
+
 
+def _walks(pairs: DataFrame, goals: DataFrame, most: int) -> DataFrame:
+    """node, left: from the node a walk of so many steps leads to a goal."""
+    front = settle(goals.select("node", F.lit(0).alias("left")))
+    every = front
+    for i in range(1, most + 1):
+        front = settle(pairs.join(front, pairs["target"] == front["node"]).select(pairs["source"].alias("node"), F.lit(i).alias("left")).distinct())
+        if front.isEmpty():
+            break
+        every = every.unionByName(front)
+    return every
 
-def find_paths(edges: DataFrame, start: list[str], end: list[str], types: tuple[str, ...] = PATH_TYPES, max_depth: int = 8, max_paths: int = 25) -> DataFrame:
-    """start, end, depth, path, types: simple outgoing paths, at most max_paths per start, shortest first, then by path. A path goes on past a target.
-    Only nodes that reach a target within the depth are walked."""
+
+def find_paths(edges: DataFrame, start: list[str], end: list[str], types: tuple[str, ...] = PATH_TYPES, max_depth: int = 8, max_paths: int = 25, nodes: DataFrame | None = None) -> DataFrame:
+    """start, end, depth, path, types, error: simple outgoing paths, at most max_paths per start, shortest first, then by path and types. A path goes on past a target; a start that is a target has a path of length 0;
+    parallel edges of several types give a path each. With `nodes`, a start that the graph lacks has one row with an error.
+
+    Paths grow level by level, only where what is left of the depth can still reach a target, and a start that has max_paths shorter ones is done. When the next level would exceed LEVEL paths,
+    the lengths that are left are taken one by one: prefixes in order of path, a piece of them at a time to the full length, until the starts have their paths or no prefix is left. So no level is larger than LEVEL, or
+    one node's edges, and the paths are the same."""
+    start, end = list(dict.fromkeys(x.strip() for x in start if x.strip())), list(dict.fromkeys(x.strip() for x in end if x.strip()))
+    if not start or not end:
+        raise ValueError("starts and ends are needed")
     if not 1 <= max_depth <= 20 or not 1 <= max_paths <= 200:
         raise ValueError("max_depth is 1 to 20, max_paths 1 to 200")
     spark = edges.sparkSession
-    e = of_types(edges, types or PATH_TYPES).select("source", "target", F.upper("type").alias("type")).distinct()
-    goals = spark.createDataFrame([(x,) for x in end], "node string")
-    reach, front = goals, goals
-    for _ in range(max_depth):
-        front = settle(e.join(front, e["target"] == front["node"]).select(F.col("source").alias("node")).distinct().join(reach, "node", "left_anti"))
-        if front.isEmpty():
+    typed = settle(of_types(edges, types or PATH_TYPES).select("source", "target", F.upper("type").alias("type")).distinct())
+    pairs, goals = typed.select("source", "target").distinct(), spark.createDataFrame([(x,) for x in end], "node string")
+    first = spark.createDataFrame([(x, x, [x]) for x in start], "start string, at string, path array<string>")
+    errors = None
+    if nodes is not None:
+        there = nodes.select(F.col("id").alias("start"))
+        errors = first.join(there, "start", "left_anti").select("start", F.lit("Node does not exist.").alias("error"))
+        first = first.join(there, "start", "left_semi").select(first.columns)
+    walks = settle(_walks(pairs, goals, max_depth))
+    near = walks.groupBy("node").agg(F.min("left").alias("least"))
+    reaching = settle(pairs.join(near, pairs["target"] == near["node"]).select("source", "target", "least"))
+    found, have = [], dict.fromkeys(start, 0)
+
+    def keep(level: DataFrame) -> list[str]:
+        """Add the paths that end here at a target; the starts that still want some."""
+        hits = settle(level.join(F.broadcast(goals), F.col("at") == F.col("node"), "left_semi").withColumn("_n", _order("path")).filter(F.col("_n") <= max_paths).drop("_n"))
+        found.append(hits)
+        for s, n in hits.groupBy("start").count().collect():  # starts that were asked for
+            have[s] += n
+        return [s for s in start if have[s] < max_paths]
+
+    def grown(level: DataFrame, by: DataFrame) -> DataFrame:
+        return level.join(by, level["at"] == by["source"]).filter(~F.array_contains("path", F.col("target"))).select("start", F.col("target").alias("at"), F.array_append("path", F.col("target")).alias("path"))
+
+    level, wide = settle(first), None
+    for depth in range(max_depth + 1):
+        open_ = keep(level)
+        if depth == max_depth or not open_:
+            break
+        level = level.filter(F.col("start").isin(open_))
+        by = reaching.filter(F.col("least") <= max_depth - depth - 1).select("source", "target")
+        if (level.join(by, level["at"] == by["source"]).limit(LEVEL + 1).count()) > LEVEL:
+            wide = depth + 1
             break
-        reach = settle(reach.union(front))
-    e = settle(e.join(reach, e["target"] == reach["node"], "left_semi").join(reach, e["source"] == reach["node"], "left_semi"))
-    level = spark.createDataFrame([(x, x, [x], []) for x in start], "start string, at string, path array<string>, types array<string>")
-    found = level.join(F.broadcast(goals), F.col("at") == F.col("node"), "left_semi")
-    for _ in range(max_depth):
-        level = settle(level.join(e, level["at"] == e["source"]).filter(~F.array_contains("path", F.col("target"))).select("start", F.col("target").alias("at"), F.array_append("path", F.col("target")).alias("path"), F.array_append("types", F.col("type")).alias("types")))
+        level = settle(grown(level, by))
         if level.isEmpty():
             break
-        found = found.union(level.join(F.broadcast(goals), F.col("at") == F.col("node"), "left_semi"))
+    if wide is not None:
+        degree = pairs.groupBy("source").count().agg(F.max("count")).first()[0]
+        piece = max(1, LEVEL // (degree * len(start)))
+        for length in range(wide, max_depth + 1):
+            waiting = [(0, first)]
+            while waiting and (open_ := [s for s in start if have[s] < max_paths]):
+                at, rows = waiting.pop()
+                rows = rows.filter(F.col("start").isin(open_))
+                if at == length:
+                    keep(rows)
+                    continue
+                placed = rows.withColumn("_n", _order("path"))
+                rest = settle(placed.filter(F.col("_n") > piece).drop("_n"))
+                if not rest.isEmpty():
+                    waiting.append((at, rest))
+                goal = walks.filter(F.col("left") == length - at - 1).select("node")
+                more = settle(grown(placed.filter(F.col("_n") <= piece).drop("_n"), pairs.join(goal, pairs["target"] == goal["node"], "left_semi")))
+                if not more.isEmpty():
+                    waiting.append((at + 1, more))
+    every = found[0]
+    for f in found[1:]:
+        every = every.unionByName(f)
+    out = _with_types(every, typed, max_paths)
     place = F.row_number().over(Window.partitionBy("start").orderBy(F.size("path"), F.array_join("path", "\0"), F.array_join("types", "\0")))
-    return found.withColumn("n", place).filter(F.col("n") <= max_paths).select("start", F.col("at").alias("end"), (F.size("path") - 1).alias("depth"), "path", "types")
+    out = out.withColumn("n", place).filter(F.col("n") <= max_paths).select("start", F.col("at").alias("end"), (F.size("path") - 1).alias("depth"), "path", "types", F.lit(None).cast("string").alias("error"))
+    return out if errors is None else out.unionByName(errors, allowMissingColumns=True)
+
+
+def _order(path: str) -> Column:
+    """Place among a start's paths, which are of one length."""
+    return F.row_number().over(Window.partitionBy("start").orderBy(F.array_join(path, "\0")))
+
+
+def _with_types(paths: DataFrame, typed: DataFrame, most: int) -> DataFrame:
+    """Each path as often as its hops' types combine, the first `most` combinations in order."""
+    hops = paths.select("start", "at", "path", F.posexplode(F.sequence(F.lit(0), F.size("path") - 2)).alias("_", "i")).filter("size(path) > 1").select("start", "at", "path", "i", F.get("path", F.col("i")).alias("source"), F.get("path", F.col("i") + 1).alias("target"))
+    kinds = typed.groupBy("source", "target").agg(F.sort_array(F.collect_set("type")).alias("kinds"))
+    listed = hops.join(kinds, ["source", "target"]).groupBy("start", "at", "path").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "kinds"))), lambda x: x["kinds"]).alias("hops"))
+    begin = F.array(F.array().cast("array<string>"))
+    ways = F.aggregate("hops", begin, lambda acc, ks: F.slice(F.flatten(F.transform(acc, lambda a: F.transform(ks, lambda k: F.array_append(a, k)))), 1, most))
+    none = paths.filter("size(path) = 1").select("start", "at", "path", F.array().cast("array<string>").alias("types"))
+    return none.unionByName(listed.select("start", "at", "path", F.explode(ways).alias("types")))
 
 
 def expand(edges: DataFrame, anchor: str, max_depth: int = 2, max_nodes: int = 30) -> tuple[DataFrame, DataFrame]:
@@ -175,23 +258,39 @@ def trace(edges: DataFrame, start: str, max_depth: int = 5, most: int = 1_000_00
     return spark.createDataFrame(list(enumerate(order)), "position long, id string")
 
 
+def _folders(path: Column) -> Column:
+    """The folders of a path; what leads it of dots and slashes doesn't count."""
+    parts = F.filter(F.split(F.regexp_replace(F.translate(path, "\\", "/"), "^[./]+", ""), "/"), lambda x: (x != "") & (x != "."))
+    return F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(0)))
+
+
 def common_prefix(nodes: DataFrame) -> int:
     """How many leading folders all paths share."""
-    parts = nodes.filter(F.col("file_path").isNotNull()).select(F.slice(F.split("file_path", "/"), 1, F.greatest(F.size(F.split("file_path", "/")) - 1, F.lit(0))).alias("p"))
-    total = parts.count()
-    got = parts.select(F.posexplode("p")).groupBy("pos").agg(F.count(F.lit(1)).alias("n"), F.min("col").alias("lo"), F.max("col").alias("hi")).filter((F.col("n") == total) & (F.col("lo") == F.col("hi"))).select("pos").orderBy("pos").collect()  # at most as many as one path has folders
-    n = 0
-    while n < len(got) and got[n]["pos"] == n:
-        n += 1
-    return n
+    parts = nodes.filter(F.coalesce("file_path", F.lit("")) != "").select(_folders(F.col("file_path")).alias("p"))
+    least = parts.agg(F.min(F.size("p")), F.count(F.lit(1))).first()
+    if not least[1] or not least[0]:
+        return 0
+    places = parts.select(F.posexplode(F.slice("p", 1, least[0])).alias("pos", "name")).groupBy("pos").agg(F.min("name") == F.max("name"))
+    same = {r[0]: r[1] for r in places.collect()}  # at most as many as the shortest path has folders
+    return next((i for i in range(least[0]) if not same[i]), least[0])
 
 
 def directories(scored: DataFrame, depth: int = 1, limit: int = 20, per_dir: int = 5, skip: int = 0) -> DataFrame:
-    """directory, avg_score, total_score, n, top: folders at a depth, best mean first, with their best nodes."""
+    """directory, avg_score, total_score, n, kinds, categories, top: folders at a depth below `skip` folders that all share, best mean first, with how many nodes are of each kind and category (unknown ones
+    left out) and their best nodes."""
     parts = F.split("file_path", "/")
     d = F.when(F.size(parts) > skip + depth, F.array_join(F.slice(parts, skip + 1, depth), "/"))
     placed = scored.withColumn("directory", d).filter(F.col("directory").isNotNull())
     stats = placed.groupBy("directory").agg(F.round(F.avg("score"), 9).alias("avg_score"), F.round(F.sum("score"), 9).alias("total_score"), F.count(F.lit(1)).alias("n"))
     place = F.row_number().over(Window.partitionBy("directory").orderBy(F.desc(F.round("score", 9)), "id"))
     best = placed.withColumn("r", place).filter(F.col("r") <= per_dir).groupBy("directory").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("r", "id"))), lambda x: x["id"]), ",").alias("top"))
-    return stats.join(best, "directory").orderBy(F.desc("avg_score"), "directory").limit(limit)
+    out = stats.join(best, "directory")
+    for name, column in (("kinds", F.nullif("kind", F.lit(""))), ("categories", category(F.col("category"), F.col("kind")))):
+        each = placed.withColumn("_v", column).filter("_v is not null and _v <> 'unknown'").groupBy("directory", "_v").agg(F.count(F.lit(1)).alias("_n"))
+        out = out.join(each.groupBy("directory").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("_v", "_n")))).alias(name)), "directory", "left")  # as many as there are kinds
+    return out.orderBy(F.desc("avg_score"), "directory").limit(limit)
+
+
+def directory_components(ranked: DataFrame, depth: int = 1, limit: int = 20, per_dir: int = 5) -> DataFrame:
+    """directories() of ranked nodes, below the folders that all their paths share."""
+    return directories(ranked, depth, limit, per_dir, common_prefix(ranked))

@@ -13,7 +13,6 @@ from graphloom.plans import adapter as A
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
-_RANK_STEPS = 10
 
 
 def query(sql: str | None = None):
@@ -26,23 +25,31 @@ def query(sql: str | None = None):
     return add
 
 
-_RANK = f"""WITH calls AS (SELECT source, target, sum(greatest(weight, 0)) AS w FROM edges WHERE type = 'CALLS' GROUP BY ALL),
+_RANK = """WITH calls AS (SELECT source, target, sum(greatest(weight, 0)) AS w FROM edges WHERE type = 'CALLS' GROUP BY ALL),
 ids AS (SELECT id FROM nodes UNION SELECT source FROM calls UNION SELECT target FROM calls), n AS (SELECT count(*)::DOUBLE AS n FROM ids),
 outs AS (SELECT source, sum(w) AS t FROM calls GROUP BY source), step AS (SELECT c.source, c.target, w / t AS p FROM calls c JOIN outs o ON c.source = o.source),
 dang AS (SELECT id FROM ids WHERE id NOT IN (SELECT source FROM outs)),
-pr AS (SELECT 0 AS k, id, 1.0 / (SELECT n FROM n) AS score FROM ids
-  UNION ALL SELECT k, i.id, 0.15 / (SELECT n FROM n) + 0.85 * (coalesce(g.got, 0) + d.loose / (SELECT n FROM n)) FROM ids i
-    CROSS JOIN (SELECT any_value(k) + 1 AS k, coalesce(sum(score) FILTER (WHERE id IN (SELECT id FROM dang)), 0) AS loose FROM pr WHERE k < {_RANK_STEPS}) d
-    LEFT JOIN (SELECT s.target, sum(s.p * pr.score) AS got FROM step s JOIN pr ON pr.id = s.source WHERE pr.k < {_RANK_STEPS} GROUP BY s.target) g ON g.target = i.id WHERE d.k IS NOT NULL),
+pr AS (SELECT 0 AS k, id, 1.0 / (SELECT n FROM n) AS score, NULL::DOUBLE AS old FROM ids
+  UNION ALL SELECT d.k + 1, i.id, 0.15 / (SELECT n FROM n) + 0.85 * (coalesce(g.got, 0) + d.loose / (SELECT n FROM n)), o.score FROM ids i
+    CROSS JOIN (SELECT any_value(k) AS k, coalesce(sum(score) FILTER (WHERE id IN (SELECT id FROM dang)), 0) AS loose, sum(abs(score - old)) AS change FROM pr) d
+    JOIN pr o ON o.id = i.id LEFT JOIN (SELECT s.target, sum(s.p * pr.score) AS got FROM step s JOIN pr ON pr.id = s.source GROUP BY s.target) g ON g.target = i.id WHERE d.k < 100 AND (d.change IS NULL OR d.change >= 1e-6)),
 mult AS (SELECT * FROM (VALUES ('service', 4.0), ('integration', 0.5), ('model', 2.2), ('infrastructure', 0.4), ('utility', 0.35), ('external', 0.0)) m(c, m)),
-raw AS (SELECT pr.id, pr.score * m.m AS s, nodes.label, nodes.kind, nodes.category, nodes.file_path FROM pr LEFT JOIN nodes USING (id) JOIN mult m ON m.c = coalesce(nodes.category, 'external') WHERE pr.k = {_RANK_STEPS}),
+raw AS (SELECT pr.id, pr.score * m.m AS s, nodes.label, nodes.kind, nodes.category, nodes.file_path FROM pr LEFT JOIN nodes USING (id) JOIN mult m ON m.c = coalesce(nodes.category, 'external') WHERE pr.k = (SELECT max(k) FROM pr)),
 ranked AS (SELECT id, s / (SELECT sum(s) FROM raw WHERE s > 0) AS score, label, kind, category, file_path FROM raw WHERE s > 0)
 """
 
+_ranks: dict[tuple, DataFrame] = {}
+
 
 def _ranked(spark, d) -> DataFrame:
-    n, e = storage.settle(A.nodes(spark, d)), storage.settle(A.edges(spark, d))
-    return graph.adjusted(graph.pagerank(n, e, fixed=_RANK_STEPS), n)
+    """The ranked nodes of the trade graph, to convergence; settled once for a session and a state of the tables."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(d)
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(path)
+    key = (spark.sparkContext.applicationId, d, tuple(sorted((f.getPath().getName(), f.getLen(), f.getModificationTime()) for f in files)))
+    if key not in _ranks:
+        n, e = storage.settle(A.nodes(spark, d)), storage.settle(A.edges(spark, d))
+        _ranks[key] = storage.settle(graph.adjusted(graph.pagerank(n, e), n))
+    return _ranks[key]
 
 
 @query(_RANK + "SELECT id, round(score, 9) AS score, label, kind, category, file_path FROM ranked ORDER BY ranked.score DESC, id LIMIT 10")
@@ -51,11 +58,28 @@ def rank_nodes(spark, d):
     return top.select("id", F.round("score", 9).alias("score"), "label", "kind", "category", "file_path")
 
 
-@query(_RANK + """, placed AS (SELECT *, split_part(file_path, '/', 1) AS directory FROM ranked WHERE len(string_split(file_path, '/')) > 1),
-best AS (SELECT directory, string_agg(id, ',' ORDER BY r) AS top FROM (SELECT *, row_number() OVER (PARTITION BY directory ORDER BY round(score, 9) DESC, id) AS r FROM placed) WHERE r <= 5 GROUP BY directory)
-SELECT directory, round(avg(score), 9) AS avg_score, round(sum(score), 9) AS total_score, count(*) AS n, any_value(top) AS top FROM placed JOIN best USING (directory) GROUP BY directory ORDER BY avg_score DESC, directory LIMIT 20""")
+_DIRECTORIES = """, placed AS (SELECT *, split_part(file_path, '/', 1) AS directory FROM ranked WHERE len(string_split(file_path, '/')) > 1),
+best AS (SELECT directory, string_agg(id, ',' ORDER BY r) AS top FROM (SELECT *, row_number() OVER (PARTITION BY directory ORDER BY round(score, 9) DESC, id) AS r FROM placed) WHERE r <= 5 GROUP BY directory),
+kinds AS (SELECT directory, string_agg(kind || '=' || n, ',' ORDER BY kind) AS kinds FROM (SELECT directory, kind, count(*) AS n FROM placed GROUP BY ALL) GROUP BY directory),
+categories AS (SELECT directory, string_agg(category || '=' || n, ',' ORDER BY category) AS categories FROM (SELECT directory, category, count(*) AS n FROM placed GROUP BY ALL) GROUP BY directory)
+SELECT directory, round(avg(score), 9) AS avg_score, round(sum(score), 9) AS total_score, count(*) AS n, any_value(kinds) AS kinds, any_value(categories) AS categories, any_value(top) AS top
+FROM placed JOIN best USING (directory) JOIN kinds USING (directory) JOIN categories USING (directory) GROUP BY directory ORDER BY avg_score DESC, directory LIMIT 20"""
+
+
+def _directories(got: DataFrame) -> DataFrame:
+    text = lambda c: F.array_join(F.transform(F.map_entries(c), lambda x: F.concat_ws("=", x["key"], x["value"])), ",").alias(c)
+    return got.select("directory", "avg_score", "total_score", "n", text("kinds"), text("categories"), "top")
+
+
+@query(_RANK + _DIRECTORIES)
 def directory_components(spark, d):
-    return graph.directories(_ranked(spark, d), depth=1)
+    return _directories(graph.directory_components(_ranked(spark, d)))
+
+
+@query(_RANK + _DIRECTORIES)
+def nested_directory_components(spark, d):
+    """The same graph two folders deeper: what all paths share isn't a directory."""
+    return _directories(graph.directory_components(_ranked(spark, d).withColumn("file_path", F.concat(F.lit("src/app/"), "file_path"))))
 
 
 @query("WITH x AS (SELECT 1) SELECT source, target, sum(greatest(weight, 0)) AS weight FROM edges WHERE type = 'CALLS' GROUP BY source, target")
@@ -92,10 +116,10 @@ def edge_bundles(spark, d):
 @query("""WITH walk AS (SELECT 'nation::1' AS start, 'nation::1' AS "at", ['nation::1'] AS path, 0 AS depth
   UNION ALL SELECT w.start, e.target, list_append(w.path, e.target), w.depth + 1 FROM walk w JOIN edges e ON e.source = w."at" AND e.type IN ('CONTAINS', 'CALLS', 'USES') WHERE w.depth < 3 AND NOT list_contains(w.path, e.target)),
 found AS (SELECT start, "at" AS "end", depth, array_to_string(path, '>') AS path FROM walk WHERE "at" = 'supplier::1')
-SELECT start, "end", depth, path FROM (SELECT *, row_number() OVER (PARTITION BY start ORDER BY depth, path) AS r FROM found) WHERE r <= 200""")
+SELECT start, "end", depth, path, NULL AS error FROM (SELECT *, row_number() OVER (PARTITION BY start ORDER BY depth, path) AS r FROM found) WHERE r <= 200 UNION ALL SELECT 'none::1', NULL, NULL, NULL, 'Node does not exist.'""")
 def find_paths(spark, d):
-    got = graph.find_paths(A.edges(spark, d), ["nation::1"], ["supplier::1"], ("CONTAINS", "CALLS", "USES"), max_depth=3, max_paths=200)
-    return got.select("start", "end", "depth", F.array_join("path", ">").alias("path"))
+    got = graph.find_paths(A.edges(spark, d), ["nation::1", "none::1"], ["supplier::1"], ("CONTAINS", "CALLS", "USES"), max_depth=3, max_paths=200, nodes=A.nodes(spark, d))
+    return got.select("start", "end", "depth", F.array_join("path", ">").alias("path"), "error")
 
 
 @query("""WITH one AS (SELECT CASE WHEN source = 'region::0' THEN target ELSE source END AS id FROM edges WHERE source = 'region::0' OR target = 'region::0'),
