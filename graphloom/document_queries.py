@@ -324,3 +324,24 @@ def cached_responses(spark, d):
     key = S.breadcrumb_key(F.array(F.when(F.col("user_id") % 3 == 0, "a").otherwise("b"), F.lit("c")))
     cache = e.select(F.col("event_type").alias("component_id"), key.alias("key"), F.col("ts").alias("saved"), F.col("event_id").alias("body"))
     return catalog.swept(catalog.cached(cache, "view", F.array(F.lit("a"), F.lit("c")), now), now).select("body")
+
+
+# ---------------------------------------------------------------- layered layout
+
+
+@query("""WITH x AS (SELECT 1), l AS (SELECT o_custkey AS g, o_orderkey AS n, lead(o_orderkey) OVER (PARTITION BY o_custkey, o_orderpriority ORDER BY o_orderkey) AS p, lead(o_orderkey) OVER (PARTITION BY o_custkey, o_orderpriority, o_orderstatus ORDER BY o_orderkey) AS s FROM orders),
+e AS (SELECT g, n, p AS m FROM l WHERE p IS NOT NULL UNION SELECT g, n, s FROM l WHERE s IS NOT NULL),
+walk AS (SELECT g, n, 0 AS layer FROM l UNION SELECT w.g, e.m, w.layer + 1 FROM walk w JOIN e ON e.g = w.g AND e.n = w.n)
+SELECT g AS graph, n AS node, max(layer)::INT AS layer, (60 + max(layer) * 950)::DOUBLE AS x FROM walk GROUP BY g, n""")
+def layered_layout(spark, d):
+    """A graph per customer: each order leads to the next of its priority and to the next of its priority and status."""
+    from pyspark.sql import Window
+
+    from graphloom.operators import layered
+
+    o = A.table(spark, d, "orders")
+    after = lambda *by: F.lead("o_orderkey").over(Window.partitionBy("o_custkey", *by).orderBy("o_orderkey"))
+    both = o.select(F.col("o_custkey").alias("graph"), F.col("o_orderkey").alias("source"), F.array(after("o_orderpriority"), after("o_orderpriority", "o_orderstatus")).alias("to"))
+    nodes = o.select(F.col("o_custkey").alias("graph"), F.col("o_orderkey").alias("node"), F.col("o_orderdate").alias("position"), F.col("o_orderpriority").alias("description"))
+    got = layered.layout(nodes, both.select("graph", "source", F.explode("to").alias("target")).filter("target is not null"))
+    return got.select("graph", "node", "layer", "x")
