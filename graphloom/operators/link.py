@@ -152,28 +152,37 @@ def import_aliases(i: str) -> Column:
     return F.array_distinct(F.filter(F.transform(F.array(*every), compact), lambda x: x.isNotNull() & (x != "")))
 
 
+def first_seen(rows: DataFrame, keys: list[str], value: str, position: str) -> DataFrame:
+    """keys and the list of their different values, each where it is first seen. Null and empty values are left out; a group without any has an empty list. Repeats are dropped before the groups are gathered."""
+    once = rows.groupBy(*keys, value).agg(F.min(position).alias(position))
+    there = F.when(F.coalesce(F.col(value), F.lit("")) != "", F.struct(position, value))
+    return once.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(there)), lambda x: x[value]).alias(value))
+
+
 def build(profiles: DataFrame, strict: bool = False) -> tuple[DataFrame, DataFrame]:
-    """nodes and edges(source, target, type, resolved, payload). strict: only classes are inherited from, only functions called by name. Edges are unique by (source, target, type); payloads are sorted."""
+    """nodes and edges(source, target, type, resolved, payload). strict: only classes are inherited from, only functions called by name. Edges are unique by (source, target, type); a payload counts once, where it is first seen: in the order
+    of its source's uses, then calls."""
     p = profiles.filter(~is_noise(profiles))
     nodes = p.select("id", "kind", category(F.col("file_path"), F.col("class_name"), F.col("function_name")).alias("category"), label(p).alias("label"), "file_path", "function_name", "class_name")
     index = p.select(F.explode(aliases()).alias("alias"), F.col("id").alias("target"), F.col("kind").alias("target_kind")).distinct()
-    site = lambda df, kind: df.select(F.col("id").alias("source"), "alias", F.lit(kind).alias("want"), "payload", F.col("made") if "made" in df.columns else F.lit(None).cast("string").alias("made"))
+    site = lambda df, kind: df.select(F.col("id").alias("source"), "at", "alias", F.lit(kind).alias("want"), "payload", F.col("made") if "made" in df.columns else F.lit(None).cast("string").alias("made"))
     tell = lambda *c: F.to_json(F.struct(*c))
-    imports = p.filter("kind = 'file'").select("id", F.explode("import_sites").alias("i")).select("id", F.explode(import_aliases("i")).alias("alias"), tell(F.col("i.line"), F.nullif(F.col("i.module"), F.lit("")).alias("module"), F.nullif(F.col("i.name"), F.lit("")).alias("symbol"), compact(F.concat_ws(".", F.nullif(F.col("i.module"), F.lit("")), F.nullif(F.col("i.name"), F.lit("")))).alias("qualified"), F.nullif(F.col("i.alias"), F.lit("")).alias("alias")).alias("payload"))
-    parents = p.filter("kind = 'class'").select("id", F.explode("inheritance").alias("i")).select("id", compact(F.col("i.symbol")).alias("alias"), tell("i.symbol", "i.line").alias("payload"))
-    uses = p.select("id", F.explode("uses").alias("i")).select("id", compact(F.col("i.symbol")).alias("alias"), tell("i.symbol", "i.use_kind", "i.line", "i.detail").alias("payload"))
+    imports = p.filter("kind = 'file'").select("id", F.posexplode("import_sites").alias("at", "i")).select("id", "at", F.explode(import_aliases("i")).alias("alias"), tell(F.col("i.line"), F.nullif(F.col("i.module"), F.lit("")).alias("module"), F.nullif(F.col("i.name"), F.lit("")).alias("symbol"), compact(F.concat_ws(".", F.nullif(F.col("i.module"), F.lit("")), F.nullif(F.col("i.name"), F.lit("")))).alias("qualified"), F.nullif(F.col("i.alias"), F.lit("")).alias("alias")).alias("payload"))
+    parents = p.filter("kind = 'class'").select("id", F.posexplode("inheritance").alias("at", "i")).select("id", "at", compact(F.col("i.symbol")).alias("alias"), tell("i.symbol", "i.line").alias("payload"))
+    uses = p.select("id", F.posexplode("uses").alias("at", "i")).select("id", "at", compact(F.col("i.symbol")).alias("alias"), tell("i.symbol", "i.use_kind", "i.line", "i.detail").alias("payload"))
     flat = F.when(F.size("call_sites") > 0, F.col("call_sites")).otherwise(F.transform("calls", lambda c: F.struct(c.alias("expression"), F.lit(0).alias("line"))))
-    calls = p.filter(F.col("kind").isin("function", "method")).select("id", F.explode(flat).alias("i")).select("id", compact(F.col("i.expression")).alias("alias"), tell("i.expression", F.nullif(F.col("i.line"), F.lit(0)).alias("line")).alias("payload"), tell(F.col("i.expression").alias("symbol"), F.lit("INSTANTIATION").alias("use_kind"), F.col("i.line")).alias("made"))
+    calls = p.filter(F.col("kind").isin("function", "method")).select("id", F.posexplode(flat).alias("at", "i")).select("id", "at", compact(F.col("i.expression")).alias("alias"), tell("i.expression", F.nullif(F.col("i.line"), F.lit(0)).alias("line")).alias("payload"), tell(F.col("i.expression").alias("symbol"), F.lit("INSTANTIATION").alias("use_kind"), F.col("i.line")).alias("made"))
     sites = site(imports, "IMPORTS").unionByName(site(parents, "INHERITS_FROM")).unionByName(site(uses, "USES")).unionByName(site(calls, "CALLS"))
     hit = sites.join(index, "alias")
     if strict:
         hit = hit.filter((F.col("want") != "INHERITS_FROM") | (F.col("target_kind") == "class"))
     kind = F.when((F.col("want") == "CALLS") & (F.col("target_kind") == "class"), "USES").otherwise(F.col("want"))
-    resolved = hit.filter((F.col("source") != F.col("target")) | (F.col("want") == "CALLS")).select("source", "target", kind.alias("type"), F.lit(True).alias("resolved"), F.when((F.col("want") == "CALLS") & (F.col("target_kind") == "class"), F.col("made")).otherwise(F.col("payload")).alias("payload"))
+    seen_at = F.struct((F.col("want") == "CALLS").alias("call"), "at").alias("at")
+    resolved = hit.filter((F.col("source") != F.col("target")) | (F.col("want") == "CALLS")).select("source", "target", kind.alias("type"), F.lit(True).alias("resolved"), F.when((F.col("want") == "CALLS") & (F.col("target_kind") == "class"), F.col("made")).otherwise(F.col("payload")).alias("payload"), seen_at)
     lost = site(calls, "CALLS").join(index.select("alias").distinct(), "alias", "left_anti").filter(~is_noisy_external_call(F.col("alias")))
-    outside = lost.select("source", F.concat(F.lit("external::"), "alias").alias("target"), F.lit("CALLS").alias("type"), F.lit(False).alias("resolved"), "payload")
-    inner = p.select(F.col("id").alias("source"), F.explode("children").alias("target")).join(p.select(F.col("id").alias("target"), F.struct(F.col("kind").alias("child_kind"), F.col("start_line").alias("line")).alias("x")), "target")
-    contains = inner.select("source", "target", F.lit("CONTAINS").alias("type"), F.lit(True).alias("resolved"), F.to_json("x").alias("payload"))
-    edges = contains.unionByName(resolved).unionByName(outside).groupBy("source", "target", "type", "resolved").agg(F.sort_array(F.collect_set("payload")).alias("payload"))
+    outside = lost.select("source", F.concat(F.lit("external::"), "alias").alias("target"), F.lit("CALLS").alias("type"), F.lit(False).alias("resolved"), "payload", seen_at)
+    inner = p.select(F.col("id").alias("source"), F.posexplode("children").alias("at", "target")).join(p.select(F.col("id").alias("target"), F.struct(F.col("kind").alias("child_kind"), F.col("start_line").alias("line")).alias("x")), "target")
+    contains = inner.select("source", "target", F.lit("CONTAINS").alias("type"), F.lit(True).alias("resolved"), F.to_json("x").alias("payload"), F.struct(F.lit(False).alias("call"), "at").alias("at"))
+    edges = first_seen(contains.unionByName(resolved).unionByName(outside), ["source", "target", "type", "resolved"], "payload", "at")
     external = outside.select("target").distinct().select(F.col("target").alias("id"), F.lit("external_call").alias("kind"), F.lit("external").alias("category"), F.substring("target", 11, 1 << 20).alias("label"), *(F.lit(None).cast("string").alias(c) for c in ("file_path", "function_name", "class_name")))
     return nodes.unionByName(external), edges

@@ -324,7 +324,7 @@ def core_models(spark, d):
     return models(_profiles(spark, d), ("api",), 100)
 
 
-from graphloom import document_queries, source_queries, state_queries  # noqa: E402, F401 - their queries are added to these
+from graphloom import document_queries, request_queries, source_queries, state_queries  # noqa: E402, F401 - their queries are added to these
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
