@@ -10,64 +10,7 @@ from graphloom.plans import adapter as A
 from graphloom.registry import _FILES, _profiles, query
 
 
-def _quote(x) -> str:
-    return "NULL" if x is None else str(x) if isinstance(x, (int, float)) else "'" + x.replace("'", "''") + "'"
-
-
-def _values(rows: list[tuple]) -> str:
-    return "(VALUES " + ", ".join("(" + ", ".join(map(_quote, r)) + ")" for r in rows) + ")"
-
-
-# ---------------------------------------------------------------- categories and noise
-
-
-def _names() -> list[tuple]:
-    words = sorted({w for _, _, cs in link.RULES for _, ws in cs for w in ws if "/" not in w and "." not in w})
-    rows = [x for w in words for x in ((f"{w}/x.py", None, "go"), (f"src/My{w.title()}s/x.py", "Thing", "go"), ("src/x.py", f"Big{w.title()}", None), ("src/x.py", None, f"do_{w}"))]
-    return [*rows, (None, None, None), ("", "Service", None), ("/api/x.py", None, None), ("src\\tests\\x.py", None, None), ("latest/rapid.py", None, None), ("a/b_test.py", None, None), ("testsuite.py", None, None), ("./jobs/./x.py", "X-Client", None)]
-
-
-def _category_sql() -> str:
-    any_ = lambda xs: "(" + " OR ".join(xs) + ")"
-    within = lambda of, words, how: f"len(list_filter({of}, lambda x: {any_([how.format(_quote(w)) for w in words])})) > 0"
-    holds = {
-        "path": lambda w: within("parts", w, "contains(x, {})"), "name": lambda w: within("tokens", w, "contains(x, {})"), "end": lambda w: within("tokens", w, "ends_with(x, {})"),
-        "root": lambda w: f"coalesce(parts[1], '') IN ({', '.join(map(_quote, w))})", "joined": lambda w: any_([f"contains(joined, {_quote(x)})" for x in w]),
-        "starts": lambda w: any_([f"starts_with(joined, {_quote(x)})" for x in w]), "ends": lambda w: any_([f"ends_with(joined, {_quote(x)})" for x in w]),
-    }
-    scores = {"implementation": ["1"]}
-    for kind, points, conditions in link.RULES:
-        scores.setdefault(kind, []).append(f"CASE WHEN {any_([holds[what](ws) for what, ws in conditions])} THEN {points} ELSE 0 END")
-    best = ", ".join(f"{{'s': {' + '.join(v)}, 'p': {link.PRIORITY[k]}, 'k': '{k}'}}" for k, v in scores.items())
-    token = lambda c: f"CASE WHEN coalesce({c}, '') = '' THEN [] ELSE list_concat([lower({c})], list_filter(string_split(replace(lower({c}), '-', '_'), '_'), lambda x: x <> '')) END"
-    return f"""SELECT path, class_name, function_name, CASE WHEN len(parts) = 0 THEN 'implementation' ELSE list_max([{best}]).k END AS category
-        FROM (SELECT *, array_to_string(parts, '/') AS joined FROM (SELECT *, list_concat(CASE WHEN starts_with(p, '/') THEN ['/'] ELSE [] END, list_filter(string_split(p, '/'), lambda x: x <> '' AND x <> '.')) AS parts, list_concat({token("class_name")}, {token("function_name")}) AS tokens
-        FROM (SELECT *, lower(replace(coalesce(path, ''), chr(92), '/')) AS p FROM {_values(_names())} AS v(path, class_name, function_name))))"""
-
-
-@query(_category_sql())
-def node_category(spark, d):
-    rows = spark.createDataFrame(_names(), "path string, class_name string, function_name string")
-    return rows.select("path", "class_name", "function_name", link.category(*(F.col(c) for c in ("path", "class_name", "function_name"))).alias("category"))
-
-
-_CALLS = [*(f"{x}.{y}" for x in ("celery", "torch", "numpy", "futile", "Logger", "json", "os", "service", "re") for y in ("task", "nn.Linear", "__init__", "run", "path::join")), "super().x", "super(A).x", "Super::y", "json", "my_UTILS.x", "helperx", "__call__", "a::__x__", "self.run", "RE.match", "torchvision.x", "boto3::client"]
-
-
-@query("SELECT call, noisy, noisy OR (starts_with(call, '__') AND ends_with(call, '__')) OR split_part(split_part(call, '.', 1), '::', 1) IN ('json', 'os', 're') AS noisy_outside FROM (SELECT call, (starts_with(t, '__') AND ends_with(t, '__')) OR starts_with(l, 'super(') OR starts_with(l, 'super::') OR contains(l, 'utils') OR contains(l, 'helper')"
-       " OR regexp_matches(l, '^(" + "|".join(link.THIRD_PARTY) + f")(\\.|::)') AS noisy FROM (SELECT call, lower(call) AS l, regexp_extract(call, '([^.:]*)$', 1) AS t FROM {_values([(c,) for c in _CALLS])} AS v(call)))")
-def noisy_calls(spark, d):
-    rows = spark.createDataFrame([(c,) for c in _CALLS], "call string")
-    return rows.select("call", link.is_noisy_call(F.col("call")).alias("noisy"), link.is_noisy_external_call(F.col("call")).alias("noisy_outside"))
-
-
-_NOISE = [("src/__init__.py", "file", None, None), ("src/__init__.py", "function", "go", None), ("src/utils/a.py", "file", None, None), ("src/utils/a.py", "function", "go", None), ("src/utils/a.py", "class", None, "A"), ("src/a.py", "method", "__init__", "A"), ("src/a.py", "class", None, "MyHelper"), ("src/a.py", "function", "helper_x", None), ("src/a.py", "function", "go", None), ("src/UTILS.py", "method", "go", "A"), ("src/a.py", "method", "__x", "A")]
-
-
-@query(f"SELECT file_path, kind, function_name, class_name FROM {_values(_NOISE)} AS v(file_path, kind, function_name, class_name) WHERE NOT (ends_with(file_path, '__init__.py') OR (kind <> 'file' AND (coalesce(function_name, '') LIKE '\\_\\_%\\_\\_' ESCAPE '\\' OR (kind IN ('function', 'method') AND regexp_matches(lower(file_path), 'utils|helper')) OR regexp_matches(lower(coalesce(function_name, '') || ' ' || coalesce(class_name, '')), 'utils|helper'))))")
-def quiet_profiles(spark, d):
-    rows = spark.createDataFrame(_NOISE, "file_path string, kind string, function_name string, class_name string")
-    return rows.filter(~link.is_noise(rows))
+# ---------------------------------------------------------------- aliases and imports
 
 
 @query(f"""WITH {_FILES}, x AS (SELECT f, k, replace(regexp_replace(f, '\\.py$', ''), '/', '.') AS m FROM m),
@@ -142,14 +85,6 @@ def clean_trace(spark, d):
 
 # ---------------------------------------------------------------- documents
 
-_IDS = [("python::class::deep.parser.pdf.Pdf.Inner", "python::deep/parser/pdf/Pdf.py::Inner"), ("python::class::deep.pdf.Reader", "python::deep/pdf.py::Reader"), ("python::method::a.b.c", "python::method::a.b.c"), ("python::a.b.c::K", "python::a/b/c.py::K"), ("python::a.b::K::m", "python::a/b.py::K"), ("python::a/b.py::K", "python::a/b.py::K"), ("python::a.py::K", "python::a.py::K"), ("other", "other"), (None, None), ("python::class::Top", "python::class::Top")]
-
-
-@query(f"SELECT id, fixed FROM {_values(_IDS)} AS v(id, fixed)")
-def repaired_ids(spark, d):
-    return spark.createDataFrame([(i,) for i, _ in _IDS], "id string").select("id", S.repaired_id(F.col("id")).alias("fixed"))
-
-
 @query("SELECT event_id, CASE event_id % 6 WHEN 0 THEN 'Calling ' || event_type || '...' WHEN 1 THEN 'Got results from ' || event_type WHEN 2 THEN 'Analyzing results...' WHEN 3 THEN CASE WHEN value > 50 THEN 'Starting analysis...' ELSE 'Finalizing components...' END WHEN 4 THEN CASE WHEN value > 50 THEN 'Finalizing navigation nodes...' ELSE 'Generating structured response...' END END AS shown FROM events")
 def shown_logs(spark, d):
     e, k = A.table(spark, d, "events"), F.col("event_id") % 6
@@ -241,15 +176,6 @@ def subagent_payloads(spark, d):
     return A.table(spark, d, "part").select("p_partkey", F.try_element_at(workflows.subagent_payload(own, wish), F.lit("objective")).alias("objective"))
 
 
-@query("""WITH t AS (SELECT 1 AS position, id, docstring, function_name, class_name FROM profiles WHERE id = 'part::1')
-SELECT coalesce(function_name, class_name, id) AS workflow_name, 1::BIGINT AS steps FROM t""")
-def synthesized_workflow(spark, d):
-    trace = spark.createDataFrame([(0, "part::1"), (1, "part::2"), (2, "gone")], "position long, id string")
-    context = workflows.llm_context(trace, A.profiles(spark, d)).withColumn("entry", F.lit("part::1"))
-    got = workflows.synthesize(context, workflows.stub_provider)
-    return got.select(F.col("document.workflow_name").alias("workflow_name"), F.size("document.steps").cast("long").alias("steps"))
-
-
 # ---------------------------------------------------------------- layouts
 
 

@@ -124,7 +124,7 @@ FROM (SELECT *, split_part(p, '/', 1) AS r0, CASE WHEN starts_with(p, '//') THEN
 
 
 @query(_CATEGORY.replace("NAMED", _NAMED))
-def part_categories(spark, d):
+def node_category(spark, d):
     """The category of a profile for every part, by its path, class and function."""
     n = _named(spark, d)
     return n.select("p_partkey", link.category(F.col("path"), F.col("class_name"), F.col("function_name")).alias("category"))
@@ -137,7 +137,7 @@ _TAILS = "run __init__ task path::join nn.Linear _x __a__".split()
 @query(f"""SELECT p_partkey, noisy, noisy OR (starts_with(call, '__') AND ends_with(call, '__')) OR regexp_matches(call, '^(json|os|re|asyncio)(\\.|::|$)') AS noisy_outside FROM (SELECT p_partkey, call,
 regexp_matches(call, '(^|[.:])__[^.:]*__$') OR starts_with(lower(call), 'super(') OR regexp_matches(lower(call), 'utils|helper|helpers') OR regexp_matches(lower(call), '^(aiohttp|anthropic|asyncio|azure|boto3|botocore|celery|chromadb|click|cv2|fastapi|google|httpx|jinja2|langchain|langgraph|milvus|numpy|openai|opensearch|pandas|pillow|pinecone|psycopg|pydantic|redis|requests|rich|scipy|sentry_sdk|sklearn|sqlalchemy|sqlmodel|supabase|tensorflow|torch|transformers|typer|uvicorn|weaviate)(\\.|::)') AS noisy
 FROM (SELECT p_partkey, {_picked_sql(_ROOTS, 1)} || CASE WHEN p_size % 2 = 0 THEN '.' ELSE '::' END || {_picked_sql(_TAILS, 5)} AS call FROM part))""")
-def part_noisy_calls(spark, d):
+def noisy_calls(spark, d):
     """Whether a call is noise, in the graph and outside of it, for a call made of every part's key."""
     p = A.table(spark, d, "part").select("p_partkey", F.concat(_pick(_ROOTS, "p_partkey", 1), F.when(F.col("p_size") % 2 == 0, ".").otherwise("::"), _pick(_TAILS, "p_partkey", 5)).alias("call"))
     return p.select("p_partkey", link.is_noisy_call(F.col("call")).alias("noisy"), link.is_noisy_external_call(F.col("call")).alias("noisy_outside"))
@@ -145,7 +145,7 @@ def part_noisy_calls(spark, d):
 
 @query(f"""SELECT p_partkey FROM (SELECT n.*, ['file', 'class', 'function', 'method'][n.p_partkey % 4 + 1] AS kind FROM ({_NAMED}) n WHERE path IS NOT NULL) WHERE NOT (ends_with(path, '__init__.py') OR (kind <> 'file' AND (
 regexp_matches(coalesce(function_name, ''), '^__.*__$') OR (kind IN ('function', 'method') AND regexp_matches(lower(path), 'utils|helper|helpers')) OR regexp_matches(lower(coalesce(function_name, '')), 'utils|helper|helpers') OR regexp_matches(lower(coalesce(class_name, '')), 'utils|helper|helpers'))))""")
-def part_quiet_profiles(spark, d):
+def quiet_profiles(spark, d):
     """The parts whose profile is no noise."""
     kind = F.element_at(F.array(*[F.lit(k) for k in ("file", "class", "function", "method")]), (F.col("p_partkey") % 4 + 1).cast("int"))
     n = _named(spark, d).filter("path is not null").withColumnRenamed("path", "file_path").withColumn("kind", kind)
@@ -154,7 +154,7 @@ def part_quiet_profiles(spark, d):
 
 @query("""SELECT p_partkey, CASE p_size % 6 WHEN 0 THEN 'python::' || a || '/' || b || '.py::' || C WHEN 1 THEN 'python::' || a || '/' || C || '.py::Inner' WHEN 2 THEN 'python::' || a || '/' || b || '.py::' || C WHEN 3 THEN 'python::' || a || '/' || b || '.py::' || C WHEN 4 THEN a || '::' || b ELSE 'python::method::' || a || '.' || b END AS fixed
 FROM (SELECT p_partkey, p_size, split_part(p_name, ' ', 1) AS a, lower(p_type) AS b, 'K' || p_size AS C FROM part)""")
-def part_repaired_ids(spark, d):
+def repaired_ids(spark, d):
     """Ids in the forms that models write them, for every part, mended."""
     a, b, c, k = F.split("p_name", " ")[0], F.lower("p_type"), F.concat(F.lit("K"), "p_size"), F.col("p_size") % 6
     text = lambda *xs: F.concat(*[F.lit(x) if isinstance(x, str) else x for x in xs])
@@ -182,6 +182,14 @@ def workflow_contexts(spark, d):
     return workflows.llm_context(trace, A.profiles(spark, d).join(data, "id"))
 
 
+@query("""WITH p AS (SELECT x.*, p_partkey, 'part::' || p_partkey AS me FROM profiles x JOIN part ON id = 'part::' || p_partkey)
+SELECT me AS entry, coalesce(nullif(function_name, ''), nullif(class_name, ''), me) AS workflow_name, (SELECT greatest(1, count(*)) FROM part o WHERE o.p_partkey > p.p_partkey AND o.p_partkey <= p.p_partkey + 2)::BIGINT AS steps FROM p""")
+def synthesized_workflow(spark, d):
+    """The contexts of all parts, answered by a provider (here one without a model) and read as workflow documents."""
+    got = workflows.synthesize(workflow_contexts(spark, d), workflows.stub_provider)
+    return got.select("entry", F.col("document.workflow_name").alias("workflow_name"), F.size("document.steps").cast("long").alias("steps"))
+
+
 @query("""WITH x AS (SELECT 1), d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents)
 SELECT doc_id, CASE WHEN doc_id % 4 < 2 THEN '{"a": "}{", "b": {"c": ' || doc_id || '}}' END AS found FROM d""")
 def balanced_objects(spark, d):
