@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from graphloom.functions.scalars import breadcrumb_key
 from graphloom.operators import commits
+from graphloom.operators.storage import upsert
 
 
 def save_graph(nodes: DataFrame, edges: DataFrame, path: str, workspace: str, version: int | None = None) -> int:
@@ -98,6 +99,26 @@ def as_json(rows: DataFrame) -> DataFrame:
     return rows.select(F.to_json(F.struct("*")).alias("value"))
 
 
+def write_plan(plans: DataFrame, path: str, workspace: str) -> int:
+    """Keep a workspace's plans (name, plan as JSON text), all at once; what was kept before goes."""
+    return commits.save({"plans": plans.select("name", "plan")}, path, workspace)
+
+
+def load_plan(spark: SparkSession, path: str, workspace: str) -> DataFrame:
+    """name and plan; what isn't JSON counts as no plan (null). Without plans, no rows."""
+    if "plans" not in commits.record(spark, path, workspace)["tables"]:
+        return spark.createDataFrame([], "name string, plan string")
+    return commits.load(spark, path, workspace, "plans").select("name", F.when(F.try_parse_json("plan").isNotNull(), F.col("plan")).alias("plan"))
+
+
+def save_workflows(rows: DataFrame, path: str, workspace: str) -> int:
+    """Add or replace workflows (entry, workflow) of a workspace by their entry."""
+    spark = rows.sparkSession
+    if "workflows" in commits.record(spark, path, workspace)["tables"]:
+        rows = upsert(commits.load(spark, path, workspace, "workflows"), rows, ["entry"])
+    return commits.save({"workflows": rows}, path, workspace)
+
+
 def read_plan(spark: SparkSession, path: str) -> DataFrame:
     """Plan documents as text, one per file; what isn't JSON is left out."""
     return spark.read.text(path, wholetext=True).select(F.col("value").alias("plan")).filter(F.try_parse_json("plan").isNotNull())

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from graphloom.functions.scalars import title_case
+
 # ---- Fixed values: the grid's columns, node width and height, gaps between nodes and layers, left margin, height of a layer's label.
 COLUMNS = 3
 NODE_W, NODE_H, GAP_X, GAP_Y, LAYER_GAP = 260, 120, 140, 100, 180
@@ -31,6 +33,16 @@ def grid(components: DataFrame) -> DataFrame:
     return placed.join(F.broadcast(top), "rank").select("component", "rank", x.cast("long").alias("x"), y.cast("long").alias("y"))
 
 
+def layer_totals(groups: DataFrame) -> DataFrame:
+    """layers and components in all of group_by_layer()'s rows."""
+    return groups.agg(F.count(F.lit(1)).alias("layers"), F.coalesce(F.sum("n"), F.lit(0)).alias("components"))
+
+
+def layer_label(layer: Column, rank: Column, layers: int) -> Column:
+    """A layer's name in title case; what is in none is Other."""
+    return F.when(rank < layers, title_case(layer)).otherwise("Other")
+
+
 def edge_offsets(edges: DataFrame) -> DataFrame:
     """(i - (n - 1) / 2) * 20 among the edges of a source."""
     w = Window.partitionBy("source")

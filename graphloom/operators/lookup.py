@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.functions import scalars as S
@@ -27,6 +27,20 @@ def calls_of(profiles: DataFrame, node: str) -> DataFrame:
     return profiles.filter(F.col("id") == node).select(F.posexplode("calls").alias("position", "call"))
 
 
+def entry_candidates(profiles: DataFrame, wanted: list[str] | None = None, limit: int | None = None) -> DataFrame:
+    """The ids that workflows are made for: all or the wanted ones, by id."""
+    got = profiles.select("id") if wanted is None else profiles.select("id").filter(F.col("id").isin(wanted))
+    return got.orderBy("id") if limit is None else got.orderBy("id").limit(limit)
+
+
+def picked_component(cards: DataFrame, choices: DataFrame) -> DataFrame:
+    """choice, component_id: for each choice (group, choice) the card (group, component_id, position) that has it as its id, else the card at that place, counted from 1; null if there is neither."""
+    placed = cards.withColumn("_n", F.row_number().over(Window.partitionBy("group").orderBy("position")).cast("string"))
+    by_id = placed.select("group", F.col("component_id").alias("choice"), F.col("component_id").alias("_id")).dropDuplicates(["group", "choice"])
+    by_place = placed.select("group", F.col("_n").alias("choice"), F.col("component_id").alias("_at"))
+    return choices.join(by_id, ["group", "choice"], "left").join(by_place, ["group", "choice"], "left").select("group", "choice", F.coalesce("_id", "_at").alias("component_id"))
+
+
 def matching(rows: DataFrame, filters: Mapping[str, object]) -> DataFrame:
     """Rows whose attributes all match: text compares in any case, a list means one of, None means null; a column that isn't there matches nothing."""
 

@@ -72,6 +72,34 @@ def tool_summary(messages: DataFrame, key: str, order: str, found: Column | None
     return every.select(key, F.coalesce(found if found is not None else F.lit(None).cast("string"), F.lit("pending_analysis")).alias("pattern"), F.to_json(F.coalesce("results", F.array().cast("array<struct<tool:string,result:string>>"))).alias("results"))
 
 
+#: What a message is called in a log, by its type.
+MESSAGES = {"system": "SystemMessage", "human": "HumanMessage", "ai": "AIMessage", "tool": "ToolMessage"}
+
+
+def coerced_text(content: Column) -> Column:
+    """Text as it is; of a JSON list its texts and the `text` of its objects, on lines of their own; what holds neither is left out."""
+    parts = F.transform(F.from_json(content, "array<string>"), lambda x: F.when(x.startswith("{"), F.get_json_object(x, "$.text")).otherwise(x))
+    return F.when(content.startswith("["), F.coalesce(F.array_join(F.filter(parts, lambda x: x.isNotNull() & (x != "")), "\n"), content)).otherwise(content)
+
+
+def message_rows(messages: DataFrame, key: str, order: str) -> DataFrame:
+    """key, index (from 1), type, content, tool_calls, tool_call_id of messages (type, content, tool_calls, tool_call_id): calls only of the model's messages, ids only of a tool's."""
+    kinds = F.create_map(*[F.lit(x) for kv in MESSAGES.items() for x in kv])
+    place = F.row_number().over(Window.partitionBy(key).orderBy(order)).cast("long")
+    only = lambda kind, c: F.when((F.col("type") == kind) & (F.coalesce(F.col(c), F.lit("")) != ""), F.col(c)).alias(c)
+    return messages.select(key, place.alias("index"), F.try_element_at(kinds, F.col("type")).alias("type"), coerced_text(F.coalesce("content", F.lit(""))).alias("content"), only("ai", "tool_calls"), only("tool", "tool_call_id"))
+
+
+def reduced_messages(messages: DataFrame, key: str, order: str, prompt: Column, found: Column | None = None) -> DataFrame:
+    """key, place, type, content: three messages instead of a conversation's whole stack: the prompt, the first human message if there is one, and the findings of its tools."""
+    first = messages.groupBy(key).agg(F.min_by("content", F.when(F.col("type") == "human", F.col(order))).alias("request"), F.count_if(F.col("type") == "human").alias("_n"))
+    told = tool_summary(messages, key, order, found)
+    say = lambda place, kind, text: F.struct(F.lit(place).alias("place"), F.lit(kind).alias("type"), text.alias("content"))
+    findings = F.concat(F.lit("Pattern: "), F.col("pattern"), F.lit("\nFindings of the tools:\n"), F.col("results"))
+    rows = first.join(told, key).select(key, F.explode(F.array(say(1, "system", prompt), F.when(F.col("_n") > 0, say(2, "human", F.col("request"))), say(3, "human", findings))).alias("m"))
+    return rows.filter("m is not null").select(key, "m.place", "m.type", "m.content")
+
+
 def _narrative(payload):
     """What tells of a step: the first level's summary or text, else the document's own summary, else all of it."""
     if isinstance(payload, dict):

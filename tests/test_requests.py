@@ -41,3 +41,14 @@ def test_dump_lists_what_edges_lead_to(spark):
     n = spark.createDataFrame([("b", "k"), ("a", "k")], "id string, kind string")
     e = spark.createDataFrame([("a", "z", "CALLS"), ("a", "b", "CALLS"), ("b", "z", "USES")], "source string, target string, type string")
     assert [(r["part"], json.loads(r["line"]).get("id") or json.loads(r["line"])["target"]) for r in requests.graph_dump(n, e).collect()] == [("edges", "b"), ("edges", "z"), ("edges", "z"), ("nodes", "a"), ("nodes", "b"), ("unresolved", "z")]
+
+
+def test_messages_lose_what_is_not_theirs(spark):
+    from graphloom.operators import workflows
+
+    rows = [(1, 0, "system", "s", "x", "y"), (1, 1, "human", '["a", {"text": "b"}, {"image": 1}, ""]', "x", "y"), (1, 2, "ai", "[not json", '[{"n":1}]', "y"), (1, 3, "tool", None, "x", "id"), (2, 0, "ai", "only", "", "y")]
+    m = spark.createDataFrame(rows, "c int, t int, type string, content string, tool_calls string, tool_call_id string").withColumn("name", F.lit("tool-x"))
+    got = [tuple(r)[1:] for r in workflows.message_rows(m, "c", "t").orderBy("c", "index").collect()]
+    assert got == [(1, "SystemMessage", "s", None, None), (2, "HumanMessage", "a\nb", None, None), (3, "AIMessage", "[not json", '[{"n":1}]', None), (4, "ToolMessage", "", None, "id"), (1, "AIMessage", "only", None, None)]
+    stacks = {(r["c"], r["place"]): (r["type"], r["content"]) for r in workflows.reduced_messages(m, "c", "t", F.lit("p")).collect()}
+    assert set(stacks) == {(1, 1), (1, 2), (1, 3), (2, 1), (2, 3)} and stacks[1, 1] == ("system", "p") and stacks[2, 3][1].endswith("[]")
