@@ -22,14 +22,14 @@ def nodes(spark, rows):
 def test_pagerank_equals_dense_iteration(spark):
     e = edges(spark, [("a", "b", "CALLS", "2"), ("a", "c", "calls", None), ("b", "c", "CALLS", "x"), ("c", "a", "CALLS", "-4"), ("d", "d", "CALLS", "1"), ("a", "d", "USES", "9")])
     n = nodes(spark, [(x, "function", "", x, f"src/{x}.py") for x in "abcd"])
-    got = {r["id"]: r["score"] for r in graph.pagerank(n, e).collect()}
+    got = {r["id"]: r["score"] for r in graph.pagerank(n, e, tolerance=1e-3).collect()}
     w = {("a", "b"): 2 / 3, ("a", "c"): 1 / 3, ("b", "c"): 1.0, ("d", "d"): 1.0}  # c has no weight left: it dangles
     rank = dict.fromkeys("abcd", 0.25)
     for _ in range(100):
         loose = rank["c"]
         new = {x: 0.15 / 4 + 0.85 * (sum(rank[a] * p for (a, b), p in w.items() if b == x) + loose / 4) for x in "abcd"}
         change, rank = sum(abs(new[x] - rank[x]) for x in "abcd"), new
-        if change < 1e-6:
+        if change < 1e-3:
             break
     assert all(math.isclose(got[x], rank[x], abs_tol=1e-12) for x in "abcd") and math.isclose(sum(got.values()), 1)
 
@@ -193,4 +193,5 @@ def test_trace_raises_beyond_its_bound_and_missing_starts_are_named(spark):
     assert graph.trace(e, "a", 2).count() == 21
     with pytest.raises(ValueError):
         graph.trace(e, "a", 2, most=10)
-    assert [tuple(r) for r in graph.missing_starts(nodes(spark, [("a", "file", "", "a", "a")]), ["a", "z"]).collect()] == [("z", "not in the graph: z")]
+    named = graph.find_paths(e, ["a", "z"], ["n1"], max_depth=1, nodes=nodes(spark, [("a", "file", "", "a", "a")]))
+    assert {(r["start"], r["error"]) for r in named.collect()} == {("a", None), ("z", "Node does not exist.")}

@@ -19,7 +19,7 @@ def test_layers_and_crossings(spark):
     r = random.Random(5)
     nodes, edges = [], []
     for g in range(12):
-        names = [f"n{i}" for i in range(r.randint(4, 14))]
+        names = [f"n{i}" for i in range(r.randint(4, 10))]
         nodes += [(g, n, i, "x" * r.randint(0, 200)) for i, n in enumerate(r.sample(names, len(names)))]
         order = r.sample(names, len(names))
         pairs = {(a, b) for i, a in enumerate(order) for b in order[i + 1 :] if r.random() < 0.22}

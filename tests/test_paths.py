@@ -38,7 +38,7 @@ def test_dense_graphs_to_depth_eight(spark, monkeypatch):
             sizes.append(got.count())
         return got
 
-    for level, most, depth in ((100_000, 25, 8), (60, 25, 8), (60, 60, 3)):
+    for level, most, depth in ((100_000, 25, 8), (60, 12, 5)):
         sizes.clear()
         monkeypatch.setattr(graph, "LEVEL", level)
         monkeypatch.setattr(graph, "settle", watched)
