@@ -6,6 +6,7 @@ import re
 import tempfile
 import uuid
 from collections.abc import Iterator
+from functools import wraps
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -197,6 +198,23 @@ def utf8(column) -> list[bytes]:
     return [b"" if x is None else x for x in column.cast(pa.binary()).to_pylist()]
 
 
+def lean(run):
+    """run (from an iterator of batches to one), after which the worker gives memory that it no longer uses back to the system: idle workers stay, and count for their executor."""
+
+    @wraps(run)
+    def wrapped(batches):
+        import ctypes
+
+        import pyarrow as pa
+
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+            trim(0)
+
+    return wrapped
+
+
 def slices(batches: Iterator, column: str = "text", most: int = 2 << 20) -> Iterator:
     """The record batches cut into pieces of about `most` bytes of text (one row at least)."""
     import pyarrow as pa

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from graphloom.llm.common import join_hot, quoted, settle, slices, small, spare, utf8
+from graphloom.llm.common import join_hot, lean, quoted, settle, slices, small, spare, utf8
 
 #: Two primes under 2^31, so that sums over a chunk fit 64 bits, and the base of the polynomial.
 MODULI = (2147483629, 2147483587)
@@ -77,7 +77,7 @@ def _with_fingerprints(df: DataFrame, text: str, moduli: tuple[int, int]) -> Dat
         for b in slices(batches, text):
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array([fingerprint(t, moduli) for t in utf8(b.column(text))], pa.int64())], names=[*b.schema.names, "fp"])
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(lean(run), schema)
 
 
 def _huge(df: DataFrame, moduli: tuple[int, int]) -> DataFrame:
@@ -93,7 +93,7 @@ def _huge(df: DataFrame, moduli: tuple[int, int]) -> DataFrame:
             got = [_shares(p, n) for p, n in zip(b.column("part").to_pylist(), b.column("after").to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("rid", "id", "n_bytes", "sha")), pa.array([g[0] for g in got], pa.int64()), pa.array([g[1] for g in got], pa.int64())], names=["rid", "id", "n_bytes", "sha", "h0", "h1"])
 
-    hashed = parts.mapInArrow(run, StructType([*parts.select("rid", "id", "n_bytes", "sha").schema.fields, StructField("h0", LongType()), StructField("h1", LongType())]))
+    hashed = parts.mapInArrow(lean(run), StructType([*parts.select("rid", "id", "n_bytes", "sha").schema.fields, StructField("h0", LongType()), StructField("h1", LongType())]))
     residue = [F.sum(f"h{i}") % MODULI[i] % moduli[i] for i in (0, 1)]
     return hashed.groupBy("rid", "id", "n_bytes", "sha").agg((F.shiftleft(residue[0], 31).bitwiseOR(residue[1])).alias("fp")).drop("rid")
 

@@ -24,7 +24,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import join_hot, mix, quoted, settle, slices, small, utf8, word_hashes
+from graphloom.llm.common import join_hot, lean, mix, quoted, settle, slices, small, utf8, word_hashes
 
 BINS, MISS = 252, 5e-6
 #: Centres of a bucket's second round of stars.
@@ -115,7 +115,7 @@ def set_marks(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataFr
             yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(n, pa.int64()), pa.array(s0, pa.int64()), pa.array(s1, pa.int64())], names=["id", "n_shingles", "s0", "s1"])
 
     base = docs.select(F.col(quoted(id_col)).cast("long").alias("id"), F.col(quoted(text_col)).alias("text"))
-    return base.mapInArrow(run, "id long, n_shingles long, s0 long, s1 long")
+    return base.mapInArrow(lean(run), "id long, n_shingles long, s0 long, s1 long")
 
 
 def _class_buckets(docs: DataFrame, text_col: str, words: int, percent: int) -> DataFrame:
@@ -137,7 +137,7 @@ def _class_buckets(docs: DataFrame, text_col: str, words: int, percent: int) ->
             if keys:
                 yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array(s0, np.int64), bands)), pa.array(np.repeat(np.array(s1, np.int64), bands)), pa.array(buckets(np.stack(keys), per_band).view(np.int64).ravel())], names=["s0", "s1", "bucket"])
 
-    return docs.select(F.col(quoted(text_col)).alias("text")).mapInArrow(run, "s0 long, s1 long, bucket long")
+    return docs.select(F.col(quoted(text_col)).alias("text")).mapInArrow(lean(run), "s0 long, s1 long, bucket long")
 
 
 def _full_sets(docs: DataFrame, text_col: str, words: int, wanted: DataFrame) -> DataFrame:
@@ -151,7 +151,7 @@ def _full_sets(docs: DataFrame, text_col: str, words: int, wanted: DataFrame) ->
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in rows], pa.int64()), pa.array([k[1] for k in rows], pa.int64()), pa.array([s.tobytes() for s in rows.values()], pa.binary())], names=["s0", "s1", "shingles"])
 
-    sets = docs.select(F.col(quoted(text_col)).alias("text")).mapInArrow(run, "s0 long, s1 long, shingles binary")
+    sets = docs.select(F.col(quoted(text_col)).alias("text")).mapInArrow(lean(run), "s0 long, s1 long, shingles binary")
     return sets.join(small(wanted), ["s0", "s1"]).select("c", "shingles").dropDuplicates(["c"])
 
 
@@ -192,7 +192,7 @@ def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 keep.append(100 * both >= percent * (len(p) + len(q) - both))
             yield pa.RecordBatch.from_arrays([x.column("a"), x.column("b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return pairs.join(b, "b").join(a, "a").select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
+    return pairs.join(b, "b").join(a, "a").select("a", "b", "sa", "sb").mapInArrow(lean(run), "a long, b long")
 
 
 def block_links(ids: np.ndarray, labels: np.ndarray, block: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import mix, quoted, short_batches, slices, utf8
+from graphloom.llm.common import lean, mix, quoted, short_batches, slices, utf8
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: A worker forgets what it has worked out beyond so many parts.
@@ -347,7 +347,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mode
             listed = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(ids) if ids else np.empty(0, np.int32), pa.int32()))
             yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(sizes, pa.int64()), pa.array(counts, pa.int64()), listed, pa.array(lossless)], names=["id", "n_bytes", "n_tokens", "token_ids", "lossless"])
 
-    return base.mapInArrow(run, "id long, n_bytes long, n_tokens long, token_ids array<int>, lossless boolean")
+    return base.mapInArrow(lean(run), "id long, n_bytes long, n_tokens long, token_ids array<int>, lossless boolean")
 
 
 def decode(encoded: DataFrame, id_col: str = "id", ids_col: str = "token_ids", model: str = MODEL) -> DataFrame:
@@ -362,6 +362,6 @@ def decode(encoded: DataFrame, id_col: str = "id", ids_col: str = "token_ids", m
             texts = [e.decode(np.array(x or [], np.int64)).decode("utf-8") if x else "" for x in b.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(texts, pa.string())], names=["id", "text"])
 
-    return encoded.select(F.col(id_col).alias("id"), F.col(ids_col).alias("ids")).mapInArrow(run, "id long, text string")
+    return encoded.select(F.col(id_col).alias("id"), F.col(ids_col).alias("ids")).mapInArrow(lean(run), "id long, text string")
 
 
