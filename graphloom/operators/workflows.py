@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from graphloom.functions import scalars as S
 
 STEP = "array<struct<step_number:int,action:string,component:string,details:string>>"
+#: Bytes of source texts that a task of contexts takes, about.
+TASK_BYTES = 32 << 20
 # ---- Fixed values: what semantic fields may hold.
 ROLES = "gateway processor sink orchestrator validator transformer aggregator dispatcher adapter mediator repository factory strategy".split()
 POSITIONS = "entry_point validation processing transformation aggregation storage output error_handling".split()
@@ -131,9 +133,13 @@ def llm_context(trace: DataFrame, profiles: DataFrame) -> DataFrame:
     data = F.col("data") if "data" in profiles.columns else F.lit(None).cast("string")
     name = S.first_given(F.col("function_name"), F.col("class_name"), F.get_json_object(data, "$.name"), F.col("id"))
     known = profiles.select("id", "file_path", name.alias("name"), "source_code", data.alias("data"))
-    got = trace.join(known, "id").filter((F.col("position") == 0) | (F.col("id") != F.col("entry")))
-    got = got.withColumn("about", step_document(F.col("data")))
-    numbered = got.withColumn("n", F.sum(F.when(F.col("position") > 0, 1).otherwise(0)).over(Window.partitionBy("entry").orderBy("position")))
+    # tasks by the bytes of the texts: these compress so well that the shuffled bytes say nothing of the memory that a task needs
+    size = known.agg(F.sum(F.coalesce(F.octet_length("source_code"), F.lit(0)).cast("long") + F.coalesce(F.octet_length("data"), F.lit(0)))).first()[0] or 0
+    tasks = max(trace.sparkSession.sparkContext.defaultParallelism, -(-size // TASK_BYTES))
+    got = trace.repartition(tasks, "id").join(known.repartition(tasks, "id").hint("merge"), "id").filter((F.col("position") == 0) | (F.col("id") != F.col("entry")))
+    # only the entry's own source is shown
+    got = got.withColumn("source_code", F.when(F.col("position") == 0, F.col("source_code"))).withColumn("about", step_document(F.col("data"))).drop("data")
+    numbered = got.repartition(tasks, "entry").withColumn("n", F.sum(F.when(F.col("position") > 0, 1).otherwise(0)).over(Window.partitionBy("entry").orderBy("position")))
     head = F.concat(F.lit("### WORKFLOW ENTRY POINT: SOURCE CODE\nFile: "), F.coalesce("file_path", F.lit("")), F.lit("\nName: "), F.col("name"), F.lit("\n```python\n"), F.coalesce("source_code", F.lit("")), F.lit("\n```\n"))
     step = F.concat(F.lit("--- Step "), F.col("n"), F.lit(": "), F.col("name"), F.lit(" ---\n"), F.col("about"), F.lit("\n"))
     lines = numbered.select("entry", "position", F.when(F.col("position") == 0, head).alias("head"), F.when(F.col("position") > 0, step).alias("step"))

@@ -55,7 +55,8 @@ def list_entry_points(spark, d):
     how = F.when(s % 4 == 0, F.concat(F.lit(".get("), route, F.lit(")"))).when(s % 4 == 1, F.concat(F.lit(".route("), route, F.lit(", methods=['put', 'delete'])"))).when(s % 4 == 2, F.concat(F.lit(".websocket(path="), route, F.lit(")"))).otherwise(".api_route(BASE + '/q')")
     pad = F.when(s % 2 == 0, "    ").otherwise("")
     text = F.concat(F.when(s % 3 == 0, "import fastapi\n").when(s % 3 == 1, "from flask import x\n").otherwise(""), F.when(s % 2 == 0, "class V:\n").otherwise(""), pad, F.lit("@"), owner, how, F.lit("\n"), pad, F.lit("def f"), k, F.lit("(x): pass\n"))
-    files = A.table(spark, d, "part").select(F.concat(F.lit("api/"), b, F.lit("/"), k, F.lit(".py")).alias("path"), text.alias("content"))
+    part = A.spread(A.table(spark, d, "part").select("p_partkey", "p_brand", "p_size"), "p_partkey")
+    files = part.select(F.concat(F.lit("api/"), b, F.lit("/"), k, F.lit(".py")).alias("path"), text.alias("content"))
     got = P.entry_points(files, storage.settle(P.extract(files)), limit=200)
     return got.select("route", F.array_join("http_methods", ",").alias("methods"), "label", "file_path", "framework", "profile_id")
 
@@ -91,7 +92,7 @@ def _picked_sql(words: list[str], step: int) -> str:
 
 
 def _named(spark, d):
-    p = A.table(spark, d, "part")
+    p = A.spread(A.table(spark, d, "part").select("p_partkey", "p_name", "p_size"), "p_partkey")
     path = F.concat(_pick(_FOLDERS, "p_partkey", 1), F.lit("/"), F.translate("p_name", " ", "_"), F.when(F.col("p_size") % 7 == 0, "_test").otherwise(""), F.lit(".py"))
     return p.select("p_partkey", F.when(F.col("p_size") != 1, path).alias("path"), F.when(F.col("p_size") % 5 != 0, _pick(_NAMES, "p_partkey", 7)).alias("class_name"), F.when(F.col("p_size") % 3 != 0, _pick(_VERBS, "p_partkey", 3)).alias("function_name"))
 
@@ -139,7 +140,7 @@ regexp_matches(call, '(^|[.:])__[^.:]*__$') OR starts_with(lower(call), 'super('
 FROM (SELECT p_partkey, {_picked_sql(_ROOTS, 1)} || CASE WHEN p_size % 2 = 0 THEN '.' ELSE '::' END || {_picked_sql(_TAILS, 5)} AS call FROM part))""")
 def noisy_calls(spark, d):
     """Whether a call is noise, in the graph and outside of it, for a call made of every part's key."""
-    p = A.table(spark, d, "part").select("p_partkey", F.concat(_pick(_ROOTS, "p_partkey", 1), F.when(F.col("p_size") % 2 == 0, ".").otherwise("::"), _pick(_TAILS, "p_partkey", 5)).alias("call"))
+    p = A.spread(A.table(spark, d, "part").select("p_partkey", "p_size"), "p_partkey").select("p_partkey", F.concat(_pick(_ROOTS, "p_partkey", 1), F.when(F.col("p_size") % 2 == 0, ".").otherwise("::"), _pick(_TAILS, "p_partkey", 5)).alias("call"))
     return p.select("p_partkey", link.is_noisy_call(F.col("call")).alias("noisy"), link.is_noisy_external_call(F.col("call")).alias("noisy_outside"))
 
 
@@ -159,7 +160,7 @@ def repaired_ids(spark, d):
     a, b, c, k = F.split("p_name", " ")[0], F.lower("p_type"), F.concat(F.lit("K"), "p_size"), F.col("p_size") % 6
     text = lambda *xs: F.concat(*[F.lit(x) if isinstance(x, str) else x for x in xs])
     wrong = F.when(k == 0, text("python::class::", a, ".", b, ".", c)).when(k == 1, text("python::function::", a, ".", c, ".Inner")).when(k == 2, text("python::", a, ".", b, "::", c)).when(k == 3, text("python::", a, "/", b, ".py::", c)).when(k == 4, text(a, "::", b)).otherwise(text("python::method::", a, ".", b))
-    return A.table(spark, d, "part").select("p_partkey", S.repaired_id(wrong).alias("fixed"))
+    return A.spread(A.table(spark, d, "part").select("p_partkey", "p_name", "p_type", "p_size"), "p_partkey").select("p_partkey", S.repaired_id(wrong).alias("fixed"))
 
 
 @query("""WITH c AS (SELECT target, count(*) AS n FROM edges WHERE type = 'INHERITS_FROM' GROUP BY target), top AS (SELECT id FROM (SELECT DISTINCT 'brand::' || p_brand AS id FROM part) LEFT JOIN c ON id = target ORDER BY coalesce(n, 0) DESC, id LIMIT 1)

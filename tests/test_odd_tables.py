@@ -32,3 +32,24 @@ def test_payload_of_an_anchor_outside_the_graph_and_of_ends_without_id(spark, tm
     df.write.parquet(str(tmp_path / f"{odd}.parquet"))
     got, want = against_sql(spark, "subgraph_payload", str(tmp_path))
     assert got == want and len(got) == (1 if odd == "part" else len(got))
+
+
+@pytest.mark.skipif(not os.path.exists(SMALL), reason="needs the given tables")
+def test_rows_of_a_small_file_are_dealt_over_tasks(spark, monkeypatch):
+    from graphloom.operators import workflows
+    from graphloom.plans import adapter
+    from graphloom.sources import python_source
+
+    assert adapter.spread(spark.range(90).coalesce(1), "id", most=10).rdd.getNumPartitions() == 9
+    many = spark.sparkContext.defaultParallelism
+    for name in ("node_category", "quiet_profiles", "noisy_calls", "repaired_ids"):
+        assert registry.queries()[name](spark, SMALL).rdd.getNumPartitions() >= many
+    seen = []
+    for name in ("extract", "entry_points"):
+        monkeypatch.setattr(python_source, name, lambda files, *x, f=getattr(python_source, name), **k: seen.append(files.rdd.getNumPartitions()) or f(files, *x, **k))
+    registry.queries()["list_entry_points"](spark, SMALL)
+    assert len(seen) == 2 and min(seen) >= many
+    monkeypatch.setattr(workflows, "TASK_BYTES", 2_000)
+    assert registry.queries()["workflow_contexts"](spark, SMALL).rdd.getNumPartitions() > 2 * many
+    got, want = against_sql(spark, "workflow_contexts", SMALL)
+    assert got == want
