@@ -4,8 +4,8 @@ A document's set holds its distinct shingles of `words` words (fewer words: the
 nothing). Documents with equal sets are one class. Each class gets BINS one-permutation minima; an empty bin takes the value of
 the bin that its own sequence of keyed probes meets first (optimal densification). BANDS bands of ROWS minima make buckets.
 In a bucket the candidates form a star around a centre, and every candidate link is confirmed on the full sets. Members
-that are still in another component than the centre are tried again around MORE_CENTRES further centres. A bucket that holds
-several components even then is dealt into blocks of bounded size, and each two of its blocks, but for two of its largest component, meet in a unit that
+that are still in another component than the centre are tried again: in a bucket of up to MORE_CENTRES + 1 members around each other one, in a larger one around FEW_CENTRES of its largest component,
+so that only the few outside of that make rows. A bucket that holds several components even then is dealt into blocks of bounded size, and each two of its blocks, but for two of its largest component, meet in a unit that
 compares full sets of different components and gives only links: so no link between members of a bucket is lost, a
 bucket of one component costs one star, and no pair of a large bucket becomes a row.
 
@@ -27,8 +27,8 @@ from pyspark.sql import functions as F
 from graphloom.llm.common import join_hot, lean, mix, quoted, settle, slices, small, utf8, word_hashes
 
 BINS, MISS = 252, 5e-6
-#: Centres of a bucket's second round of stars.
-MORE_CENTRES = 7
+#: Centres of a bucket's second round of stars: all members that are left of a small bucket, some of its largest component in a larger one.
+MORE_CENTRES, FEW_CENTRES = 7, 3
 #: Mean members and mean bytes of sets in a block of a bucket that stars did not settle.
 BLOCK_SETS, BLOCK_BYTES = 128, 2 << 20
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53)]
@@ -271,9 +271,11 @@ def link_classes(docs: DataFrame, classes: DataFrame, text_col: str, words: int,
         if done is None:  # one centre each: an aggregate, combined before the shuffle
             centres = open_.groupBy("bucket").agg(F.min(F.struct("rank", "label")).alias("x")).select("bucket", F.col("x.rank").alias("rank"), F.col("x.rank.c").alias("a"), F.col("x.label").alias("la"))
         else:
-            left = open_.join(done, "bucket").filter(F.col("rank") > F.col("last"))
+            parts = state.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("n"))
+            whole = parts.groupBy("bucket").agg(F.max(F.struct("n", "label"))["label"].alias("largest"), (F.sum("n") <= step + 1).alias("few"))
+            left = open_.join(done, "bucket").filter(F.col("rank") > F.col("last")).join(whole, "bucket").filter("few or label = largest")
             place = F.row_number().over(Window.partitionBy("bucket").orderBy("rank"))
-            centres = left.withColumn("place", place).filter(F.col("place") <= step).select("bucket", "rank", F.col("c").alias("a"), F.col("label").alias("la"))
+            centres = left.withColumn("place", place).filter(F.col("place") <= F.when(F.col("few"), step).otherwise(FEW_CENTRES)).select("bucket", "rank", F.col("c").alias("a"), F.col("label").alias("la"))
         centres = settle(centres, "centres")
         pairs = state.join(centres, "bucket").filter("label <> la").select(F.least("a", "c").alias("a"), F.greatest("a", "c").alias("b")).distinct()
         pairs = settle(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
@@ -282,10 +284,12 @@ def link_classes(docs: DataFrame, classes: DataFrame, text_col: str, words: int,
         if not found.isEmpty():
             links = links.union(found)
             label = settle(components(links), "labels")
-        done = centres.groupBy("bucket").agg(F.max("rank").alias("last"))
+        last = centres.groupBy("bucket").agg(F.max("rank").alias("last"))
+        done = last if done is None else last.unionByName(done).groupBy("bucket").agg(F.max("last").alias("last"))
         named = members.join(done, "bucket").join(label.withColumnRenamed("v", "c"), "c", "left").select("bucket", "c", F.coalesce("label", "c").alias("label"), "last")
-        # a bucket goes on while it has two components and a member that has not been a centre
-        mixed = named.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.max(F.struct(F.xxhash64("c").alias("h"), F.col("c")) > F.col("last")).alias("more")).filter("lo <> hi and more").select("bucket")
+        # a bucket goes on while it has two components and a member that has not been a centre, which a larger one always has
+        more = F.max(F.struct(F.xxhash64("c").alias("h"), F.col("c")) > F.col("last")) | (F.count(F.lit(1)) > MORE_CENTRES + 1)
+        mixed = named.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), more.alias("more")).filter("lo <> hi and more").select("bucket")
         state = settle(named.join(mixed, "bucket", "left_semi").select("bucket", "c", "label"), "state")
         if state.isEmpty():
             return label

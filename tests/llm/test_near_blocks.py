@@ -56,3 +56,22 @@ def test_variants_of_one_text(spark, monkeypatch):
     want = _least([(a, b) for a in sets for b in sets if b < a and _alike(sets[a], sets[b], 85)], list(sets))
     assert {r["id"]: r["component_id"] for r in got} == want
     assert met and 1 < len(set(want.values())) < 60
+
+
+def test_second_stars_leave_the_large_component_alone(spark, monkeypatch):
+    words = [f"w{i}" for i in range(400)]
+    rows = [(k, " ".join([*words, f"v{k}"])) for k in range(50)]  # close to one another, and far from the rest
+    rows += [(100 + k, " ".join([*words[:345], *(f"x{k}-{i}" for i in range(55))])) for k in range(12)]
+    pairs = []
+
+    def settle(df, label, f=minhash_dedup.settle):
+        out = f(df, label)
+        if label == "pairs":
+            pairs.append(out.count())
+        return out
+
+    monkeypatch.setattr(minhash_dedup, "settle", settle)
+    got = minhash_dedup.find_near(spark.createDataFrame(rows, "doc_id long, text string"), words=3, percent=85).collect()
+    assert {r["id"]: r["component_id"] for r in got} == {k: 0 if k < 50 else k for k, _ in rows}
+    # in the second round at most FEW_CENTRES of the large component with the others, and pairs of the others in small buckets
+    assert len(pairs) == 2 and pairs[1] <= 12 * 10, pairs
