@@ -1,21 +1,20 @@
 """Quality classifier: interpolated modified Kneser-Ney n-gram models of trusted text, by language, thresholded by quantiles of each language.
 
-The n-grams are of ORDER bytes (case kept), so that symbols stuck to words, capitals and broken layout all cost. Trained on a bounded
-sample: per language about SAMPLE trusted rows by a keyed hash, and about POOLED_SAMPLE rows of all languages together, among texts of at most SAMPLE_BYTES bytes and
-in the half of all ids that may be drawn (the other half is never drawn, so some trusted rows are outside the sample at every size).
+The n-grams are of ORDER bytes (case kept), so that symbols stuck to words, capitals and broken layout all cost. Trained on all trusted rows, whole, in the half of all ids
+that a keyed hash gives to training; the thresholds come from all trusted rows of the other half.
 
-Sharded count joins. Tasks count their part of the sample, and counts are summed by (language, n-gram) over the cluster. A task per language turns
-its counts (bounded by the sample) into sorted hash arrays of discounted counts and back-off weights of all orders, cut into SHARDS by the highest bits of the hash and
+Sharded count joins. Tasks count n-grams of their training texts, and counts are summed by (language, n-gram) over the cluster. A task per language turns
+its counts (one per distinct n-gram) into sorted hash arrays of discounted counts and back-off weights of all orders, cut into SHARDS by the highest bits of the hash and
 written to the shared folder. Tasks that hold documents sort the hashes of their distinct n-grams, and join them shard by shard with those arrays, mapped
-into memory: no text moves, and no counts pass the driver.
+into memory: no counts pass the driver, and texts move only to meet trusted ids that are too many to broadcast.
 
-A language's model is mixed with the pooled one by how much text its sample has, n / (n + MIXED) against the rest, so that few trusted rows lean on
+A language's model is mixed with the pooled one by how much text it was trained on, n / (n + MIXED) against the rest, so that few trusted rows lean on
 the model of all, alike at every size. The score is bits per byte, drawn to the language's median as if PRIOR more bytes had it, since few bytes tell little. A
-document stays if its score is at most the language's QUANTILE of trusted documents outside the sample, times MARGIN; that of few documents is raised towards
+document stays if its score is at most the language's QUANTILE of trusted documents outside training, times MARGIN; that of few documents is raised towards
 the spread of all.
 
 Defined results: null or empty text scores the language's median and stays; a null language is judged by the pooled model; a language (or null) without
-trusted documents outside the sample is judged by the pooled model and the quantile of all of them under it; no labels at all: every document stays; repeated rows are
+trusted documents outside training is judged by the pooled model and the quantile of all of them under it; no labels at all: every document stays; repeated rows are
 judged alike (of rows that share an id, the one of least text trains); further columns are ignored (judge) or kept (drop_bad).
 """
 
@@ -31,11 +30,12 @@ from graphloom.llm.common import drop_rows, fresh_path, lean, mix, quoted, settl
 #: Shards are cut by the highest SHARD_BITS bits of the hash.
 ORDER, SHARD_BITS = 4, 4
 SHARDS = 1 << SHARD_BITS
-SAMPLE, POOLED_SAMPLE, SAMPLE_BYTES = 400, 1600, 20_000
 MIXED = 20_000
 PRIOR, QUANTILE, MARGIN = 80, 0.99, 1.05
 POOLED = "all"
 _BLOCK = 1 << 19
+#: N-grams that a task holds before it counts them.
+_HELD = 1 << 23
 
 
 def codes(text: bytes) -> np.ndarray:
@@ -128,33 +128,56 @@ def _name(lang: str) -> str:
     return xxhash.xxh3_128_hexdigest(lang.encode())
 
 
+def _named(batches):
+    import pyarrow as pa
+
+    for b in batches:
+        langs = b.column("lang").to_pylist()
+        yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array([_name(x) for x in langs], pa.string())], names=["of", "model"])
+
+
+def _pieces(text: bytes):
+    """codes() of a text, a block at a time; pieces of a very long text overlap by the context."""
+    for at in range(0, len(text), _BLOCK):
+        part = codes(text[max(0, at - ORDER + 1) : at + _BLOCK])
+        yield part[min(at, ORDER - 1) : len(part) - (at + _BLOCK < len(text))]
+
+
 def train(base: DataFrame, trusted: DataFrame, seed: int) -> tuple[str, DataFrame]:
-    """The folder of the models' arrays, and the sample: id, own (whether its language's model has it), pooled."""
-    share = lambda k: (F.shiftrightunsigned(F.xxhash64(F.lit(seed + k), "id"), 12) + F.lit(0.5)) / float(1 << 52)
-    may = F.xxhash64(F.lit(seed), "id") % 2 == 0
-    drawn = settle(base.filter(F.octet_length("text").between(1, SAMPLE_BYTES) & may).join(small(trusted), "id", "left_semi").select("id", "lang"), "may-train")
-    sizes = settle(drawn.groupBy("lang").agg(F.count(F.lit(1)).alias("n")), "language-sizes")
-    whole = drawn.count()
-    marked = drawn.join(small(sizes.withColumnRenamed("lang", "of")), F.col("lang") == F.col("of"), "left")
-    # about so many rows of each language: a row's own hash decides, so no language meets in one task
-    marked = marked.select("id", F.coalesce(share(1) * F.col("n") < SAMPLE, F.lit(False)).alias("own"), (share(2) * whole < POOLED_SAMPLE).alias("pooled")).filter("own or pooled")
-    sample = settle(marked.groupBy("id").agg(F.max("own").alias("own"), F.max("pooled").alias("pooled")), "sample")
+    """The folder of the models' arrays, and the ids that train: all trusted rows with text in the half of all ids that trains."""
+    may = (F.xxhash64(F.lit(seed), "id") % 2 == 0) & (F.octet_length("text") > 0)
+    rows = base.filter(may).select("id", "text", "lang")
+    ids = settle(rows.select("id").join(small(trusted), "id", "left_semi").groupBy("id").agg(F.count(F.lit(1)).alias("n")), "training")
+    once, repeated = ids.filter("n = 1").select("id"), settle(ids.filter("n > 1").select("id"), "repeated")
 
     def count(batches):
         import pyarrow as pa
 
-        for b in slices(batches):
-            by: dict[str, list[np.ndarray]] = {}
-            for lang, text, own, pooled in zip(b.column("lang").to_pylist(), utf8(b.column("text")), b.column("own").to_pylist(), b.column("pooled").to_pylist(), strict=True):
-                for name in ([_name(lang)] if own and lang is not None else []) + [POOLED] * pooled:
-                    by.setdefault(name, []).append(codes(text))
-            for name, parts in by.items():
+        def summed():
+            for lang, parts in by.items():
                 u, n = np.unique(np.concatenate(parts), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array([name] * len(u), pa.string()), pa.array(u.astype(np.int64)), pa.array(n.astype(np.int64))], names=["model", "gram", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(u), pa.string()), pa.array(u.astype(np.int64)), pa.array(n.astype(np.int64))], names=["lang", "gram", "n"])
 
-    one = F.min(F.struct("text", "lang", "own", "pooled")).alias("x")
-    texts = base.filter(F.octet_length("text").between(1, SAMPLE_BYTES)).join(small(sample), "id").groupBy("id").agg(one).select("x.*")
-    summed = texts.mapInArrow(lean(count), "model string, gram long, n long").groupBy("model", "gram").agg(F.sum("n").alias("n"))
+        by, size = {}, 0
+        for b in slices(batches):
+            for lang, text in zip(b.column("lang").to_pylist(), utf8(b.column("text")), strict=True):
+                for part in _pieces(text):
+                    by.setdefault(lang, []).append(part)
+                    size += len(part)
+                    if size > _HELD:
+                        yield from summed()
+                        by, size = {}, 0
+        yield from summed()
+
+    # of rows that share an id, the one of least text trains; no other text is sorted
+    one = rows.join(small(repeated), "id", "left_semi").groupBy("id").agg(F.min(F.struct("text", "lang")).alias("x")).select("x.text", "x.lang")
+    texts = rows.join(small(settle(once, "trains-once")), "id", "left_semi").select("text", "lang").unionByName(one)
+    each = settle(texts.mapInArrow(lean(count), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")), "counts")
+    names = settle(each.filter("lang is not null").groupBy("lang").agg(F.sum("n").alias("n")), "languages")
+    named = names.select("lang").mapInArrow(_named, "of string, model string")
+    own = each.join(small(settle(named, "models-of")), F.col("lang") == F.col("of")).select("model", "gram", "n")
+    summed = own.unionByName(each.groupBy("gram").agg(F.sum("n").alias("n")).select(F.lit(POOLED).alias("model"), "gram", "n"))
+    sample = ids.select("id")
     folder = fresh_path(base.sparkSession, "quality-models")
 
     def write(key, table):
@@ -167,7 +190,7 @@ def train(base: DataFrame, trusted: DataFrame, seed: int) -> tuple[str, DataFram
         put_array(folder, f"{name}.size", np.array([n.sum()], np.int64))
         return pa.table({"model": [name], "n": [int(n.sum())]})
 
-    # one task per language, over the bounded counts of its sample
+    # one task per language, over its distinct n-grams: their number is that of the ORDER-byte strings which the language uses, not of its texts
     settle(summed.groupBy("model").applyInArrow(write, "model string, n long"), "models")
     return folder, sample
 
@@ -203,10 +226,7 @@ def perplexities(base: DataFrame, folder: str) -> DataFrame:
 
                 for i, t in enumerate(texts):
                     if langs[i] == lang and t:
-                        for at in range(0, len(t), _BLOCK):
-                            # pieces of a very long text overlap by the context
-                            part = codes(t[max(0, at - ORDER + 1) : at + _BLOCK])
-                            part = part[min(at, ORDER - 1) : len(part) - (at + _BLOCK < len(t))]
+                        for part in _pieces(t):
                             held.append(part)
                             who.append(i)
                             size += len(part)

@@ -163,3 +163,16 @@ def test_stages_keep_clashing_and_dotted_columns(spark, tmp_path):
             out = stage(spark, rows, folder)
             assert out.columns == docs.columns and out.filter("`a.b` <> 6").count() == 0
         assert corpus_pipeline.STAGES[-1][1](spark, rows, folder).count() == rows.count()
+
+
+def test_all_trusted_rows_of_the_training_half_are_counted(spark):
+    from pyspark.sql import functions as F
+
+    texts = {i: ("word " * 5000 if i % 100 == 7 else f"some words of {i % 13} and {i}") for i in range(1800)}
+    base = spark.createDataFrame([(i, "en" if i % 3 else None, t) for i, t in texts.items()], "id long, lang string, text string")
+    trusted = spark.range(0, 1800, 1).filter("id % 10 <> 3")
+    folder, sample = quality.train(base, trusted, 11)
+    half = {r[0] for r in trusted.filter(F.xxhash64(F.lit(11), "id") % 2 == 0).collect()}
+    assert {r["id"] for r in sample.collect()} == half and any(i % 100 == 7 for i in half)
+    assert quality._model(folder, quality.POOLED)[0] == sum(len(texts[i]) + 1 for i in half)
+    assert quality._model(folder, quality._name("en"))[0] == sum(len(texts[i]) + 1 for i in half if i % 3)
