@@ -1,34 +1,41 @@
 """Layered layout of many graphs at once, from left to right: cycles broken, longest-path layers, fewer crossings by barycentre sweeps, positions.
 
-Every step is a join or a window over all graphs together; the rounds of the layering are as many as the longest graph has layers.
+Every step is a join or a window over all graphs together; the rounds of the layering are as many as the longest graph has layers. Graphs of up to WHOLE nodes and edges are dealt over tasks once, each whole,
+and a step over them shuffles nothing; those of larger graphs are joined by node, over all tasks.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphloom.operators.storage import settle
+from graphloom.operators.storage import dealt, settle, settle_dealt
 
 # ---- Fixed values: node width and least height, height of a further line of text and characters of a line, padding, gaps between nodes of a layer and between layers, margin.
 NODE_W, BASE_H, LINE_H, LINE_CHARS, PAD_H = 500, 90, 20, 54, 12
 NODE_SEP, RANK_SEP, MARGIN = 180, 450, 60
 SWEEPS = 6
+#: Nodes and edges of a graph that one task holds whole, and nodes and edges of a task.
+WHOLE, DEALT = 100_000, 500_000
+
+Keep = Callable[[DataFrame], DataFrame]
 
 
-def layers(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+def layers(nodes: DataFrame, edges: DataFrame, keep: Keep = settle) -> tuple[DataFrame, DataFrame]:
     """(graph, node, position, layer) and the edges without cycles (graph, source, target). nodes: graph, node, position; edges: graph, source, target.
     A node's layer is the length of the longest path that leads to it. Where all that is left of a graph lies on or behind cycles, the edges into its first node by position are turned round. Loops, repeats
-    and edges to nodes that aren't there are left out."""
-    known = settle(nodes.select("graph", "node", "position").dropDuplicates(["graph", "node"]))
+    and edges to nodes that aren't there are left out. Every table on the way is kept by `keep`."""
+    known = keep(nodes.select("graph", "node", "position").dropDuplicates(["graph", "node"]))
     ends = known.select("graph", "node")
     live = edges.select("graph", "source", "target").filter("source <> target").distinct()
-    live = settle(live.join(ends.withColumnRenamed("node", "source"), ["graph", "source"], "left_semi").join(ends.withColumnRenamed("node", "target"), ["graph", "target"], "left_semi"))
-    placed, kept, turned = _peeled(known, live)
-    return _peeled(known, settle(kept))[:2] if turned else (placed, kept)  # a node that waited on a cycle may lie further back without it
+    live = keep(live.join(ends.withColumnRenamed("node", "source"), ["graph", "source"], "left_semi").join(ends.withColumnRenamed("node", "target"), ["graph", "target"], "left_semi"))
+    placed, kept, turned = _peeled(known, live, keep)
+    return _peeled(known, keep(kept), keep)[:2] if turned else (placed, kept)  # a node that waited on a cycle may lie further back without it
 
 
-def _peeled(known: DataFrame, live: DataFrame) -> tuple[DataFrame, DataFrame, bool]:
+def _peeled(known: DataFrame, live: DataFrame, keep: Keep) -> tuple[DataFrame, DataFrame, bool]:
     """Nodes by the round in which nothing led to them any more, the edges in the directions that they have then, and whether some were turned."""
     left, placed, kept, layer = known, [], [], 0
     while not left.isEmpty():
@@ -37,17 +44,17 @@ def _peeled(known: DataFrame, live: DataFrame) -> tuple[DataFrame, DataFrame, bo
         stuck = left.join(free.select("graph").distinct(), "graph", "left_anti")
         first = F.row_number().over(Window.partitionBy("graph").orderBy("position", "node"))
         freed = stuck.withColumn("_n", first).filter("_n = 1")
-        now = settle(free.select("graph", "node", "position", F.lit(False).alias("_cut")).unionByName(freed.select("graph", "node", "position", F.lit(True).alias("_cut"))))
+        now = keep(free.select("graph", "node", "position", F.lit(False).alias("_cut")).unionByName(freed.select("graph", "node", "position", F.lit(True).alias("_cut"))))
         placed.append(now.withColumn("layer", F.lit(layer)))
         here = now.select("graph", "node")
         into = here.withColumnRenamed("node", "target").withColumn("_in", F.lit(True))
         out = here.withColumnRenamed("node", "source").withColumn("_out", F.lit(True))
         # an edge into a freed node is turned round; what leaves this layer is settled
         turned = live.join(into, ["graph", "target"], "left").select("graph", F.when(F.col("_in"), F.col("target")).otherwise(F.col("source")).alias("source"), F.when(F.col("_in"), F.col("source")).otherwise(F.col("target")).alias("target")).distinct()
-        marked = settle(turned.join(out, ["graph", "source"], "left"))
+        marked = keep(turned.join(out, ["graph", "source"], "left"))
         kept.append(marked.filter("_out").drop("_out"))
         live = marked.filter("_out is null").drop("_out")
-        left = settle(left.join(here, ["graph", "node"], "left_anti"))
+        left = keep(left.join(here, ["graph", "node"], "left_anti"))
         layer += 1
     empty = known.limit(0)
     every = _all(placed, empty.withColumns({"_cut": F.lit(False), "layer": F.lit(0)}))
@@ -61,45 +68,65 @@ def _all(parts: list[DataFrame], none: DataFrame) -> DataFrame:
     return out
 
 
-def places(placed: DataFrame, edges: DataFrame, sweeps: int = SWEEPS) -> DataFrame:
+def places(placed: DataFrame, edges: DataFrame, sweeps: int = SWEEPS, keep: Keep = settle) -> DataFrame:
     """graph, node, layer, place (from 1): an order of each layer with few crossings. Edges over several layers pass through a helper in each; a sweep orders a layer by the mean place of the
     neighbours in the layer before it, the next one by those in the layer after it; of all sweeps the order whose edges climb least is kept, graph by graph."""
     at = lambda end: placed.select("graph", F.col("node").alias(end), F.col("layer").alias(f"{end}_layer"))
     spans = edges.join(at("source"), ["graph", "source"]).join(at("target"), ["graph", "target"])
     real = F.struct(F.col("node"), F.lit(None).cast(placed.schema["node"].dataType).alias("to"), F.lit(None).cast("int").alias("step"))
     point = lambda i: F.when(i == F.col("source_layer"), F.struct(F.col("source").alias("node"), F.lit(None).cast(placed.schema["node"].dataType).alias("to"), F.lit(None).cast("int").alias("step"))).when(i == F.col("target_layer"), F.struct(F.col("target").alias("node"), F.lit(None).cast(placed.schema["node"].dataType).alias("to"), F.lit(None).cast("int").alias("step"))).otherwise(F.struct(F.col("source").alias("node"), F.col("target").alias("to"), i.cast("int").alias("step")))
-    hops = settle(spans.withColumn("i", F.explode(F.sequence(F.col("source_layer"), F.col("target_layer") - 1))).select("graph", F.col("i").alias("layer"), point(F.col("i")).alias("a"), point(F.col("i") + 1).alias("b")))
-    helpers = hops.filter("a.to is not null").select("graph", "layer", F.col("a").alias("p")).join(placed.select("graph", F.col("node").alias("_s"), "position"), (F.col("p.node") == F.col("_s")) & hops["graph"].eqNullSafe(placed["graph"])).select(hops["graph"], "layer", "p", "position")
+    hops = keep(spans.withColumn("i", F.explode(F.sequence(F.col("source_layer"), F.col("target_layer") - 1))).select("graph", F.col("i").alias("layer"), point(F.col("i")).alias("a"), point(F.col("i") + 1).alias("b")))
+    through = hops.filter("a.to is not null").select("graph", "layer", F.col("a").alias("p"), F.col("a.node").alias("node"))
+    helpers = through.join(placed.select("graph", "node", "position"), ["graph", "node"]).select("graph", "layer", "p", "position")
     every = placed.select("graph", "layer", real.alias("p"), "position").unionByName(helpers)
     rank = lambda *by: F.row_number().over(Window.partitionBy("graph", "layer").orderBy(*by)).cast("double")
-    order = settle(every.withColumn("place", rank("position", F.col("p.node"), F.col("p.to"))).withColumn("sweep", F.lit(0)).drop("position"))
+    order = keep(every.withColumn("place", rank("position", F.col("p.node"), F.col("p.to"))).withColumn("sweep", F.lit(0)).drop("position"))
     tried = [order]
     for s in range(1, sweeps + 1):
         mine, other = ("b", "a") if s % 2 else ("a", "b")
         neighbour = order.select("graph", F.col("p").alias(other), F.col("place").alias("_at"))
         pull = hops.join(neighbour, ["graph", other]).groupBy("graph", F.col(mine).alias("p")).agg(F.avg("_at").alias("mean"))
-        moved = order.drop("sweep").join(pull, (order["graph"].eqNullSafe(pull["graph"])) & order["p"].eqNullSafe(pull["p"]), "left").select(order["graph"], "layer", order["p"], "place", F.coalesce("mean", "place").alias("mean"))
-        order = settle(moved.withColumn("new", rank("mean", "place")).select("graph", "layer", "p", F.col("new").alias("place"), F.lit(s).alias("sweep")))
+        moved = order.join(pull, ["graph", "p"], "left").select("graph", "layer", "p", "place", F.coalesce("mean", "place").alias("mean"))
+        order = keep(moved.withColumn("new", rank("mean", "place")).select("graph", "layer", "p", F.col("new").alias("place"), F.lit(s).alias("sweep")))
         tried.append(order)
-    every = _all(tried[1:], tried[0])
-    ends = lambda x: every.select("graph", "sweep", F.col("p").alias(x), F.col("place").alias(f"_{x}"))
-    climb = hops.join(ends("a"), ["graph", "a"]).join(ends("b"), ["graph", "b", "sweep"]).groupBy("graph", "sweep").agg(F.sum(F.abs(F.col("_a") - F.col("_b"))).alias("climb"))
-    best = climb.groupBy("graph").agg(F.min_by("sweep", F.struct("climb", "sweep")).alias("sweep"))
-    chosen = every.join(best.withColumnRenamed("sweep", "best"), "graph", "left").filter(F.col("sweep") == F.coalesce("best", F.lit(0)))
+
+    def climbed(order: DataFrame) -> DataFrame:
+        at = lambda x: order.select("graph", "sweep", F.col("p").alias(x), F.col("place").alias(f"_{x}"))
+        return hops.join(at("a"), ["graph", "a"]).join(at("b").drop("sweep"), ["graph", "b"]).groupBy("graph", "sweep").agg(F.sum(F.abs(F.col("_a") - F.col("_b"))).alias("climb"))
+
+    climb = [climbed(x) for x in tried]  # sweep by sweep, as the orders lie
+    best = keep(_all(climb[1:], climb[0]).groupBy("graph").agg(F.min_by("sweep", F.struct("climb", "sweep")).alias("best")))
+    mine = [x.filter("p.to is null").join(best, "graph", "left").filter(F.col("sweep") == F.coalesce("best", F.lit(0))).drop("best") for x in tried]
     # helpers only hold room in the order
-    return chosen.filter("p.to is null").withColumn("place", rank("place").cast("int")).select("graph", F.col("p.node").alias("node"), "layer", "place")
+    return keep(_all(mine[1:], mine[0])).withColumn("place", rank("place").cast("int")).select("graph", F.col("p.node").alias("node"), "layer", "place")
 
 
 def layout(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """graph, node, layer, place, x, y (of the upper left corner): nodes have graph, node, position, description. Layers stand side by side, each centred on the tallest of its graph."""
-    placed, kept = layers(nodes, edges)
-    placed, kept = settle(placed), settle(kept)
+    spark = nodes.sparkSession
+    nodes, edges = settle(nodes.select("graph", "node", "position", "description")), settle(edges.select("graph", "source", "target"))
+    size = settle(nodes.select("graph").union(edges.select("graph")).groupBy("graph").count())
+    large = size.filter((F.col("count") > WHOLE) & F.col("graph").isNotNull()).select("graph")
+    if large.isEmpty():
+        few, many = (nodes, edges), None
+    else:
+        few, many = (tuple(x.join(large, "graph", how) for x in (nodes, edges)) for how in ("left_anti", "left_semi"))
+    tasks = max(spark.sparkContext.defaultParallelism, -(-(size.filter(F.col("count") <= WHOLE).agg(F.sum("count")).first()[0] or 0) // DEALT))
+    with dealt(spark):
+        deal = lambda df: settle_dealt(df, "graph", tasks)
+        out = _laid(*(deal(x.repartition(tasks, "graph")) for x in few), deal)
+    return out if many is None else out.unionByName(_laid(*many, settle))
+
+
+def _laid(nodes: DataFrame, edges: DataFrame, keep: Keep) -> DataFrame:
+    placed, kept = layers(nodes, edges, keep)
+    placed, kept = keep(placed), keep(kept)
     text = nodes.select("graph", "node", F.coalesce("description", F.lit("")).alias("_text")).dropDuplicates(["graph", "node"])
     lines = F.greatest(F.ceil(F.length("_text") / LINE_CHARS) - 1, F.lit(0))
-    tall = places(placed, kept).join(text, ["graph", "node"]).withColumn("h", BASE_H + lines * LINE_H + PAD_H)
+    tall = places(placed, kept, keep=keep).join(text, ["graph", "node"]).withColumn("h", BASE_H + lines * LINE_H + PAD_H)
     before = Window.partitionBy("graph", "layer").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
-    stacked = tall.withColumn("above", F.coalesce(F.sum(F.col("h") + NODE_SEP).over(before), F.lit(0)))
-    height = stacked.groupBy("graph", "layer").agg((F.sum("h") + NODE_SEP * (F.count(F.lit(1)) - 1)).alias("height"))
+    stacked = keep(tall.withColumn("above", F.coalesce(F.sum(F.col("h") + NODE_SEP).over(before), F.lit(0))))
+    height = keep(stacked.groupBy("graph", "layer").agg((F.sum("h") + NODE_SEP * (F.count(F.lit(1)) - 1)).alias("height")))
     most = height.groupBy("graph").agg(F.max("height").alias("most"))
     got = stacked.join(height, ["graph", "layer"]).join(most, "graph")
-    return got.select("graph", "node", "layer", "place", (MARGIN + F.col("layer") * (NODE_W + RANK_SEP)).cast("double").alias("x"), (MARGIN + (F.col("most") - F.col("height")) / 2 + F.col("above")).cast("double").alias("y"))
+    return keep(got.select("graph", "node", "layer", "place", (MARGIN + F.col("layer") * (NODE_W + RANK_SEP)).cast("double").alias("x"), (MARGIN + (F.col("most") - F.col("height")) / 2 + F.col("above")).cast("double").alias("y")))

@@ -55,3 +55,29 @@ def test_layers_and_crossings(spark):
         assert x["x"] == 60 + 950 * k and [p for p, _, _ in mine] == list(range(1, len(mine) + 1)) and all(b[1] == a[1] + a[2] + 180 for a, b in zip(mine, mine[1:], strict=False))
         assert min(y["y"] for y in got if y["graph"] == g) == 60
     assert layered.layout(df.limit(0), links).count() == 0 and layered.layout(df, links.filter(F.lit(False))).filter("layer > 0").count() == 0
+
+
+def test_dealt_graphs_shuffle_nothing_and_large_ones_come_out_alike(spark, monkeypatch):
+    r = random.Random(8)
+    nodes = [(g, f"n{i}", r.randint(0, 9), "x" * r.randint(0, 90)) for g in range(3) for i in range(3 + 2 * g)]
+    edges = [(0, "n0", "n1"), (1, "n0", "n1"), (1, "n1", "n2"), (1, "n0", "n2"), (2, "n0", "n1"), (2, "n0", "n2"), (2, "n1", "n3"), (2, "n0", "n3"), (2, "n4", "n5"), (2, "n5", "n6")]
+    df, links = spark.createDataFrame(nodes, N), spark.createDataFrame(edges, E)
+    kept, keep = [], layered.settle_dealt
+
+    def watched(x, key, tasks):
+        kept.append(x._jdf.queryExecution().executedPlan().toString())
+        return keep(x, key, tasks)
+
+    monkeypatch.setattr(layered, "settle_dealt", watched)
+    monkeypatch.setattr(layered, "DEALT", 5)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)  # large tables
+    try:
+        whole = layered.layout(df, links).collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    # the two inputs are dealt; of the steps after them only those over tables put together shuffle
+    moved = [p for p in kept[2:] if "Exchange" in p]
+    assert len(kept) > 20 and len(moved) <= 4 and all("Union" in p for p in moved)
+    monkeypatch.setattr(layered, "WHOLE", 12)
+    assert sorted(layered.layout(df, links).collect()) == sorted(whole)
