@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import hashlib
 import json
+from datetime import datetime, timedelta
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
 
@@ -14,6 +15,10 @@ from graphloom.operators.storage import settings
 _ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
+def _seq(r: Row) -> tuple[bool, int]:
+    return r.seq is None, r.seq or 0
+
+
 class _Events(StatefulProcessor):
     """Log rows whose message differs from the last one, then one end or error row; what follows that is left out."""
 
@@ -24,20 +29,16 @@ class _Events(StatefulProcessor):
         self.last = handle.getValueState("last", "message string, ended boolean", self.ttl_ms)
 
     def handleInputRows(self, key, rows, timer_values):
-        import pandas as pd
-
-        last, ended = self.last.get() if self.last.exists() else ("", False)
-        some = pd.concat(list(rows)).sort_values("seq", kind="stable")
-        keep = []
-        for kind, m in zip(some["kind"], some["message"], strict=True):
-            m = "" if pd.isna(m) else m
-            keep.append(not ended and (kind != "log" or bool(m) and m != last))
-            if kind == "log":
+        last, ended = self.last.get() or ("", False)
+        for r in sorted(rows, key=_seq):
+            m = r.message or ""
+            if not ended and (r.kind != "log" or m and m != last):
+                yield Row(stream_id=r.stream_id, seq=r.seq, kind=r.kind, message=r.message)
+            if r.kind == "log":
                 last = m or last
             else:
                 ended = True
         self.last.update((last, ended))
-        yield some[keep][["stream_id", "seq", "kind", "message"]]
 
     def close(self) -> None:
         pass
@@ -46,7 +47,10 @@ class _Events(StatefulProcessor):
 def progress_events(logs: DataFrame, ttl_seconds: int = 86_400) -> DataFrame:
     """stream_id, seq, kind, message of a stream of logs (stream_id long, seq long, kind, message): kind is log, end or error. Equal neighbours and empty messages are left out, and whatever comes
     after a stream's end. Null messages count as empty. State goes after a day without rows."""
-    return logs.groupBy("stream_id").transformWithStateInPandas(_Events(1000 * ttl_seconds), "stream_id long, seq long, kind string, message string", "Append", "ProcessingTime")
+    return logs.groupBy("stream_id").transformWithState(_Events(1000 * ttl_seconds), "stream_id long, seq long, kind string, message string", "Append", "ProcessingTime")
+
+
+_EPOCH, _MICRO, _NEVER = datetime(1970, 1, 1), timedelta(microseconds=1), -(2**63) // 1000
 
 
 def crumbs_id(workspace: str, seq: int) -> str:
@@ -54,35 +58,38 @@ def crumbs_id(workspace: str, seq: int) -> str:
 
 
 class _Crumbs(StatefulProcessor):
-    """Lists of breadcrumbs by id, never changed: a push makes a new one."""
+    """Lists of breadcrumbs, never changed: a push makes a new one. A workspace's batch asks the state twice at most: one pass over its lists for the ids that the batch wants and does not make, one append of
+    what it makes."""
 
     def __init__(self, ttl_seconds: int):
         self.ttl = ttl_seconds
 
     def init(self, handle) -> None:
-        self.lists = handle.getMapState("lists", "cache_id string", "crumbs string, saved long", 1000 * self.ttl)
+        self.lists = handle.getListState("lists", "cache_id string, crumbs string, saved long", 1000 * self.ttl)
 
     def handleInputRows(self, key, rows, timer_values):
-        import pandas as pd
-
-        out = []
-        for r in pd.concat(list(rows)).sort_values("seq", kind="stable").itertuples():
-            at, made, crumbs, error = r.at.value // 1000, crumbs_id(key[0], r.seq), None, None
+        batch = sorted(rows, key=_seq)
+        ids, made = [crumbs_id(key[0], r.seq) for r in batch], {}
+        wanted = {r.cache_id for r in batch if r.cache_id is not None}
+        held = {k: (crumbs, saved) for k, crumbs, saved in self.lists.get() if k in wanted} if wanted - set(ids) else {}
+        for r, new in zip(batch, ids, strict=True):
+            at, text, error = _NEVER if r.at is None else (r.at.replace(tzinfo=None) - _EPOCH) // _MICRO, None, None
             node = json.loads(r.node)
             mine = {k: node.get(k) for k in ("node_key", "title", "node_type", "target_id")} | ({"metadata": {"action_parameters": node["action_parameters"]}} if node.get("action_parameters") else {})
-            if r.cache_id is None or pd.isna(r.cache_id):
-                crumbs = [mine]
+            mine = json.dumps(mine, ensure_ascii=False, separators=(",", ":"))
+            if r.cache_id is None:
+                text = f"[{mine}]"
             else:
-                got = self.lists.getValue((r.cache_id,)) if self.lists.containsKey((r.cache_id,)) else None
+                got = made.get(r.cache_id) or held.get(r.cache_id)
                 if got is None or at - got[1] > 1_000_000 * self.ttl:
                     error = f"Cache {r.cache_id} not found or expired"
                 else:
-                    crumbs = [*json.loads(got[0]), mine]
-            text = None if crumbs is None else json.dumps(crumbs, ensure_ascii=False, separators=(",", ":"))
+                    text = f"{got[0][:-1]},{mine}]"
             if text is not None:
-                self.lists.updateValue((made,), (text, at))
-            out.append((key[0], r.seq, None if error else made, text, error))
-        yield pd.DataFrame(out, columns=["workspace", "seq", "cache_id", "crumbs", "error"])
+                made[new] = (text, at)
+            yield Row(workspace=key[0], seq=r.seq, cache_id=None if error else new, crumbs=text, error=error)
+        if made:
+            self.lists.appendList([(k, *v) for k, v in made.items()])
 
     def close(self) -> None:
         pass
@@ -92,7 +99,7 @@ def breadcrumb_pushes(requests: DataFrame, ttl_seconds: int = 3600) -> DataFrame
     """workspace, seq, cache_id, crumbs (JSON), error of a stream of requests (workspace string, seq long, at timestamp, cache_id, node as JSON): a request without an id begins a list with its node, one with an
     id adds its node to that list under a new id, which workspace and seq give; so two pushes of one node have two ids, and a replay gives the same. A list lives for ttl_seconds, by the
     requests' times; the state store forgets it after as long by the clock."""
-    return requests.groupBy("workspace").transformWithStateInPandas(_Crumbs(ttl_seconds), "workspace string, seq long, cache_id string, crumbs string, error string", "Append", "ProcessingTime")
+    return requests.groupBy("workspace").transformWithState(_Crumbs(ttl_seconds), "workspace string, seq long, cache_id string, crumbs string, error string", "Append", "ProcessingTime")
 
 
 def last_arrivals(logs: DataFrame) -> DataFrame:

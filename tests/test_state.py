@@ -158,3 +158,38 @@ def test_response_cache(spark, tmp_path):
     for i in range(18):
         cache.save(rows(("d", [str(i % 3)], day(6), str(i))))
     assert len(cache._segments()) <= 16 and sorted(r["body"] for r in cache.entries().collect()) == ["15", "16", "17", "3", "4"]
+
+
+def test_a_batch_of_pushes_asks_the_state_twice():
+    from pyspark.sql import Row
+
+    class Lists:
+        """State of one workspace that counts what it is asked."""
+
+        def __init__(self):
+            self.rows, self.asked = {}, 0
+
+        def __getattr__(self, name):
+            def ask(*args):
+                self.asked += 1
+                if name == "appendList":
+                    self.rows |= {r[0]: r for r in args[0]}
+                elif name == "updateValue":
+                    self.rows[args[0][0]] = (*args[0], *args[1])
+                elif name == "get":
+                    return iter(self.rows.values())
+                elif name == "containsKey":
+                    return args[0][0] in self.rows
+                elif name == "getValue":
+                    return self.rows[args[0][0]][1:] if args[0][0] in self.rows else None
+
+            return ask
+
+    lists = Lists()
+    handle = type("Handle", (), {"getListState": lambda *a: lists, "getMapState": lambda *a: lists})()
+    crumbs, at = state._Crumbs(3600), datetime(2024, 1, 1)
+    crumbs.init(handle)
+    for some in (range(20), range(20, 40)):
+        rows = [Row(workspace="w", seq=i, at=at, cache_id=state.crumbs_id("w", i - 1) if i else None, node=json.dumps({"title": f"t{i}"})) for i in reversed(some)]
+        asked, got = lists.asked, list(crumbs.handleInputRows(("w",), iter(rows), None))
+        assert [len(json.loads(r["crumbs"])) for r in got] == [i + 1 for i in some] and lists.asked - asked <= 2
