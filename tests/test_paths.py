@@ -59,3 +59,17 @@ def test_prefix_and_histograms(spark):
     clean = df.filter("id in ('b', 'c', 'd')")
     got = {r["directory"]: r for r in graph.directory_components(clean).collect()}
     assert set(got) == {"x", "y"} and got["x"]["kinds"] == {"class": 1} and got["x"]["categories"] == {"model": 1} and got["y"]["kinds"] is None and got["y"]["categories"] is None
+
+
+def test_all_edges_are_written_as_they_come(spark, monkeypatch):
+    edges = [("a", "b", "calls"), ("a", "b", "CALLS"), ("a", "b", "USES"), ("b", "c", "CALLS"), ("b", "c", "CALLS"), ("x", "y", "CALLS")]
+    plans, settle = [], graph.settle
+
+    def watched(x):
+        plans.append((x.columns, x._jdf.queryExecution().executedPlan().toString()))
+        return settle(x)
+
+    monkeypatch.setattr(graph, "settle", watched)
+    got = graph.find_paths(spark.createDataFrame(edges, "source string, target string, type string"), ["a"], ["c"], max_depth=3).collect()
+    assert sorted((r["path"], r["types"]) for r in got) == [(["a", "b", "c"], ["CALLS", "CALLS"]), (["a", "b", "c"], ["USES", "CALLS"])]
+    assert plans[0][0] == ["source", "target", "type"] and "Exchange" not in plans[0][1]
