@@ -9,6 +9,7 @@ from datetime import datetime, timedelta
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
+from pyspark.sql.streaming.state import GroupStateTimeout
 
 from graphloom.operators.storage import settings
 
@@ -19,35 +20,36 @@ def _seq(r: Row) -> tuple[bool, int]:
     return r.seq is None, r.seq or 0
 
 
-class _Events(StatefulProcessor):
-    """Log rows whose message differs from the last one, then one end or error row; what follows that is left out."""
-
-    def __init__(self, ttl_ms: int):
-        self.ttl_ms = ttl_ms
-
-    def init(self, handle) -> None:
-        self.last = handle.getValueState("last", "message string, ended boolean", self.ttl_ms)
-
-    def handleInputRows(self, key, rows, timer_values):
-        last, ended = self.last.get() or ("", False)
-        for r in sorted(rows, key=_seq):
-            m = r.message or ""
-            if not ended and (r.kind != "log" or m and m != last):
-                yield Row(stream_id=r.stream_id, seq=r.seq, kind=r.kind, message=r.message)
-            if r.kind == "log":
-                last = m or last
-            else:
-                ended = True
-        self.last.update((last, ended))
-
-    def close(self) -> None:
-        pass
+def _events(key, batches, state, ttl_ms: int):
+    """Log rows whose message differs from the last one, then one end or error row; what follows that is left out. The state comes and goes with the rows, many streams at once."""
+    import pandas as pd
+
+    if state.hasTimedOut:
+        state.remove()
+        return
+    last, ended = state.get if state.exists else ("", False)
+    some = list(batches)
+    some = some[0] if len(some) == 1 else pd.concat(some, ignore_index=True)
+    if not some["seq"].is_monotonic_increasing:
+        some = some.sort_values("seq", kind="stable")
+    keep = []
+    for kind, m in zip(some["kind"].tolist(), some["message"].tolist(), strict=True):
+        m = "" if m is None or m != m else m
+        keep.append(not ended and (kind != "log" or bool(m) and m != last))
+        if kind == "log":
+            last = m or last
+        else:
+            ended = True
+    state.update((last, ended))
+    state.setTimeoutDuration(ttl_ms)
+    yield some[["stream_id", "seq", "kind", "message"]] if all(keep) else some.loc[keep, ["stream_id", "seq", "kind", "message"]]
 
 
 def progress_events(logs: DataFrame, ttl_seconds: int = 86_400) -> DataFrame:
     """stream_id, seq, kind, message of a stream of logs (stream_id long, seq long, kind, message): kind is log, end or error. Equal neighbours and empty messages are left out, and whatever comes
     after a stream's end. Null messages count as empty. State goes after a day without rows."""
-    return logs.groupBy("stream_id").transformWithState(_Events(1000 * ttl_seconds), "stream_id long, seq long, kind string, message string", "Append", "ProcessingTime")
+    step = lambda key, batches, state: _events(key, batches, state, 1000 * ttl_seconds)
+    return logs.groupBy("stream_id").applyInPandasWithState(step, "stream_id long, seq long, kind string, message string", "last string, ended boolean", "append", GroupStateTimeout.ProcessingTimeTimeout)
 
 
 _EPOCH, _MICRO, _NEVER = datetime(1970, 1, 1), timedelta(microseconds=1), -(2**63) // 1000

@@ -193,3 +193,26 @@ def test_a_batch_of_pushes_asks_the_state_twice():
         rows = [Row(workspace="w", seq=i, at=at, cache_id=state.crumbs_id("w", i - 1) if i else None, node=json.dumps({"title": f"t{i}"})) for i in reversed(some)]
         asked, got = lists.asked, list(crumbs.handleInputRows(("w",), iter(rows), None))
         assert [len(json.loads(r["crumbs"])) for r in got] == [i + 1 for i in some] and lists.asked - asked <= 2
+
+
+def test_state_of_events_comes_with_their_rows():
+    import pandas as pd
+
+    class State:
+        exists, hasTimedOut, get, removed = False, False, None, False
+
+        def update(self, x):
+            self.exists, self.get = True, x
+
+        def setTimeoutDuration(self, ms):
+            self.ms = ms
+
+        def remove(self):
+            self.removed = True
+
+    held, frame = State(), lambda *rows: pd.DataFrame(list(rows), columns=["stream_id", "seq", "kind", "message"])
+    run = lambda *frames: [r for f in state._events((1,), iter(frames), held, 5000) for r in f["seq"]]
+    assert run(frame((1, 2, "log", "a"), (1, 1, "log", None)), frame((1, 0, "log", "a"))) == [0] and held.ms == 5000
+    assert run(frame((1, 3, "log", "a"), (1, 4, "end", None), (1, 5, "log", "b"))) == [4] and run(frame((1, 6, "end", ""))) == []
+    held.hasTimedOut = True
+    assert run() == [] and held.removed
