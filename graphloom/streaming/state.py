@@ -60,7 +60,7 @@ def crumbs_id(workspace: str, seq: int) -> str:
 
 
 class _Crumbs(StatefulProcessor):
-    """Lists of breadcrumbs, never changed: a push makes a new one. A workspace's batch asks the state twice at most: one pass over its lists for the ids that the batch wants and does not make, one append of
+    """Lists of breadcrumbs, never changed: a push makes a new one. A workspace's batch asks the state twice at most: one pass over its lists when a push wants one that no push before it in the batch made, one append of
     what it makes."""
 
     def __init__(self, ttl_seconds: int):
@@ -73,7 +73,7 @@ class _Crumbs(StatefulProcessor):
         batch = sorted(rows, key=_seq)
         ids, made = [crumbs_id(key[0], r.seq) for r in batch], {}
         wanted = {r.cache_id for r in batch if r.cache_id is not None}
-        held = {k: (crumbs, saved) for k, crumbs, saved in self.lists.get() if k in wanted} if wanted - set(ids) else {}
+        held = None
         for r, new in zip(batch, ids, strict=True):
             at, text, error = _NEVER if r.at is None else (r.at.replace(tzinfo=None) - _EPOCH) // _MICRO, None, None
             node = json.loads(r.node)
@@ -82,7 +82,10 @@ class _Crumbs(StatefulProcessor):
             if r.cache_id is None:
                 text = f"[{mine}]"
             else:
-                got = made.get(r.cache_id) or held.get(r.cache_id)
+                got = made.get(r.cache_id)
+                if got is None:
+                    held = {k: (crumbs, saved) for k, crumbs, saved in self.lists.get() if k in wanted} if held is None else held
+                    got = held.get(r.cache_id)
                 if got is None or at - got[1] > 1_000_000 * self.ttl:
                     error = f"Cache {r.cache_id} not found or expired"
                 else:
