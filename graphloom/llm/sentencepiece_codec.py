@@ -33,6 +33,10 @@ KEPT, KEPT_CHARACTERS = 200_000, 1 << 23
 LONG = 2048
 #: Parts up to so many characters are segmented many at once.
 SHORT = 24
+#: So many parts are segmented at once.
+TOGETHER = 4000
+#: The order of a pair that forms no piece, and a slot of the table of pairs that holds none.
+LAST, _FREE = 1 << 30, -(1 << 62)
 _PART = re.compile(r" *[^ ]+| +")
 
 
@@ -110,7 +114,7 @@ def _word(key: int, place: int, piece: int) -> int:
 
 
 class Merges:
-    """Which two pieces form a third, as sorted arrays, to segment many parts at once. A part's symbols are ids; a character outside the vocabulary has none (-1)."""
+    """Which two pieces form a third, as a hash table in arrays, to segment many parts at once. A part's symbols are ids; a character outside the vocabulary has none (-1)."""
 
     def __init__(self, v: Vocabulary):
         found: dict[int, int] = {}
@@ -119,21 +123,44 @@ class Merges:
                 a, b = v.ids.get(text[:i]), v.ids.get(text[i:])
                 if a is not None and b is not None:
                     found[a << 20 | b] = k
-        pairs = sorted(found)
-        self.pairs, self.merged = np.array(pairs, np.int64), np.array([found[p] for p in pairs], np.int64)
+        keys, pieces = np.array(list(found), np.int64), np.array(list(found.values()), np.int32)
+        self.bits = max(10, 3 + len(keys).bit_length())
+        self.pairs, self.merged = np.full(1 << self.bits, _FREE, np.int64), np.full(1 << self.bits, -1, np.int32)
+        slot = self._slot(keys)
+        while len(keys):  # who finds its slot taken tries the next one
+            first = np.unique(slot, return_index=True)[1]
+            first = first[self.pairs[slot[first]] == _FREE]
+            self.pairs[slot[first]], self.merged[slot[first]] = keys[first], pieces[first]
+            rest = np.ones(len(keys), bool)
+            rest[first] = False
+            keys, pieces, slot = keys[rest], pieces[rest], (slot[rest] + 1) & ((1 << self.bits) - 1)
         self.neighbours = np.array(sorted({ord(a) << 21 | ord(b) for text in v.ids for a, b in zip(text, text[1:], strict=False)}), np.int64)
-        # rank by score, best first; equal scores share a rank
+        # the rank by score, best first, leaves room for a place; equal scores share a rank. No piece (-1) comes last
         scores = -np.array(v.scores)
-        self.rank = np.searchsorted(np.unique(scores), scores)
+        self.order = np.append(np.searchsorted(np.unique(scores), scores) * 64, LAST).astype(np.int32)
         self.letter = np.full(0x110000, -1, np.int32)
         for text, k in v.ids.items():
             if len(text) == 1:
                 self.letter[ord(text)] = k
 
+    def _slot(self, key: np.ndarray) -> np.ndarray:
+        return ((key.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).view(np.int64)
+
     def of(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        key = np.where((a >= 0) & (b >= 0), a << 20 | b, -1)
-        at = np.minimum(np.searchsorted(self.pairs, key), len(self.pairs) - 1)
-        return np.where(self.pairs[at] == key, self.merged[at], -1)
+        """The piece that a and b form, or -1. A negative symbol makes a negative key, which no slot has."""
+        key = a.astype(np.int64) << 20 | b
+        slot = self._slot(key)
+        held = self.pairs[slot]
+        out = np.where(held == key, self.merged[slot], np.int32(-1))
+        on = np.flatnonzero((held != key) & (held != _FREE))
+        key, slot = key[on], slot[on]
+        while len(on):
+            slot = (slot + 1) & ((1 << self.bits) - 1)
+            held = self.pairs[slot]
+            out[on] = np.where(held == key, self.merged[slot], np.int32(-1))
+            more = (held != key) & (held != _FREE)
+            on, key, slot = on[more], key[more], slot[more]
+        return out
 
 
 def _skipped(key: np.ndarray, place: np.ndarray, piece: np.ndarray, limit: int) -> np.ndarray:
@@ -144,58 +171,109 @@ def _skipped(key: np.ndarray, place: np.ndarray, piece: np.ndarray, limit: int)
 
 
 def segment_many(v: Vocabulary, m: Merges, parts: Sequence[str], keys: np.ndarray, dropout: float, merges: list[tuple[np.ndarray, np.ndarray, np.ndarray]] | None = None) -> list[bytes]:
-    """segment() of many parts of SHORT characters at most, as bytes of 32-bit ids: in each round every part merges its best pair that isn't skipped.
+    """segment() of many parts of SHORT characters at most, as bytes of 32-bit ids."""
+    flat, count = _segmented(v, m, parts, keys, dropout, merges)
+    ends = np.cumsum(count).tolist()
+    return [flat[a:b].tobytes() for a, b in zip([0, *ends[:-1]], ends, strict=True)]
+
+
+def _segmented(v: Vocabulary, m: Merges, parts: Sequence[str], keys: np.ndarray, dropout: float, merges: list[tuple[np.ndarray, np.ndarray, np.ndarray]] | None) -> tuple[np.ndarray, np.ndarray]:
+    """The ids one after the other, and how many each part has: in each round every part merges its best pair that isn't skipped.
     A pair's skip depends on place and piece alone, so this is the agenda's order. What a round merges, as (part, place, piece), is added to merges."""
-    n, limit, last = len(parts), int(dropout * 2**32), 1 << 40
+    n, limit = len(parts), int(dropout * 2**32)
     size = np.array([len(p) for p in parts])
     width = int(size.max())
-    grid = np.full((n, width + 1), -2, np.int64)  # -2: no symbol
-    grid[np.arange(width + 1)[None, :] < size[:, None]] = m.letter[np.frombuffer("".join(parts).encode("utf-32-le"), np.uint32)]
-    place = np.tile(np.arange(width + 1), (n, 1))
-
-    def candidate(rows, a, b, at):
-        """The order of a pair: rank, then place; `last` if it forms no piece or is skipped."""
-        k = m.of(a, b)
-        out = np.where(k >= 0, m.rank[k] * 64 + at, last)
+    # by place, then part, flat; a symbol stays where its first character is, and -2 is none, as all of the last place are
+    symbol = np.full((n, width + 1), -2, np.int32)
+    symbol[np.arange(width + 1)[None, :] < size[:, None]] = m.letter[np.frombuffer("".join(parts).encode("utf-32-le"), np.uint32)]
+    symbol = symbol.T.ravel()
+    after, before = (np.repeat(np.array(x, np.int32), n) for x in ([*range(1, width + 1), width], [width, *range(width)]))
+    piece = np.full((width + 1) * n, -1, np.int32)
+
+    def candidate(part, at, left, right):
+        """What two symbols form, kept in piece, and the order of the pair: rank, then place; LAST or more if they form nothing or are skipped."""
+        k = piece[left] = m.of(symbol[left], symbol[right])
+        out = m.order[k] + at
         if limit:
-            out[_skipped(keys[rows], at, k, limit)] = last
+            some = np.flatnonzero(k >= 0)
+            out[some[_skipped(keys[part[some]], at[some], k[some], limit)]] = LAST
         return out
 
-    rows = np.repeat(np.arange(n), width)
-    order = candidate(rows, grid[:, :-1].ravel(), grid[:, 1:].ravel(), place[:, :-1].ravel()).reshape(n, width)
-    active = np.arange(n)
+    inner = np.arange(width * n)
+    order = np.full((width + 1, n), LAST, np.int32)
+    order[:width] = candidate(np.tile(np.arange(n), width), np.repeat(np.arange(width, dtype=np.int32), n), inner, inner + n).reshape(width, n)
+    active = np.arange(n)  # the parts that order has columns of
     while len(active):
-        best = order[active].argmin(1)
-        go = order[active, best] < last
-        active, best = active[go], best[go]
-        if not len(active):
+        best = order.min(0)
+        column = np.flatnonzero(best < LAST)
+        if 2 * len(column) < len(active):
+            order, active, best, column = order[:, column], active[column], best[column], np.arange(len(column))
+        if not len(column):
             break
-        # the pair (best, best + 1) becomes one symbol; what follows moves one to the left
-        grid[active, best] = m.of(grid[active, best], grid[active, best + 1])
+        part, at = active[column], best[column] & 63
+        # the pair becomes one symbol at the place of its first
+        here = at * n + part
+        gone = after[here]
+        old = gone * n + part
+        k = symbol[here] = piece[here]
+        symbol[old] = -2
+        order[gone, column] = LAST
         if merges is not None:
-            merges.append((active, place[active, best], grid[active, best]))
-        cols = np.arange(width + 1)
-        take = np.minimum(cols[None, :] + (cols[None, :] > best[:, None]), width)
-        grid[active] = np.take_along_axis(grid[active], take, 1)
-        place[active] = np.take_along_axis(place[active], take, 1)
-        grid[active, width] = -2
-        order[active] = np.take_along_axis(np.concatenate((order[active], np.full((len(active), 1), last)), 1), take, 1)[:, :width]
-        order[active, width - 1] = last
-        for at in (best - 1, best):
-            ok = (at >= 0) & (at < width)
-            r, x = active[ok], at[ok]
-            order[r, x] = candidate(r, grid[r, x], grid[r, x + 1], place[r, x])
-    plain = ~(grid == -1).any(1)
-    count = (grid != -2).sum(1)
-    flat = grid[grid != -2].astype(np.int32).tobytes()
-    ends = np.cumsum(count) * 4
-    out = [flat[a:b] for a, b in zip((ends - 4 * count).tolist(), ends.tolist(), strict=True)]
-    for i in np.flatnonzero(~plain).tolist():  # characters outside the vocabulary
-        got: list[int] = []
-        for x, at in zip(grid[i, : count[i]].tolist(), place[i, : count[i]].tolist(), strict=True):
-            got.extend([x] if x >= 0 else [v.bytes[y] for y in parts[i][at].encode("utf-8")])
-        out[i] = np.array(got, np.int32).tobytes()
-    return out
+            merges.append((part, at, k))
+        follows = after[here] = after[old]
+        right = follows * n + part
+        before[right] = at
+        order[at, column] = candidate(part, at, here, right)
+        ahead = before[here]
+        some = np.flatnonzero(ahead < width)
+        ahead, column, part = ahead[some], column[some], part[some]
+        order[ahead, column] = candidate(part, ahead, ahead * n + part, here[some])
+    grid = symbol.reshape(width + 1, n).T
+    there = grid != -2
+    flat, count = grid[there], there.sum(1)
+    strange = np.flatnonzero(flat == -1)
+    if len(strange):  # characters outside the vocabulary, which are symbols of their own
+        row, at = np.nonzero(there)
+        byte = [[v.bytes[x] for x in parts[i][j].encode("utf-8")] for i, j in zip(row[strange].tolist(), at[strange].tolist(), strict=True)]
+        more = np.array([len(x) for x in byte])
+        np.add.at(count, row[strange], more - 1)
+        size = np.ones(len(flat), np.int64)
+        size[strange] = more
+        flat = np.repeat(flat, size)
+        flat[flat == -1] = np.array([x for some in byte for x in some], np.int32)
+    return flat, count
+
+
+def gather(flat: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Rows of `size` that begin at `start`, one after the other."""
+    ends = np.cumsum(size)
+    return flat[np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(start - ends + size, size)]
+
+
+class Known(dict):
+    """Numbers of parts. A part that is asked for the first time gets the next one, and stands in new."""
+
+    def __init__(self):
+        self.first, self.new = 0, []
+
+    def __missing__(self, part: str) -> int:
+        self[part] = n = self.first + len(self.new)
+        self.new.append(part)
+        return n
+
+    def numbers(self, parts: list[str]) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, parts), np.int64, len(parts))
+
+    def settle(self, used: set[str]) -> list[str]:
+        """The new parts, which are none from now on. Parts of over LONG characters are not kept, and stand as empty where they are not used."""
+        new, self.new = self.new, []
+        self.first += len(new)
+        for i, part in enumerate(new):
+            if len(part) > LONG:
+                del self[part]
+                if part not in used:
+                    new[i] = ""
+        return new
 
 
 class Rows:
@@ -217,7 +295,7 @@ class Rows:
     def take(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The rows one after the other, and their sizes."""
         size = self.size[which]
-        return self.flat[np.arange(int(size.sum())) + np.repeat(self.start[which] - np.cumsum(size) + size, size)], size
+        return gather(self.flat, self.start[which], size), size
 
 
 class Encoder:
@@ -229,9 +307,10 @@ class Encoder:
         self.flat = np.frombuffer(b"".join(v.raw), np.uint8)
 
     def forget(self) -> None:
-        """known: number of a part; pieces, places, merged: its pieces without skips, and the merges on the way to them."""
-        self.known: dict[str, int] = {}
+        """known: number of a part; row, letters: where it is in what follows, and its characters there; pieces, places, merged: its pieces without skips, and the merges on the way to them."""
+        self.known = Known()
         self.characters = 0
+        self.row, self.letters = np.empty(0, np.int64), np.empty(0, np.int64)
         self.pieces, self.places, self.merged = Rows(np.int32), Rows(np.int32), Rows(np.int32)
 
     def encode(self, key: int, text: str) -> np.ndarray:
@@ -252,61 +331,80 @@ class Encoder:
         return [part[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
 
     def _learn(self, parts: list[str]) -> None:
-        self.characters += sum(map(len, parts))
-        parts.sort(key=len)
-        short = [x for x in parts if len(x) <= SHORT]
-        for at in range(0, len(short), 4000):
-            some, rounds = short[at : at + 4000], []
-            got = segment_many(self.v, self.merges, some, np.zeros(len(some), np.uint64), 0.0, rounds)
+        sizes = np.array([len(x) for x in parts], np.int64)
+        self.characters += int(sizes.sum())
+        order = np.argsort(sizes, kind="stable")
+        row = np.empty(len(parts), np.int64)
+        row[order] = np.arange(self.pieces.n, self.pieces.n + len(parts))
+        self.row, self.letters = np.concatenate((self.row, row)), np.concatenate((self.letters, sizes[order]))
+        short = int((sizes <= SHORT).sum())
+        for at in range(0, short, TOGETHER):
+            some, rounds = [parts[i] for i in order[at : min(short, at + TOGETHER)].tolist()], []
+            got, count = _segmented(self.v, self.merges, some, np.zeros(len(some), np.uint64), 0.0, rounds)
             part, place, piece = (np.concatenate(x) for x in zip(*rounds, strict=True)) if rounds else np.zeros((3, 0), np.int64)
-            order, sizes = np.argsort(part, kind="stable"), np.bincount(part, minlength=len(some))
-            self._add(some, got, place[order], piece[order], sizes)
-        for part in parts[len(short) :]:
+            by_part = np.argsort(part, kind="stable")
+            self._add(got, count, place[by_part], piece[by_part], np.bincount(part, minlength=len(some)))
+        for i in order[short:].tolist():
             merges: list[tuple[int, int]] = []
-            got = np.array(segment(self.v, part, 0.0, 0, merges), np.int32).tobytes()
+            got = np.array(segment(self.v, parts[i], 0.0, 0, merges), np.int32)
             place, piece = np.array(merges, np.int64).reshape(-1, 2).T
-            self._add([part], [got], place, piece, np.array([len(merges)]))
+            self._add(got, np.array([len(got)]), place, piece, np.array([len(merges)]))
 
-    def _add(self, parts: list[str], got: list[bytes], place: np.ndarray, piece: np.ndarray, sizes: np.ndarray) -> None:
-        self.known.update(zip(parts, range(self.pieces.n, self.pieces.n + len(parts)), strict=True))
-        self.pieces.add(np.frombuffer(b"".join(got), np.int32), np.array([len(x) // 4 for x in got], np.int64))
+    def _add(self, got: np.ndarray, count: np.ndarray, place: np.ndarray, piece: np.ndarray, sizes: np.ndarray) -> None:
+        self.pieces.add(got, count)
         self.places.add(place, sizes)
         self.merged.add(piece, sizes)
 
     def encode_many(self, keys: list[int], texts: list[str]) -> list[np.ndarray]:
         if len(self.known) >= KEPT or self.characters >= KEPT_CHARACTERS:
             self.forget()
-        cut = [self._parts(text) for text in texts]
-        counts = np.array([len(x) for x in cut], np.int64)
-        parts = [x for some in cut for x in some]
-        if not parts:
+        cut = [_PART.findall(" " + text) if text else [] for text in texts]
+        if not any(cut):
             return [np.empty(0, np.int32) for _ in texts]
-        self._learn(list(set(parts) - self.known.keys()))
-        which = np.fromiter(map(self.known.__getitem__, parts), np.int64, len(parts))
+        counts, used = np.array([len(x) for x in cut], np.int64), set()
+        which = self.known.numbers([x for some in cut for x in some])
+        long = [self.known.first + i for i, x in enumerate(self.known.new) if len(x) > LONG]  # all that are met, as a known part is never so long
+        if long:  # their texts are cut again
+            own = np.split(which, np.cumsum(counts)[:-1])
+            for i in np.unique(np.searchsorted(np.cumsum(counts), np.flatnonzero(np.isin(which, long)), side="right")).tolist():
+                cut[i] = self._parts(texts[i])
+                own[i], counts[i] = self.known.numbers(cut[i]), len(cut[i])
+                used.update(x for x in cut[i] if len(x) > LONG)
+            which = np.concatenate(own)
+        parts = [x for some in cut for x in some]
+        self._learn(self.known.settle(used))
+        which = self.row[which]
         first = np.cumsum(counts) - counts
         occurrence = mix(np.arange(len(parts), dtype=np.uint64) - np.repeat(first, counts).astype(np.uint64) + np.repeat(np.array(keys, np.uint64), counts))
-        limit, found = int(self.dropout * 2**32), Rows(np.int32)
+        limit = int(self.dropout * 2**32)
         other = np.zeros(len(parts), bool)
         for at in range(0, len(parts) if limit else 0, 1 << 15):
             some = which[at : at + (1 << 15)]
             place, size = self.places.take(some)
             row = np.repeat(np.arange(at, at + len(some)), size)
             other[row[_skipped(occurrence[row], place, self.merged.take(some)[0], limit)]] = True
-        anew = sorted(np.flatnonzero(other).tolist(), key=lambda i: len(parts[i]))
-        short = [i for i in anew if len(parts[i]) <= SHORT]
-        got: list[bytes] = []
-        for at in range(0, len(short), 4000):
-            some = short[at : at + 4000]
-            got += segment_many(self.v, self.merges, [parts[i] for i in some], occurrence[some], self.dropout)
-        got += [np.array(segment(self.v, parts[i], self.dropout, int(occurrence[i])), np.int32).tobytes() for i in anew[len(short) :]]
-        found.add(*self.pieces.take(which[~other]))
-        found.add(np.frombuffer(b"".join(got), np.int32), np.array([len(x) // 4 for x in got], np.int64))
+        anew = np.flatnonzero(other)
+        letters = self.letters[which[anew]]
+        by_size = np.argsort(letters, kind="stable")
+        anew, short = anew[by_size], int((letters <= SHORT).sum())
+        got, sizes = [], []
+        for at in range(0, short, TOGETHER):
+            some = anew[at : min(short, at + TOGETHER)]
+            flat, count = _segmented(self.v, self.merges, [parts[i] for i in some.tolist()], occurrence[some], self.dropout, None)
+            got.append(flat)
+            sizes.append(count)
+        for i in anew[short:].tolist():
+            got.append(np.array(segment(self.v, parts[i], self.dropout, int(occurrence[i])), np.int32))
+            sizes.append(np.array([len(got[-1])]))
+        flat, size = self.pieces.take(which[~other])
+        flat, sizes = np.concatenate((flat, *got)), np.concatenate((size, *sizes))
+        start = np.cumsum(sizes) - sizes
         order = np.empty(len(parts), np.int64)
         order[~other] = np.arange(len(parts) - len(anew))
         order[anew] = np.arange(len(parts) - len(anew), len(parts))
-        flat, size = found.take(order)
+        start, size = start[order], sizes[order]
         ends = np.concatenate(([0], np.cumsum(size)))[np.cumsum(counts)]
-        return np.split(flat, ends[:-1])
+        return np.split(gather(flat, start, size), ends[:-1])
 
     def decode(self, ids: np.ndarray) -> bytes:
         """The UTF-8 bytes of the text."""
