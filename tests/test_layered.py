@@ -81,3 +81,28 @@ def test_dealt_graphs_shuffle_nothing_and_large_ones_come_out_alike(spark, monke
     assert len(kept) > 20 and len(moved) <= 4 and all("Union" in p for p in moved)
     monkeypatch.setattr(layered, "WHOLE", 12)
     assert sorted(layered.layout(df, links).collect()) == sorted(whole)
+
+
+def test_layers_of_whole_graphs_are_taken_several_in_a_job_and_come_out_as_by_joins(spark, monkeypatch):
+    r = random.Random(3)
+    nodes = [(g, f"n{i}", r.randint(0, 5), "x" * r.randint(0, 90)) for g in range(5) for i in range(6 + g)] + [(50, f"n{i:02}", i, "") for i in range(12)]
+    edges = [(g, f"n{r.randint(0, 5 + g)}", f"n{r.randint(0, 5 + g)}") for g in range(5) for _ in range(9)] + [(0, "n0", "n1"), (0, "n1", "n0")]  # cycles too
+    edges += [(50, f"n{i:02}", f"n{i + 1:02}") for i in range(11)] + [(50, "n00", "n07")]
+    df, links = spark.createDataFrame(nodes, N), spark.createDataFrame(edges, E)
+    short = df.filter("graph = 50"), links.filter("graph = 50")
+    kept, keep = [], layered.settle_dealt
+    monkeypatch.setattr(layered, "settle_dealt", lambda *a: kept.append(a) or keep(*a))
+    at = {x["node"]: x["layer"] for x in layered.layout(*short).collect()}
+    assert at == {f"n{i:02}": i for i in range(12)} and len(kept) < 30  # a round of jobs for each of the twelve layers were 55
+    whole = sorted(layered.layout(df, links).collect())
+    assert len(whole) == len(nodes)
+    monkeypatch.setattr(layered, "WHOLE", 1)
+    assert sorted(layered.layout(df, links).collect()) == whole
+
+
+def test_nodes_without_a_graph_or_a_name_have_no_edges(spark):
+    df = spark.createDataFrame([(1, "a", 0, "t"), (1, "b", 1, None), (1, None, 2, "t"), (None, "a", 0, "t"), (None, "b", 1, "t"), (None, None, 0, None)], N)
+    links = spark.createDataFrame([(1, "a", "b"), (1, None, "b"), (1, "a", None), (None, "a", "b")], E)
+    want = {(1, "a"): 0, (1, "b"): 1, (1, None): 0, (None, "a"): 0, (None, "b"): 0, (None, None): 0}
+    assert {(x["graph"], x["node"]): x["layer"] for x in layered.layout(df, links).collect()} == want
+    assert {(x["graph"], x["node"]): x["layer"] for x in layered.layers(df, links)[0].collect()} == want
